@@ -45,3 +45,14 @@ def dense_ids(df: DataFrame, cols: list[str], name: str) -> DataFrame:
     """1-based position over unique rows, ordered by the sha of ``cols`` (stable, not sorted by value)."""
     keyed = df.withColumn("_h", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols])))
     return hash_positions(keyed, [], "_h", cols[0], name).drop("_h")
+
+
+def group_order_stats(df: DataFrame, keys: list[str], col: str, picks: dict[str, "callable"]) -> DataFrame:
+    """Exact order statistics per group. ``picks`` maps a name to a function of the group size
+    giving the 1-based rank wanted. Values are counted first, so ties and hot groups stay small."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running(counts, keys, [col], range_bucket(counts, col), [Run("_upto", "sum", F.col("_n"))])
+    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
+    joined = ranked.join(sizes, keys)
+    hit = {k: (F.col("_upto") >= f(F.col("_size"))) & (F.col("_upto") - F.col("_n") < f(F.col("_size"))) for k, f in picks.items()}
+    return joined.groupBy(*keys).agg(*[F.max(F.when(c, F.col(col))).alias(k) for k, c in hit.items()])

@@ -1,0 +1,10 @@
+"""Every registered query. Importing this package fills the registry."""
+
+import importlib
+
+from terralog.queries.registry import ORACLE, QUERIES
+
+for _name in ("geometry", "measures"):
+    importlib.import_module(f"terralog.queries.{_name}")
+
+__all__ = ["ORACLE", "QUERIES"]
