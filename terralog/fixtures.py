@@ -27,7 +27,7 @@ class Tables:
 
     @cached_property
     def units(self) -> DataFrame:
-        n = self.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("denominator"))
+        n = self.orders.where("o_totalprice > 420000").groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("denominator"))
         k = F.col("c_custkey")
         return self.customer.join(n, F.col("o_custkey") == k, "left").select(
             k.alias("unit_id"), lon_of(k).alias("lon"), lat_of(k).alias("lat"),
@@ -166,7 +166,7 @@ def hav_sql(a: str, b: str) -> str:
 SQL = {
     "units": f"""units AS (SELECT c_custkey AS unit_id, {lonlat_sql('c_custkey')},
  CASE WHEN c_custkey % 17 <> 0 THEN c_acctbal END AS value, CAST(n AS DOUBLE) AS denominator, c_nationkey AS zone
- FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey)""",
+ FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 420000 GROUP BY 1) o ON o_custkey = c_custkey)""",
     "population": f"""population AS (SELECT c_custkey AS unit_id, {lonlat_sql('c_custkey')},
  1 + c_custkey % 97 AS population, c_nationkey AS community FROM customer)""",
     "facilities": f"""facilities AS (SELECT s_suppkey AS fac_id, {lonlat_sql('(s_suppkey*31+7)')},

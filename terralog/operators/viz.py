@@ -18,9 +18,9 @@ def quantile_breaks(df: DataFrame, col: str, classes: int) -> DataFrame:
     ranks = value_ranks(df, col)
     n = ranks.agg(F.max("dense").alias("n")).scalar()
     wanted = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(classes - 1)),
-                                          lambda i: F.ceil(i * F.coalesce(n, F.lit(0)) / F.lit(classes)).cast("long")))
+                                          lambda i: F.ceil(i * F.col("_n") / F.lit(classes)).cast("long")))
     near = F.filter(wanted, lambda r: (r >= F.col("dense") - 1) & (r <= F.col("dense")))
-    return (ranks.select(F.col(col).alias("v"), F.explode(near).alias("rank"))
+    return (ranks.withColumn("_n", F.coalesce(n, F.lit(0))).select(F.col(col).alias("v"), F.explode(near).alias("rank"))
             .groupBy("rank").agg(((F.min("v") + F.max("v")) / 2).alias("brk"), F.count(F.lit(1)).alias("_c"))
             .where("_c = 2").select("brk"))
 
@@ -63,11 +63,11 @@ def measure(kind: str, numerator: Column, denominator: Column | None = None) ->
 def legend(style: Column, one_row: DataFrame) -> DataFrame:
     """Legend rows of a style: kind, from, to, to_inclusive. ``one_row`` supplies a single row."""
     edges = F.concat(F.array(style["lo"]), style["breaks"], F.array(style["hi"]))
-    n = F.size(edges)
+    n = F.size("_e")
     rows = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(
-        (i - 1).alias("class"), F.element_at(edges, i).alias("from"), F.element_at(edges, i + 1).alias("to"),
+        (i - 1).alias("class"), F.element_at("_e", i).alias("from"), F.element_at("_e", i + 1).alias("to"),
         (i == n - 1).alias("to_inclusive")))
-    return one_row.select(F.inline(rows)).withColumn("kind", F.lit("class"))
+    return one_row.select(edges.alias("_e")).select(F.inline(rows)).withColumn("kind", F.lit("class"))
 
 
 def style_version(fields: dict[str, Column]) -> Column:
@@ -76,7 +76,7 @@ def style_version(fields: dict[str, Column]) -> Column:
 
 
 def class_counts(df: DataFrame, value: Column, style: Column) -> DataFrame:
-    return df.select(classify(value, style).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    return df.withColumn("_style", style).select(classify(value, F.col("_style")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
 def histogram(df: DataFrame, value: Column, style: Column, one_row: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def unify(a: DataFrame, b: DataFrame, field: str, classes: int) -> DataFrame:
     """Class counts of two layers under one break set from the union of their values."""
     both = a.select(F.lit("a").alias("layer"), field).unionByName(b.select(F.lit("b").alias("layer"), field))
     style = style_of(both, field, quantile_breaks(both, field, classes))
-    return both.select("layer", classify(F.col(field), style).alias("class")).groupBy("layer", "class").agg(F.count(F.lit(1)).alias("n"))
+    return both.withColumn("_style", style).select("layer", classify(F.col(field), F.col("_style")).alias("class")).groupBy("layer", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
 def selection(df: DataFrame, value: str, ts: str, frame: tuple[str, str] | None = None,

@@ -7,7 +7,7 @@ range; the range offsets come from one row per range.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralog.plans.running import Run, running
@@ -16,20 +16,22 @@ RANGES = 128
 HASH_DIGITS = 3
 
 
-def range_bucket(df: DataFrame, col: str, ranges: int = RANGES) -> Column:
-    """Monotone bucket id of a numeric column; the splits are one scalar-subquery array."""
+def with_range(df: DataFrame, col: str, ranges: int = RANGES) -> DataFrame:
+    """Add ``_range``, a monotone bucket id of a numeric column; the splits are one scalar subquery."""
     probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     splits = df.select(F.percentile_approx(F.col(col).cast("double"), probs, F.lit(20000)).alias("s")).scalar()
-    return F.size(F.filter(splits, lambda s: s <= F.col(col).cast("double"))).cast("long")
+    bound = df.withColumn("_splits", splits)
+    bucket = F.size(F.filter("_splits", lambda s: s <= F.col(col).cast("double"))).cast("long")
+    return bound.withColumn("_range", bucket).drop("_splits")
 
 
 def value_ranks(df: DataFrame, col: str, ranges: int = RANGES) -> DataFrame:
     """Per distinct value: ``n`` rows, ``below`` rows strictly smaller, ``dense`` 1-based rank."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return running(counts, [], [col], range_bucket(counts, col, ranges), [
+    return running(with_range(counts, col, ranges), [], [col], F.col("_range"), [
         Run("below", "sum", F.col("n"), inclusive=False),
         Run("dense", "sum", F.lit(1).cast("long")),
-    ])
+    ]).drop("_range")
 
 
 def hash_positions(df: DataFrame, keys: list[str], digest: str, tie: str, name: str) -> DataFrame:
@@ -51,7 +53,7 @@ def group_order_stats(df: DataFrame, keys: list[str], col: str, picks: dict[str,
     """Exact order statistics per group. ``picks`` maps a name to a function of the group size
     giving the 1-based rank wanted. Values are counted first, so ties and hot groups stay small."""
     counts = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running(counts, keys, [col], range_bucket(counts, col), [Run("_upto", "sum", F.col("_n"))])
+    ranked = running(with_range(counts, col), keys, [col], F.col("_range"), [Run("_upto", "sum", F.col("_n"))])
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     joined = ranked.join(sizes, keys)
     hit = {k: (F.col("_upto") >= f(F.col("_size"))) & (F.col("_upto") - F.col("_n") < f(F.col("_size"))) for k, f in picks.items()}

@@ -26,7 +26,8 @@ def stats_zonal_excluded(t):
     return A.zonal_excluded(t.units, "unit_id", "zone", "value", "denominator")
 
 
-_PROPS = F.to_json(F.struct(
+def _props():
+    return F.to_json(F.struct(
     F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"),
     F.when(F.col("event_id") % 5 == 0, F.lit("2024-02-30T00:00:00Z")).when(F.col("event_id") % 5 == 1, F.lit("2024-01-05T00:00:00"))
      .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("time"),
@@ -42,7 +43,7 @@ UNION ALL SELECT 'blank', count(*) FILTER (event_id % 2 = 0), 0, 0, 0, 0, 0, 1,
 UNION ALL SELECT 'same', count(*), count(*), count(*), count(*), 0, 0, 1, 1, 0 FROM f
 UNION ALL SELECT 'missing', 0, 0, 0, 0, 0, 0, 0, 0, 0 FROM f WHERE event_id = 0""")
 def field_profile(t):
-    return V.field_profile(t.events.select(_PROPS.alias("props")), "props", ["value", "time", "kind", "blank", "same", "missing", "value"],
+    return V.field_profile(t.events.select(_props().alias("props")), "props", ["value", "time", "kind", "blank", "same", "missing", "value"],
                            ("2024-01-10T00:00:00Z", "2024-01-20T00:00:00Z"))
 
 
@@ -76,17 +77,21 @@ def equal_interval_breaks(t):
 
 _CLASS = """CASE WHEN v IS NULL THEN 'missing' WHEN v < -500 THEN 'underflow' WHEN v > 9000 THEN 'overflow'
  ELSE CAST((v >= 1000)::INT + (v >= 3000)::INT + (v >= 6000)::INT AS VARCHAR) END"""
-_STYLE = V.literal_style((1000, 3000, 6000), -500, 9000)
+
+
+def _style():
+    return V.literal_style((1000, 3000, 6000), -500, 9000)
+
 
 
 @query("classify_value", with_sql("units") + f" SELECT unit_id, {_CLASS} AS class FROM (SELECT unit_id, value AS v FROM units)")
 def classify_value(t):
-    return t.units.select("unit_id", V.classify(F.col("value"), _STYLE).alias("class"))
+    return t.units.select("unit_id", V.classify(F.col("value"), _style()).alias("class"))
 
 
 @query("class_counts", with_sql("units") + f" SELECT {_CLASS} AS class, count(*) AS n FROM (SELECT value AS v FROM units) GROUP BY 1")
 def class_counts(t):
-    return V.class_counts(t.units, F.col("value"), _STYLE)
+    return V.class_counts(t.units, F.col("value"), _style())
 
 
 @query("measure_value", with_sql("units") + " SELECT unit_id, round(value/denominator, 6) AS rate, value AS total FROM units")
