@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralog.functions.geo import METRES_PER_DEGREE, haversine
+from terralog.functions.geo import EARTH_RADIUS_M, METRES_PER_DEGREE, haversine
 
 CHUNK = 4096
 _MAX_LAT = 89.9
@@ -61,11 +61,25 @@ def neighbour_cells(lon: Column, lat: Column, radius_m: float, h_deg: float) ->
     return F.flatten(F.transform(rows, row_cells))
 
 
+def whole_cell_near(row: Column, radius_m: float, h_deg: float) -> Column:
+    """True when any two points of one cell in this row are surely within ``radius_m``.
+
+    The bound takes the widest longitude step at the row's most equatorward latitude.
+    """
+    south = row * h_deg - 90.0
+    crosses = (south <= 0) & (south + h_deg >= 0)
+    flat = F.when(crosses, F.lit(0.0)).otherwise(F.least(F.abs(south), F.abs(south + h_deg)))
+    dlon = F.radians(360.0 / cols_in_row(row, h_deg)) / 2
+    h = math.sin(math.radians(h_deg) / 2) ** 2 + F.pow(F.cos(F.radians(flat)) * F.sin(F.least(dlon, F.lit(math.pi / 2))), 2)
+    return 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(h))) <= radius_m
+
+
 def grid_pairs(left: DataFrame, right: DataFrame, radius_m: float, left_id: str, right_id: str,
-               cells_per_radius: float = 1.0, chunk: int = CHUNK) -> DataFrame:
+               cells_per_radius: float = 1.0, chunk: int = CHUNK, skip_own: bool = False) -> DataFrame:
     """Pairs within ``radius_m``: all left columns, right columns prefixed ``r_``, and ``dist_m``.
 
-    Both sides carry ``lon`` and ``lat``.
+    Both sides carry ``lon`` and ``lat``. With ``skip_own`` the pairs inside one cell are left
+    out wherever ``whole_cell_near`` holds, for callers that add those from cell totals.
     """
     h = radius_m / cells_per_radius / METRES_PER_DEGREE
     target = with_cell(right, "lon", "lat", h)
@@ -75,7 +89,13 @@ def grid_pairs(left: DataFrame, right: DataFrame, radius_m: float, left_id: str,
     target = (target.join(dense, ["_row", "_col"], "left")
               .withColumn("_chunk", F.pmod(F.xxhash64(F.col(right_id)), F.coalesce(F.col("_chunks"), F.lit(1))).cast("int"))
               .select("_row", "_col", "_chunk", *[F.col(c).alias(f"r_{c}") for c in right.columns]))
-    probe = (left.withColumn("_cell", F.explode(neighbour_cells(F.col("lon"), F.col("lat"), radius_m, h)))
+    cells = neighbour_cells(F.col("lon"), F.col("lat"), radius_m, h)
+    if skip_own:
+        own_row = row_of(F.col("lat"), h)
+        own_col = col_of(F.col("lon"), own_row, h)
+        near = whole_cell_near(own_row, radius_m, h)
+        cells = F.filter(cells, lambda c: ~(near & (c["_row"] == own_row) & (c["_col"] == own_col)))
+    probe = (left.withColumn("_cell", F.explode(cells))
              .select(*left.columns, "_cell._row", "_cell._col")
              .join(dense, ["_row", "_col"], "left")
              .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_chunks"), F.lit(1)) - 1)))

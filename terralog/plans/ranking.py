@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from terralog.plans.running import Run, running
 
 RANGES = 128
-HASH_DIGITS = 3
+HASH_DIGITS = 2
 
 
 def with_range(df: DataFrame, col: str, ranges: int = RANGES) -> DataFrame:

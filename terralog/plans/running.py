@@ -62,8 +62,13 @@ def _combine(op: str, carry: Column, inner: Column) -> Column:
     return both
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], block: Column, runs: list[Run]) -> DataFrame:
-    """Add one column per run. ``block`` must not decrease along ``order`` inside a key."""
+def running(df: DataFrame, keys: list[str], order: list[str], block: Column, runs: list[Run],
+            keep: Column | None = None) -> DataFrame:
+    """Add one column per run. ``block`` must not decrease along ``order`` inside a key.
+
+    ``keep`` may drop whole blocks by their carry columns ``_c0, _c1, ...`` before the inner sort,
+    for callers that only need the head of each key.
+    """
     part = [*keys, "_blk"]
     values = {f"_v{i}": r.value for i, r in enumerate(runs)}
     base = df.withColumn("_blk", block).withColumns(values)
@@ -79,6 +84,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column, run
     on = reduce(lambda a, b: a & b, [base[c].eqNullSafe(carry[f"_k_{c}"]) for c in part])
     joined = base.join(carry, on, "left").drop(*[f"_k_{c}" for c in part])
 
+    if keep is not None:
+        joined = joined.where(keep)
     asc = [F.col(c).asc() for c in order]
     desc = [F.col(c).desc() for c in order]
     out = {}
