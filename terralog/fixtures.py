@@ -114,10 +114,11 @@ def lat_of(k: Column) -> Column:
 LOG_TYPE = """CASE
  WHEN role = 'system' AND k = 0 THEN 'system/message'
  WHEN role = 'user' AND k = 0 THEN 'turn/start'
- WHEN role = 'user' AND k = 1 THEN 'step/start'
+ WHEN role = 'user' AND k = 1 AND (conv_id + turn) % 9 <> 0 THEN 'step/start'
  WHEN role = 'user' AND k = 2 THEN 'user/message'
  WHEN role = 'user' AND k = 3 AND turn % 4 >= 2 THEN 'compaction/prune'
  WHEN role = 'user' AND k = 4 AND turn % 4 >= 2 THEN 'user/message'
+ WHEN role = 'user' AND k = 5 AND turn % 5 <= 1 THEN 'inbox/spliced'
  WHEN role = 'assistant' AND k = 0 THEN 'assistant/delta'
  WHEN role = 'assistant' AND k = 1 THEN 'assistant/message'
  WHEN role = 'assistant' AND k = 2 AND (conv_id * 31 + turn) % 3 = 0 THEN 'tool/call'
@@ -139,6 +140,7 @@ LOG_COLUMNS = {
     "is_error": "type = 'tool/result' AND (conv_id + turn) % 4 = 0",
     "reason": """CASE WHEN type = 'turn/end' THEN CASE WHEN (conv_id + turn) % 7 = 0 THEN 'error'
  WHEN (conv_id + turn) % 11 = 0 THEN 'aborted' ELSE 'completed' END END""",
+    "outcome": "CASE WHEN type = 'inbox/spliced' THEN CASE WHEN conv_id % 2 = 0 THEN 'canceled' ELSE 'claimed' END END",
     "replace_seq": "CASE WHEN type = 'compaction/prune' OR (type = 'user/message' AND k = 4) THEN (turn - 2) * 8 + 2 END",
     "price": "CASE WHEN type = 'compaction/prune' THEN 5 + turn END",
     "input_tokens": "CASE WHEN type = 'assistant/message' THEN 100 + length(text) % 900 END",

@@ -4,7 +4,7 @@ import importlib
 
 from terralog.queries.registry import ORACLE, QUERIES
 
-for _name in ("geometry", "measures", "spatial"):
+for _name in ("geometry", "measures", "spatial", "logs"):
     importlib.import_module(f"terralog.queries.{_name}")
 
 __all__ = ["ORACLE", "QUERIES"]
