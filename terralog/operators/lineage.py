@@ -29,9 +29,11 @@ def flatten_lineage(sessions: DataFrame, limit: int = 64) -> DataFrame:
     tree = sessions.select(F.col("session_id").alias("id"), F.col("parent_id").alias("parent"))
     info = ancestors(tree)
     ok = info.join(tree, "id")
-    parents = info.where("NOT cyclic").select(F.col("id").alias("parent"))
     # a cycle member stands as a root; so does a node whose parent is unknown
-    root_less = ok.join(parents, "parent", "left_semi").where("NOT cyclic").select("id", "parent")
+    root_less = tree.join(tree.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", "parent")
+    if info.where("cyclic").limit(1).count():
+        loose = ok.where("cyclic").select(F.col("id").alias("a"), F.col("parent").alias("b"))
+        root_less = root_less.join(on_cycles(loose).select(F.col("a").alias("id")).distinct(), "id", "left_anti")
     pos = sessions.select(F.col("session_id").alias("id"), F.lpad(F.col("pos").cast("string"), 12, "0").alias("key"))
     at = cut(pos.join(root_less, "id", "left").select("id", F.col("parent").alias("up"), F.col("key").alias("path"), F.lit(0).alias("depth")), "path")
     for _ in range(limit):

@@ -75,20 +75,25 @@ def whole_cell_near(row: Column, radius_m: float, h_deg: float) -> Column:
 
 
 def grid_pairs(left: DataFrame, right: DataFrame, radius_m: float, left_id: str, right_id: str,
-               cells_per_radius: float = 1.0, chunk: int = CHUNK, skip_own: bool = False) -> DataFrame:
+               cells_per_radius: float = 1.0, chunk: int = CHUNK, skip_own: bool = False,
+               bins: tuple[str, int] | None = None) -> DataFrame:
     """Pairs within ``radius_m``: all left columns, right columns prefixed ``r_``, and ``dist_m``.
 
     Both sides carry ``lon`` and ``lat``. With ``skip_own`` the pairs inside one cell are left
     out wherever ``whole_cell_near`` holds, for callers that add those from cell totals.
+    ``bins = (column, reach)`` also asks that an integer bin differs by at most ``reach``.
     """
     h = radius_m / cells_per_radius / METRES_PER_DEGREE
+    keys = ["_row", "_col"] + (["_bin"] if bins else [])
     target = with_cell(right, "lon", "lat", h)
-    dense = (target.groupBy("_row", "_col").agg(F.count(F.lit(1)).alias("_n"))
+    if bins:
+        target = target.withColumn("_bin", F.col(bins[0]))
+    dense = (target.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
              .where(F.col("_n") > chunk)
-             .select("_row", "_col", F.ceil(F.col("_n") / F.lit(chunk)).cast("int").alias("_chunks")))
-    target = (target.join(dense, ["_row", "_col"], "left")
+             .select(*keys, F.ceil(F.col("_n") / F.lit(chunk)).cast("int").alias("_chunks")))
+    target = (target.join(dense, keys, "left")
               .withColumn("_chunk", F.pmod(F.xxhash64(F.col(right_id)), F.coalesce(F.col("_chunks"), F.lit(1))).cast("int"))
-              .select("_row", "_col", "_chunk", *[F.col(c).alias(f"r_{c}") for c in right.columns]))
+              .select(*keys, "_chunk", *[F.col(c).alias(f"r_{c}") for c in right.columns]))
     cells = neighbour_cells(F.col("lon"), F.col("lat"), radius_m, h)
     if skip_own:
         own_row = row_of(F.col("lat"), h)
@@ -96,11 +101,13 @@ def grid_pairs(left: DataFrame, right: DataFrame, radius_m: float, left_id: str,
         near = whole_cell_near(own_row, radius_m, h)
         cells = F.filter(cells, lambda c: ~(near & (c["_row"] == own_row) & (c["_col"] == own_col)))
     probe = (left.withColumn("_cell", F.explode(cells))
-             .select(*left.columns, "_cell._row", "_cell._col")
-             .join(dense, ["_row", "_col"], "left")
+             .select(*left.columns, "_cell._row", "_cell._col"))
+    if bins:
+        probe = probe.withColumn("_bin", F.explode(F.sequence(F.col(bins[0]) - bins[1], F.col(bins[0]) + bins[1])))
+    probe = (probe.join(dense, keys, "left")
              .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_chunks"), F.lit(1)) - 1)))
              .drop("_chunks"))
-    pairs = probe.join(target, ["_row", "_col", "_chunk"])
+    pairs = probe.join(target, [*keys, "_chunk"])
     dist = haversine(F.col("lon"), F.col("lat"), F.col("r_lon"), F.col("r_lat"))
     return (pairs.withColumn("dist_m", dist).where(F.col("dist_m") <= radius_m)
-            .drop("_row", "_col", "_chunk"))
+            .drop(*keys, "_chunk"))
