@@ -57,7 +57,7 @@ class Tables:
         e = F.col("event_id")
         delay = F.when(e % 53 == 0, 400).when(e % 11 == 0, 40).otherwise(0)
         return self.events.select(
-            e, "ts", "user_id", "value", (e + delay).alias("arrival"),
+            e, F.col("ts").cast("timestamp").alias("ts"), "user_id", "value", (e + delay).alias("arrival"),
             F.when(e % 101 == 0, F.lit(200.0)).otherwise(lon_of(e)).alias("lon"), lat_of(e).alias("lat"),
             F.explode(F.when(e % 29 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("dup"))
 
