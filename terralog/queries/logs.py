@@ -312,3 +312,32 @@ def ring_retention(t):
 def log_export_lines(t):
     from terralog.sources.logs import transcript_lines
     return transcript_lines(t.log)
+
+
+def _turn_fold():
+    from terralog.functions.folds import Fold
+
+    def step(state, row):
+        opened = row.type == "turn/start" and row.turn > state["last"]
+        return {"turns": state["turns"] + opened, "last": row.turn if opened else state["last"], "events": state["events"] + 1}
+    return Fold("session_id", "seq", lambda: {"turns": 0, "last": -1, "events": 0}, step, dict, "turns long, last long, events long")
+
+
+@query("register_fold", LOG + """ SELECT session_id, count(DISTINCT turn) FILTER (type = 'turn/start') AS turns, coalesce(max(turn) FILTER (type = 'turn/start'), -1) AS last, count(*) AS events FROM log GROUP BY 1""")
+def register_fold(t):
+    from terralog.functions.folds import run_fold
+    return run_fold(t.log.select("session_id", "seq", "type", "turn"), _turn_fold())
+
+
+@query("register_operator", """SELECT doc_id, round(ln(1 + n_chars), 9) AS scaled FROM documents""")
+def register_operator(t):
+    import numpy as np
+
+    from terralog.functions import folds
+    log1p = folds.numeric(lambda v: np.log1p(v))
+
+    @folds.operator("scale_chars")
+    def scale_chars(df, column):
+        return df.select("doc_id", F.round(log1p(F.col(column).cast("double")), 9).alias("scaled"))
+    folds.run("scale_chars", t.documents, view="terralog_scaled", column="n_chars")
+    return t.spark.sql("SELECT doc_id, scaled FROM terralog_scaled")

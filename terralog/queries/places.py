@@ -190,3 +190,13 @@ def terrain_viewshed(t):
     k = F.col("s_suppkey")
     obs = t.supplier.select(k.alias("obs_id"), (k * 7 % 128).cast("double").alias("x"), (k * 11 % 117).cast("double").alias("y"))
     return R.tallies(R.viewshed(t.surface, obs, 5, 100.0, accuracy_m=0.5, observer_m=10.0))
+
+
+@query("geo_buffer_cells", f"""WITH {_SQ}, g AS (SELECT unit_id, w AS x1, s AS y1, e - w AS ex, n - s AS ey, 6371008.8::DOUBLE*pi()/180*cos(radians((s + n)/2)) AS kx, 6371008.8::DOUBLE*pi()/180 AS ky FROM sq),
+c AS (SELECT g.*, x AS cx, y AS cy, ((x + 0.5::DOUBLE)*0.001::DOUBLE - x1)*kx AS px, ((y + 0.5::DOUBLE)*0.001::DOUBLE - y1)*ky AS py, ex*kx AS dx, ey*ky AS dy FROM g,
+ LATERAL (SELECT unnest(range(CAST(floor(x1/0.001::DOUBLE) AS BIGINT) - 4, CAST(floor(x1/0.001::DOUBLE) AS BIGINT) + 12)) AS x), LATERAL (SELECT unnest(range(CAST(floor(y1/0.001::DOUBLE) AS BIGINT) - 4, CAST(floor(y1/0.001::DOUBLE) AS BIGINT) + 12)) AS y)),
+d AS (SELECT *, greatest(0, least(1, (px*dx + py*dy)/(dx*dx + dy*dy))) AS t FROM c)
+SELECT unit_id, count(*) AS cells FROM d WHERE pow(px - t*dx, 2) + pow(py - t*dy, 2) <= 150.0::DOUBLE*150 GROUP BY 1""")
+def geo_buffer_cells(t):
+    lines = _squares(t).select("unit_id", F.array(F.col("ring")[0], F.col("ring")[2]).alias("ring"))
+    return A.buffer_cells(lines, 150.0, 0.001, "unit_id").groupBy("unit_id").agg(F.count(F.lit(1)).alias("cells"))
