@@ -170,5 +170,5 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
     n = F.size(ring)
     crossings = F.zip_with(F.slice(ring, 1, n - 1), F.slice(ring, 2, n - 1), lambda a, b: F.when(
         ((a["y"] > y) != (b["y"] > y))
-        & (x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]), 1).otherwise(0))
+        & (x < (b["x"] - a["x"]) * F.try_divide(y - a["y"], b["y"] - a["y"]) + a["x"]), 1).otherwise(0))
     return F.aggregate(crossings, F.lit(0), lambda s, v: s + v) % 2 == 1

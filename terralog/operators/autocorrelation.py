@@ -1,6 +1,6 @@
 """Moran's I, local Moran and Gi* with reproducible permutation tests.
 
-Draw r orders the units by md5(seed | r | unit). Position q of draw r holds the value of the unit
+Draw r orders the units by the leading 60 bits of md5(seed | r | unit). Position q of draw r holds the value of the unit
 at position q of draw 0, so every draw is a permutation and both engines can recompute it. Draws
 are rows, not driver state: the digest prefix cuts each draw into blocks for the ranking.
 
@@ -19,22 +19,21 @@ from pyspark.sql import types as T
 
 from terralog.operators.rollups import p_adjust
 from terralog.operators.weights import Near, near, neighbour_totals
-from terralog.plans.ranking import HASH_DIGITS, hash_positions
+from terralog.plans.ranking import hash60, hash_block, hash_positions
 from terralog.plans.running import Run, running
 from terralog.session import cut
 from terralog.spec import CONSTANT, MIN_UNITS, NO_NEIGHBOURS, TOO_FEW, StatSpec
 
 
 def _digest(seed: int, draw: Column, unit: Column) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), draw.cast("string"), unit.cast("string")))
+    return hash60(F.concat_ws("|", F.lit(str(seed)), draw.cast("string"), unit.cast("string")))
 
 
 def _positions(units: DataFrame, draws: Column, seed: int, unit: str, extra: list[str], runs: list[Run],
                keep: Column | None = None) -> DataFrame:
     rows = units.select(unit, *extra, F.explode(draws).alias("draw"))
     rows = rows.withColumn("_h", _digest(seed, F.col("draw"), F.col(unit)))
-    block = F.conv(F.substring("_h", 1, HASH_DIGITS), 16, 10).cast("long")
-    return running(rows, ["draw"], ["_h", unit], block, [Run("pos", "sum", F.lit(1).cast("long")), *runs], keep).drop("_h")
+    return running(rows, ["draw"], ["_h", unit], hash_block("_h"), [Run("pos", "sum", F.lit(1).cast("long")), *runs], keep).drop("_h")
 
 
 def permutation_draws(units: DataFrame, field: str, permutations: int, seed: int, unit: str = "unit_id",
@@ -103,8 +102,8 @@ def moran(units: DataFrame, spec: StatSpec) -> DataFrame:
     draws = _by_draw(rows, nb, spec)
     scale = base.select(F.struct("n", "s0", "m2", "num").alias("b")).scalar()
     ref = draws.withColumn("_b", scale).select(
-        (F.col("_b.n") / F.col("_b.s0") * F.col("num") / F.col("_b.m2")).alias("i_r"),
-        (F.col("_b.n") / F.col("_b.s0") * F.col("_b.num") / F.col("_b.m2")).alias("i"), (-1.0 / (F.col("_b.n") - 1)).alias("e"))
+        F.try_divide(F.col("_b.n") * F.col("num"), F.col("_b.s0") * F.col("_b.m2")).alias("i_r"),
+        F.try_divide(F.col("_b.n") * F.col("_b.num"), F.col("_b.s0") * F.col("_b.m2")).alias("i"), F.try_divide(F.lit(-1.0), F.col("_b.n") - 1).alias("e"))
     hits = ref.agg(F.count_if(F.abs(F.col("i_r") - F.col("e")) >= F.abs(F.col("i") - F.col("e")) - 1e-12).alias("h"),
                    F.stddev_pop("i_r").alias("sd"))
     return finish_moran(base.withColumn("_h", hits.select(F.struct("h", "sd").alias("s")).scalar()), spec)
@@ -112,15 +111,15 @@ def moran(units: DataFrame, spec: StatSpec) -> DataFrame:
 
 def finish_moran(base: DataFrame, spec: StatSpec) -> DataFrame:
     n, s0, s1, s2 = (F.col(c).cast("double") for c in ("n", "s0", "s1", "s2"))
-    e = -1.0 / (n - 1)
-    b2 = n * F.col("m4") / F.pow("m2", 2)
-    var = ((n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * s0 * s0) - b2 * ((n * n - n) * s1 - 2 * n * s2 + 6 * s0 * s0))
-           / ((n - 1) * (n - 2) * (n - 3) * s0 * s0) - e * e)
+    e = F.try_divide(F.lit(-1.0), n - 1)
+    b2 = F.try_divide(n * F.col("m4"), F.pow("m2", 2))
+    var = F.try_divide(n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * s0 * s0) - b2 * ((n * n - n) * s1 - 2 * n * s2 + 6 * s0 * s0),
+                       (n - 1) * (n - 2) * (n - 3) * s0 * s0) - e * e
     reason = (F.when(F.col("n") < MIN_UNITS, TOO_FEW).when(F.coalesce(F.col("m2"), F.lit(0.0)) == 0, CONSTANT)
               .when(F.coalesce(F.col("s0"), F.lit(0.0)) == 0, NO_NEIGHBOURS))
     ok = reason.isNull()
     return base.select(
-        "n", "islands", F.when(ok, n / s0 * F.col("num") / F.col("m2")).alias("i"), F.when(ok, e).alias("expected"),
+        "n", "islands", F.when(ok, F.try_divide(n * F.col("num"), s0 * F.col("m2"))).alias("i"), F.when(ok, e).alias("expected"),
         F.when(ok & (var > 0), F.sqrt(var)).alias("sd_closed"), F.when(ok, F.col("_h.sd")).alias("sd_permutation"),
         F.when(ok, (F.col("_h.h") + 1) / (spec.permutations + 1)).alias("p"),
         F.when(ok, "succeeded").otherwise("not_applicable").alias("status"), reason.alias("reason"))
@@ -189,7 +188,7 @@ def _applicable(df: DataFrame) -> DataFrame:
     g = df.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.col("z") * F.col("z")).alias("m2"), F.sum("k").alias("k")).alias("g")).scalar()
     d = df.withColumn("_g", g)
     reason = (F.when(F.col("_g.n") < MIN_UNITS, TOO_FEW).when(F.col("_g.m2") == 0, CONSTANT).when(F.col("_g.k") == 0, NO_NEIGHBOURS))
-    return d.withColumn("m2", F.col("_g.m2") / F.col("_g.n")).withColumn("reason", F.coalesce(reason, F.when(F.col("k") == 0, "island"))).drop("_g")
+    return d.withColumn("m2", F.try_divide(F.col("_g.m2"), F.col("_g.n"))).withColumn("reason", F.coalesce(reason, F.when(F.col("k") == 0, "island"))).drop("_g")
 
 
 def _significance(df: DataFrame, spec: StatSpec) -> DataFrame:
@@ -203,7 +202,7 @@ def lisa(units: DataFrame, spec: StatSpec) -> DataFrame:
     spec = spec.checked()
     d = _applicable(_conditional(admitted(units, spec), spec, "z"))
     d = d.withColumn("lag", _edge_weight(F.col("k"), spec) * F.col("others"))
-    d = d.withColumn("local_i", F.col("z") * F.col("lag") / F.col("m2"))
+    d = d.withColumn("local_i", F.try_divide(F.col("z") * F.col("lag"), F.col("m2")))
     # |I_r| >= |I| is |permuted total| >= |observed total|: z, w and m2 are held fixed.
     ok = F.col("reason").isNull()
     far = F.when(F.col("z") == 0, F.lit(spec.permutations)).otherwise(F.col("large"))

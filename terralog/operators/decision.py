@@ -145,16 +145,16 @@ def effect(rows: DataFrame, y: str, treated: str, post: str, covariates: Sequenc
     aggs = [a for k, c in cells.items() for a in (F.avg(F.when(c, F.col(y))).alias(f"m_{k}"), F.var_samp(F.when(c, F.col(y))).alias(f"v_{k}"),
                                                   F.count(F.when(c, F.col(y))).alias(f"n_{k}"))]
     aggs += [a for i, x in enumerate(covariates) for a in (
-        ((F.avg(F.when(t, F.col(x))) - F.avg(F.when(~t, F.col(x)))) / F.sqrt((F.var_samp(F.when(t, F.col(x))) + F.var_samp(F.when(~t, F.col(x)))) / 2)).alias(f"smd_{i}"),)]
-    aggs += [(F.count_if(~t & F.col("_near")) / F.count_if(~t)).alias("interference")]
+        F.try_divide(F.avg(F.when(t, F.col(x))) - F.avg(F.when(~t, F.col(x))), F.sqrt((F.var_samp(F.when(t, F.col(x))) + F.var_samp(F.when(~t, F.col(x)))) / 2)).alias(f"smd_{i}"),)]
+    aggs += [F.try_divide(F.count_if(~t & F.col("_near")), F.count_if(~t)).alias("interference")]
     g = rows.agg(*aggs)
     x0 = covariates[0]
     rng = rows.agg(F.struct(F.min(x0).alias("lo"), F.max(x0).alias("hi")).alias("r")).scalar()
-    s = rows.withColumn("_r", rng).groupBy(F.least(F.lit(strata - 1), F.floor((F.col(x0) - F.col("_r.lo")) / ((F.col("_r.hi") - F.col("_r.lo")) / strata))).alias("s")).agg(
+    s = rows.withColumn("_r", rng).groupBy(F.least(F.lit(strata - 1), F.coalesce(F.floor(F.try_divide(F.col(x0) - F.col("_r.lo"), (F.col("_r.hi") - F.col("_r.lo")) / strata)), F.lit(0))).alias("s")).agg(
         F.count_if(t).alias("a"), F.count_if(~t).alias("b"), F.count(F.lit(1)).alias("c"))
     overlap = s.agg((F.sum(F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("c"))) / F.sum("c")).alias("o")).scalar()
     est = (F.col("m_tp") - F.col("m_tq")) - (F.col("m_cp") - F.col("m_cq"))
-    se = F.sqrt(sum(F.col(f"v_{k}") / F.col(f"n_{k}") for k in cells))
+    se = F.sqrt(sum(F.try_divide(F.col(f"v_{k}"), F.col(f"n_{k}")) for k in cells))
     worst = F.greatest(*[F.abs(f"smd_{i}") for i in range(len(covariates))], F.lit(0.0))
     z = normal_quantile(0.975)
     d = g.withColumn("overlap", overlap).withColumn("effect", est).withColumn("std_error", se).withColumn("worst_smd", worst)
@@ -254,8 +254,8 @@ def block_validate(series: DataFrame, key: str, block: str, x: str, y: str, fold
     tot = per.agg(F.struct(*[F.sum(n).alias(n) for n in u]).alias("t")).scalar()
     w = per.withColumn("_t", tot)
     s = {n: F.col(f"_t.{n}") - F.col(n) for n in u}
-    slope = (s["n"] * s["sxy"] - s["sx"] * s["sy"]) / (s["n"] * s["sxx"] - s["sx"] * s["sx"])
-    line = w.select("fold", slope.alias("slope"), ((s["sy"] - slope * s["sx"]) / s["n"]).alias("intercept"))
+    slope = F.try_divide(s["n"] * s["sxy"] - s["sx"] * s["sy"], s["n"] * s["sxx"] - s["sx"] * s["sx"])
+    line = w.select("fold", slope.alias("slope"), F.try_divide(s["sy"] - slope * s["sx"], s["n"]).alias("intercept"))
     err = F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)
     return d.join(F.broadcast(line), "fold").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(err)).alias("mae"))   # one row per fold
 

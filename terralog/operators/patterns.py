@@ -63,7 +63,7 @@ def change(obs: DataFrame, unit: str, base: tuple[str, str], comp: tuple[str, st
     if comp[0] < base[1]:
         raise ValueError("the comparison window must start after the baseline")
     expected = _expected(*comp, gran)
-    cut_at = F.element_at(expected, -holdout_bins) if holdout_bins else F.lit(comp[1]).cast("timestamp")
+    cut_at = F.try_element_at(expected, F.lit(-holdout_bins)) if holdout_bins else F.lit(comp[1]).cast("timestamp")
     b, c = _in(*base), _in(*comp)
     v = F.col("value")
     rows = obs.where(b | c)
@@ -114,7 +114,7 @@ def _top(flows: DataFrame, k: int) -> DataFrame:
 def jaccard(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
     """Set similarity of two bounded lists."""
     both = a.select(col).distinct().withColumn("a", F.lit(1)).join(b.select(col).distinct().withColumn("b", F.lit(1)), col, "full")
-    return both.agg((F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()) / F.count(F.lit(1))).alias("jaccard"), F.count(F.lit(1)).alias("union_size"))
+    return both.agg(F.try_divide(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()), F.count(F.lit(1))).alias("jaccard"), F.count(F.lit(1)).alias("union_size"))
 
 
 def flow_stability(moved: DataFrame, k: int, holdout_bins: int) -> DataFrame:
@@ -183,7 +183,7 @@ def cluster_reach(obs: DataFrame, eps_m: float, eps_bins: int, min_pts: int, hol
     spots = late.groupBy("lon", "lat", "bin").agg(F.min("obs_id").alias("site"), F.count(F.lit(1)).alias("n"))
     hit = grid_pairs(spots, core, eps_m, "site", "core_id", bins=("bin", eps_bins)).select("site").distinct().withColumn("hit", F.lit(1))
     return spots.join(hit, "site", "left").agg(F.sum("n").alias("later"), F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("n"))), F.lit(0)).alias("reached")).withColumn(
-        "share", F.col("reached") / F.col("later"))
+        "share", F.try_divide(F.col("reached"), F.col("later")))
 
 
 def recurrence(created: Column, every_s: Column, at: Column) -> tuple[Column, Column]:

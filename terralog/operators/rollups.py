@@ -57,7 +57,7 @@ def segment_latency(df: DataFrame, keys: list[str], wall: str) -> DataFrame:
 
 def throughput(df: DataFrame, section: str, rate: str) -> DataFrame:
     """Batches, median rate and max/min spread per section."""
-    basic = df.groupBy(section).agg(F.count(F.lit(1)).alias("batches"), (F.max(rate) / F.min(rate)).alias("spread"))
+    basic = df.groupBy(section).agg(F.count(F.lit(1)).alias("batches"), F.try_divide(F.max(rate), F.min(rate)).alias("spread"))
     mid = group_order_stats(df, [section], rate, {"lo": lambda n: F.floor((n + 1) / 2), "hi": lambda n: F.ceil((n + 1) / 2)})
     return basic.join(mid, section).select(section, "batches", ((F.col("lo") + F.col("hi")) / 2).alias("median_rate"), "spread")
 

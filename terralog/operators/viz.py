@@ -126,8 +126,10 @@ def field_profile(df: DataFrame, props: str, fields: Sequence[str], window: tupl
 
     "At least two" only needs a minimum and a maximum, so no distinct shuffle happens.
     """
-    rows = df.select(F.try_parse_json(F.col(props)).alias("p")).select(F.inline(F.array(*[
-        F.struct(F.lit(f).alias("field"), F.try_variant_get("p", f"$['{f}']", "variant").alias("v")) for f in dict.fromkeys(fields)])))
+    wanted = list(dict.fromkeys(fields))
+    parsed = df.select(F.try_parse_json(F.col(props)).alias("p"))
+    rows = parsed.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("p").outer())).where(
+        F.col("key").isin(wanted)).select(F.col("key").alias("field"), F.col("value").alias("v"))
     kind = F.schema_of_variant("v")
     number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
     num = F.when(number, F.try_variant_get("v", "$", "double"))
@@ -146,7 +148,9 @@ def field_profile(df: DataFrame, props: str, fields: Sequence[str], window: tupl
     if window:
         lo, hi = (F.lit(w).cast("timestamp") for w in window)
         aggs.append(F.count_if((ts >= lo) & (ts < hi)).alias("in_window"))
-    return rows.groupBy("field").agg(*aggs)
+    seen = rows.groupBy("field").agg(*aggs)
+    every = df.sparkSession.createDataFrame([(f,) for f in wanted], "field string")
+    return every.join(seen, "field", "left").na.fill(0)
 
 
 def ratio_profile(df: DataFrame, num: str, den: str) -> DataFrame:

@@ -7,13 +7,13 @@ range; the range offsets come from one row per range.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralog.plans.running import Run, running
 
 RANGES = 128
-HASH_DIGITS = 2
+HASH_BITS, BLOCK_BITS = 60, 8
 
 
 def with_range(df: DataFrame, col: str, ranges: int = RANGES) -> DataFrame:
@@ -21,7 +21,10 @@ def with_range(df: DataFrame, col: str, ranges: int = RANGES) -> DataFrame:
     probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     splits = df.select(F.percentile_approx(F.col(col).cast("double"), probs, F.lit(20000)).alias("s")).scalar()
     bound = df.withColumn("_splits", splits)
-    bucket = F.size(F.filter("_splits", lambda s: s <= F.col(col).cast("double"))).cast("long")
+    # binary search over 2^k - 1 sorted splits
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(ranges.bit_length() - 1))])
+    bucket = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get("_splits", at + step - 1) <= F.col(col).cast("double"), at + step).otherwise(at)).cast("long")
     return bound.withColumn("_range", bucket).drop("_splits")
 
 
@@ -34,18 +37,25 @@ def value_ranks(df: DataFrame, col: str, ranges: int = RANGES) -> DataFrame:
     ]).drop("_range")
 
 
-def hash_positions(df: DataFrame, keys: list[str], digest: str, tie: str, name: str) -> DataFrame:
-    """1-based position by (digest, tie) inside each key.
+def hash60(text: Column) -> Column:
+    """First 60 bits of the md5 of a text, as a non-negative long."""
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def hash_block(digest: str) -> Column:
+    """Digests are uniform, so their leading bits cut any key into even, ordered blocks."""
+    return F.shiftright(digest, HASH_BITS - BLOCK_BITS)
 
-    Digests are uniform, so a leading-hex prefix cuts every key into even blocks.
-    """
-    block = F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("long")
+
+def hash_positions(df: DataFrame, keys: list[str], digest: str, tie: str, name: str) -> DataFrame:
+    """1-based position by (digest, tie) inside each key; ``digest`` comes from ``hash60``."""
+    block = hash_block(digest)
     return running(df, keys, [digest, tie], block, [Run(name, "sum", F.lit(1).cast("long"))])
 
 
 def dense_ids(df: DataFrame, cols: list[str], name: str) -> DataFrame:
     """1-based position over unique rows, ordered by the sha of ``cols`` (stable, not sorted by value)."""
-    keyed = df.withColumn("_h", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols])))
+    keyed = df.withColumn("_h", hash60(F.concat_ws("|", *[F.col(c).cast("string") for c in cols])))
     return hash_positions(keyed, [], "_h", cols[0], name).drop("_h")
 
 

@@ -25,7 +25,7 @@ MAX_PROPERTY_KEYS = 5000
 def _points(raw: Column, depth: int) -> Column:
     """Coordinates of a geometry as ``parts``, by the nesting of its type."""
     def pt(p: Column) -> Column:
-        return F.struct(p[0].alias("x"), p[1].alias("y"))
+        return F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
     line = "array<array<double>>"
     if depth == 0:
         return F.array(F.array(F.array(pt(F.from_json(raw, "array<double>")))))
@@ -37,8 +37,8 @@ def _points(raw: Column, depth: int) -> Column:
 
 
 def parts_of(geom_type: Column, raw: Column) -> Column:
-    multi_point = F.transform(F.from_json(raw, "array<array<double>>"), lambda p: F.array(F.array(F.struct(p[0].alias("x"), p[1].alias("y")))))
-    multi_line = F.transform(F.from_json(raw, "array<array<array<double>>>"), lambda ln: F.array(F.transform(ln, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))))
+    multi_point = F.transform(F.from_json(raw, "array<array<double>>"), lambda p: F.array(F.array(F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))))
+    multi_line = F.transform(F.from_json(raw, "array<array<array<double>>>"), lambda ln: F.array(F.transform(ln, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))))
     return (F.when(geom_type == "Point", _points(raw, 0)).when(geom_type == "MultiPoint", multi_point).when(geom_type == "LineString", _points(raw, 1))
             .when(geom_type == "MultiLineString", multi_line).when(geom_type == "Polygon", _points(raw, 2)).when(geom_type == "MultiPolygon", _points(raw, 3)))
 
@@ -168,7 +168,7 @@ _PLACEMARK = (f"name string, ExtendedData struct<Data:array<struct<_name:string,
 def _kml_points(text: Column) -> Column:
     def pt(s: Column) -> Column:
         v = F.split(s, ",")
-        return F.struct(v[0].cast("double").alias("x"), v[1].cast("double").alias("y"))
+        return F.struct(F.get(v, F.lit(0)).try_cast("double").alias("x"), F.get(v, F.lit(1)).try_cast("double").alias("y"))
     return F.transform(F.filter(F.split(F.trim(text), r"\s+"), lambda s: s != ""), pt)
 
 
