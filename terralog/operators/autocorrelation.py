@@ -33,7 +33,7 @@ def _positions(units: DataFrame, draws: Column, seed: int, unit: str, extra: lis
                keep: Column | None = None) -> DataFrame:
     rows = units.select(unit, *extra, F.explode(draws).alias("draw"))
     rows = rows.withColumn("_h", _digest(seed, F.col("draw"), F.col(unit)))
-    return running(rows, ["draw"], ["_h", unit], hash_block("_h"), [Run("pos", "sum", F.lit(1).cast("long")), *runs], keep).drop("_h")
+    return running(rows, ["draw"], ["_h", unit], hash_block(rows, "_h"), [Run("pos", "sum", F.lit(1).cast("long")), *runs], keep).drop("_h")
 
 
 def permutation_draws(units: DataFrame, field: str, permutations: int, seed: int, unit: str = "unit_id",

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from terralog.operators.autocorrelation import permutation_draws
 from terralog.plans.grid import grid_pairs
-from terralog.plans.ranking import value_ranks
+from terralog.plans.ranking import hash60, value_ranks
 from terralog.session import cut
 
 
@@ -248,7 +248,7 @@ def forecast_validate(series: DataFrame, key: str, x: str, y: str, holdout: int,
 
 def block_validate(series: DataFrame, key: str, block: str, x: str, y: str, folds: int) -> DataFrame:
     """Spatial blocks: each fold is predicted by a pooled line fitted without it."""
-    d = cut(series.select(key, x, y, F.pmod(F.xxhash64(block), F.lit(folds)).alias("fold")), "folds")
+    d = cut(series.select(key, x, y, (hash60(F.col(block).cast("string")) % folds).alias("fold")), "folds")
     u = {"n": F.lit(1.0), "sx": F.col(x), "sy": F.col(y), "sxx": F.col(x) * F.col(x), "sxy": F.col(x) * F.col(y)}
     per = d.groupBy("fold").agg(*[F.sum(c).alias(n) for n, c in u.items()])
     tot = per.agg(F.struct(*[F.sum(n).alias(n) for n in u]).alias("t")).scalar()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terralog.functions.geo import METRES_PER_DEGREE
 from terralog.plans.grid import grid_pairs, whole_cell_near, with_cell
 from terralog.plans.iterate import components
+from terralog.plans.ranking import with_range
 from terralog.plans.running import last_seen, running
 from terralog.session import cut
 from terralog.spec import LOW_COVERAGE
@@ -93,12 +94,17 @@ def change_blocks(obs: DataFrame, base: tuple[str, str], comp: tuple[str, str],
 
 
 def moves(obs: DataFrame, entity: str, order: list[str], cell_deg: float, gran: str, max_gap: int) -> DataFrame:
-    """Consecutive observations of an entity as cell-to-cell moves; a gap over ``max_gap`` bins breaks the chain."""
+    """Consecutive observations of an entity as cell-to-cell moves; a gap over ``max_gap`` bins breaks the chain.
+
+    ``order`` starts with the observation time.
+    """
     cell = F.concat_ws(":", F.floor(F.col("lon") / cell_deg).cast("long"), F.floor(F.col("lat") / cell_deg).cast("long"))
     days = {"hour": F.floor(F.unix_timestamp("ts") / 3600), "day": F.unix_date(F.to_date("ts")),
             "week": F.floor((F.unix_date(F.to_date("ts")) + 3) / 7), "month": F.year("ts") * 12 + F.month("ts")}[gran].cast("long")
     d = obs.select(entity, *order, cell.alias("cell"), days.alias("bin"))
-    d = running(d, [entity], order, F.col("bin"), [last_seen("_p", order, F.struct("cell", "bin"), inclusive=False)])
+    # ranges of the whole time line, so that one busy entity or day is still cut
+    d = with_range(d.withColumn("_t", F.unix_micros(F.col(order[0]).cast("timestamp"))), "_t")
+    d = running(d, [entity], order, F.col("_range"), [last_seen("_p", order, F.struct("cell", "bin"), inclusive=False)])
     return d.where("_p IS NOT NULL").select(entity, *order, F.col("_p.v.cell").alias("from_cell"), F.col("cell").alias("to_cell"), "bin",
                                            (F.col("bin") - F.col("_p.v.bin") > max_gap).alias("broken"))
 

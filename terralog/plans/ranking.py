@@ -12,14 +12,24 @@ from pyspark.sql import functions as F
 
 from terralog.plans.running import Run, running
 
-RANGES = 128
-HASH_BITS, BLOCK_BITS = 60, 8
+HASH_BITS = 60
+MIN_BITS, MAX_BITS = 7, 13
 
 
-def with_range(df: DataFrame, col: str, ranges: int = RANGES) -> DataFrame:
-    """Add ``_range``, a monotone bucket id of a numeric column; the splits are one scalar subquery."""
+def block_bits(df: DataFrame) -> int:
+    """log2 of the number of ranges: about four per shuffle partition, so ranges shrink as the cluster grows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(MIN_BITS, min(MAX_BITS, (4 * parts - 1).bit_length()))
+
+
+def with_range(df: DataFrame, col: str, ranges: int | None = None) -> DataFrame:
+    """Add ``_range``, a monotone bucket id of a numeric column; the splits are one scalar subquery.
+
+    ``ranges`` is a power of two.
+    """
+    ranges = ranges or 1 << block_bits(df)
     probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    splits = df.select(F.percentile_approx(F.col(col).cast("double"), probs, F.lit(20000)).alias("s")).scalar()
+    splits = df.select(F.percentile_approx(F.col(col).cast("double"), probs, F.lit(max(20_000, 4 * ranges))).alias("s")).scalar()
     bound = df.withColumn("_splits", splits)
     # binary search over 2^k - 1 sorted splits
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(ranges.bit_length() - 1))])
@@ -28,7 +38,7 @@ def with_range(df: DataFrame, col: str, ranges: int = RANGES) -> DataFrame:
     return bound.withColumn("_range", bucket).drop("_splits")
 
 
-def value_ranks(df: DataFrame, col: str, ranges: int = RANGES) -> DataFrame:
+def value_ranks(df: DataFrame, col: str, ranges: int | None = None) -> DataFrame:
     """Per distinct value: ``n`` rows, ``below`` rows strictly smaller, ``dense`` 1-based rank."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     return running(with_range(counts, col, ranges), [], [col], F.col("_range"), [
@@ -42,14 +52,14 @@ def hash60(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def hash_block(digest: str) -> Column:
+def hash_block(df: DataFrame, digest: str) -> Column:
     """Digests are uniform, so their leading bits cut any key into even, ordered blocks."""
-    return F.shiftright(digest, HASH_BITS - BLOCK_BITS)
+    return F.shiftright(digest, HASH_BITS - block_bits(df))
 
 
 def hash_positions(df: DataFrame, keys: list[str], digest: str, tie: str, name: str) -> DataFrame:
     """1-based position by (digest, tie) inside each key; ``digest`` comes from ``hash60``."""
-    block = hash_block(digest)
+    block = hash_block(df, digest)
     return running(df, keys, [digest, tie], block, [Run(name, "sum", F.lit(1).cast("long"))])
 
 

@@ -97,9 +97,10 @@ def forecast_validate(t):
     return v.select("model", "n", *[F.round(c, 2).alias(c) for c in ("mae", "rmse", "bias")], F.round("interval_coverage", 8).alias("interval_coverage"))
 
 
-@query("forecast_block_validate")
+@query("forecast_block_validate", f"""WITH {_SERIES}, f AS (SELECT *, CAST('0x' || substring(md5(CAST(k AS VARCHAR)), 1, 15) AS BIGINT) % 5 AS fold FROM s),
+l AS (SELECT g.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM f JOIN (SELECT DISTINCT fold FROM f) g ON g.fold <> f.fold GROUP BY 1) SELECT fold, count(*) AS n, round(avg(abs(y - a - b*x)), 2) AS mae FROM f JOIN l USING (fold) GROUP BY 1""")
 def forecast_block_validate(t):
-    return D.block_validate(_series(t), "k", "k", "x", "y", 5)
+    return D.block_validate(_series(t), "k", "k", "x", "y", 5).withColumn("mae", F.round("mae", 2))
 
 
 _CAND = with_sql("population", "facilities") + f""", cv AS (SELECT fac_id, sum(population) AS pop, count(DISTINCT community) AS comm FROM facilities f JOIN population p ON {hav_sql('p', 'f')} <= 8000 GROUP BY 1),

@@ -281,19 +281,19 @@ def latest_version(t):
     return K.latest(t.orders.select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-def _month():
-    return F.months_between(F.trunc("o_orderdate", "MM"), F.lit("1970-01-01")).cast("long")
+def _day():
+    return F.unix_date(F.to_date("o_orderdate")).cast("long")
 
 
 @query("bounded_tail", "SELECT o_custkey, o_orderkey, rn AS age FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn <= 3")
 def bounded_tail(t):
-    return K.newest(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], _month(), 3).select("o_custkey", "o_orderkey", "age")
+    return K.newest(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], _day(), 3).select("o_custkey", "o_orderkey", "age")
 
 
 @query("history_retention", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn, max(o_orderdate) OVER (PARTITION BY o_custkey) AS mx, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders),
 k AS (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS kept FROM r WHERE rn <= 5 AND o_orderdate >= mx - INTERVAL 400 DAY) SELECT o_custkey, o_orderkey, kept < total AS pruned FROM k""")
 def history_retention(t):
-    return K.history(t.orders, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderdate", _month(), 400, 5).select("o_custkey", "o_orderkey", "pruned")
+    return K.history(t.orders, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderdate", _day(), 400, 5).select("o_custkey", "o_orderkey", "pruned")
 
 
 @query("keyset_page", "WITH p AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < 9000 ORDER BY o_orderkey DESC LIMIT 50) SELECT *, (SELECT min(o_orderkey) FROM p) AS next_before FROM p")

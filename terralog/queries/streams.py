@@ -120,7 +120,7 @@ def _micro(c: str) -> str:
     return f"CAST(CAST(round({c}*1000000, 0) AS BIGINT) AS VARCHAR)"
 
 
-@query("stream_digest")
+@query("stream_digest", f"{_CLS}, o AS ({_RV}) SELECT window_start, revision, sha256(concat_ws('|', epoch_us(window_start), revision, count, " + ", ".join(_micro(c) for c in ("sum", "min", "max", "mean", "mean_lon", "mean_lat")) + ")) AS digest FROM o")
 def stream_digest(t):
     return W.window_digest(_rounded(_revisions(t)))
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terralog.plans.ranking import with_range
 from terralog.plans.running import BLOCK_ROWS, Run, int_block, running
 
 # States of a source.
@@ -22,12 +23,12 @@ def source_union(sources: dict[str, DataFrame], event_id: str = "event_id") -> D
     return reduce(DataFrame.unionByName, tagged)
 
 
-def fuse(sources: dict[str, DataFrame], states: dict[str, str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+def fuse(sources: dict[str, DataFrame], states: dict[str, str]) -> DataFrame:
     """Released events in order (event time, declared source order, arrival) with their position.
 
     The horizon is the least of the live sources' largest event times. Finished sources do not hold
-    it; paused and failed ones neither hold it nor release. Rows are counted per hour block, so no
-    source or hour has to be sorted as a whole table.
+    it; paused and failed ones neither hold it nor release. Positions are counted per time range, so
+    nothing is sorted as a whole table.
     """
     active = {n: d for n, d in sources.items() if states.get(n, LIVE) in (LIVE, FINISHED)}
     every = source_union(sources).where(F.col("source").isin(*active))
@@ -36,8 +37,9 @@ def fuse(sources: dict[str, DataFrame], states: dict[str, str], block_rows: int
         per = every.where(F.col("source").isin(*live)).groupBy("source").agg(F.max("ts").alias("m"))
         horizon = per.agg(F.when(F.count(F.lit(1)) == len(live), F.min("m")).alias("h")).scalar()
         every = every.withColumn("_h", horizon).where(F.col("ts") <= F.col("_h")).drop("_h")
-    hour = F.floor(F.unix_micros("ts") / 3_600_000_000).cast("long")
-    return running(every, [], ["ts", "source_order", "arrival", "event_id"], hour, [Run("position", "sum", F.lit(1).cast("long"))])
+    ranged = with_range(every.withColumn("_t", F.unix_micros("ts")), "_t")
+    return running(ranged, [], ["ts", "source_order", "arrival", "event_id"], F.col("_range"),
+                   [Run("position", "sum", F.lit(1).cast("long"))]).drop("_t", "_range")
 
 
 def fuse_streams(sources: dict[str, DataFrame], lateness: str) -> DataFrame:
