@@ -84,6 +84,20 @@ def task_readiness(tasks: DataFrame) -> DataFrame:
                     (F.coalesce("n", F.lit(0)) - own).cast("long").alias("overlaps")))
 
 
+def scope_overlaps(tasks: DataFrame) -> DataFrame:
+    """Distinct scope pairs where one contains the other (or both are equal) and the second holds
+    in-progress tasks, with how many and the smallest id. A task's warnings are its scope's rows."""
+    busy = tasks.where("status = 'in_progress'").groupBy("write_scope").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    scopes = tasks.select("write_scope").distinct()
+
+    def ups(df: DataFrame) -> DataFrame:
+        parts = F.split("write_scope", "/")
+        return df.withColumn("up", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))))
+    above = ups(scopes).join(busy.withColumnRenamed("write_scope", "up"), "up").select("write_scope", F.col("up").alias("other"), "n", "first_id")
+    below = ups(busy).where("up <> write_scope").select(F.col("up").alias("write_scope"), F.col("write_scope").alias("other"), "n", "first_id")
+    return above.unionByName(below.join(scopes, "write_scope", "left_semi"))
+
+
 def layer_diff(base: DataFrame, current: DataFrame) -> DataFrame:
     """Per layer id: added, removed, changed or same, and both positions."""
     b = base.select("id", F.col("digest").alias("_bd"), F.col("position").alias("base_pos"))

@@ -6,6 +6,8 @@ the log is still spread over many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,21 +161,26 @@ def pair_calls(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     open_ = running(io, [KEY, "turn"], [SEQ], int_block(SEQ, block_rows), [Run("open", "sum", _one(_is("tool/call")) - _one(_is("tool/result")))])
     crowded = open_.groupBy(KEY, "turn").agg(F.max("open").alias("m")).where(F.col("m") > MAX_PENDING).select(KEY, "turn")
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pending: dict = {}
-        lost = []
-        for row in pdf.sort_values(SEQ).itertuples():
-            if row.type == "tool/call":
-                if len(pending) >= MAX_PENDING:
-                    oldest = next(iter(pending))
-                    lost.append(oldest)
-                    del pending[oldest]
-                pending[row.call_id] = True
-            else:
-                pending.pop(row.call_id, None)
-        return pd.DataFrame({KEY: pdf[KEY].iloc[0], "turn": pdf["turn"].iloc[0], "call_id": lost})
+    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, pending = None, {}          # at most MAX_PENDING calls are held, whatever the turn's length
+        for frame in frames:
+            lost = []
+            for row in frame.itertuples(index=False):
+                here = (getattr(row, KEY), row.turn)
+                if here != at:
+                    at, pending = here, {}
+                if row.type == "tool/call":
+                    if len(pending) >= MAX_PENDING:
+                        oldest = next(iter(pending))
+                        lost.append((*here, oldest))
+                        del pending[oldest]
+                    pending[row.call_id] = True
+                else:
+                    pending.pop(row.call_id, None)
+            yield pd.DataFrame(lost, columns=[KEY, "turn", "call_id"])
     schema = io.select(KEY, "turn", "call_id").schema
-    evicted = io.join(crowded, [KEY, "turn"], "left_semi").groupBy(KEY, "turn").applyInPandas(replay, schema).withColumn("_ev", F.lit(True))
+    ordered = io.join(crowded, [KEY, "turn"], "left_semi").repartition(KEY, "turn").sortWithinPartitions(KEY, "turn", SEQ)
+    evicted = ordered.mapInPandas(replay, schema).withColumn("_ev", F.lit(True))
     outcome = F.when(F.col("_ev"), "evicted").when(F.col("result_seq").isNull(), "dropped").otherwise("paired")
     return calls.join(evicted, [KEY, "turn", "call_id"], "left").withColumn("outcome", outcome).drop("_ev")
 

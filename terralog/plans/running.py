@@ -66,22 +66,32 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column, run
             keep: Column | None = None) -> DataFrame:
     """Add one column per run. ``block`` must not decrease along ``order`` inside a key.
 
-    ``keep`` may drop whole blocks by their carry columns ``_c0, _c1, ...`` before the inner sort,
+    Order columns must not be null. ``keep`` may drop whole blocks by their carry columns ``_c0, _c1, ...`` before the inner sort,
     for callers that only need the head of each key.
     """
-    part = [*keys, "_blk"]
     values = {f"_v{i}": r.value for i, r in enumerate(runs)}
     base = df.withColumn("_blk", block).withColumns(values)
+    # A key that may be null travels inside a struct, where nulls compare equal: the join below and
+    # the inner window then share one hash partitioning, which a null-safe comparison would not give.
+    part = [*keys, "_blk"]
+    if any(df.schema[k].nullable for k in keys):
+        base = base.withColumn("_part", F.struct(*part))
+        part = ["_part"]
+        keyed = {k: F.col(f"_part.{k}") for k in [*keys, "_blk"]}
+    else:
+        keyed = {k: F.col(k) for k in part}
 
     per_block = base.groupBy(*part).agg(*[_AGG[r.op](f"_v{i}").alias(f"_b{i}") for i, r in enumerate(runs)])
-    by_key = [F.col(k) for k in keys] or [F.lit(0)]
-    fwd = Window.partitionBy(*by_key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    bwd = Window.partitionBy(*by_key).orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
+    by_key = [keyed[k] for k in keys] or [F.lit(0)]
+    fwd = Window.partitionBy(*by_key).orderBy(keyed["_blk"].asc()).rowsBetween(Window.unboundedPreceding, -1)
+    bwd = Window.partitionBy(*by_key).orderBy(keyed["_blk"].desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry = per_block.select(
         *[F.col(c).alias(f"_k_{c}") for c in part],
         *[_AGG[r.op](f"_b{i}").over(bwd if r.backward else fwd).alias(f"_c{i}") for i, r in enumerate(runs)])
 
-    on = reduce(lambda a, b: a & b, [base[c].eqNullSafe(carry[f"_k_{c}"]) for c in part])
+    # Keys that fit one block carry nothing; without them the carry table is small enough to broadcast.
+    carry = carry.where(reduce(lambda a, b: a | b, [F.col(f"_c{i}").isNotNull() for i in range(len(runs))]))
+    on = reduce(lambda a, b: a & b, [base[c] == carry[f"_k_{c}"] for c in part])
     joined = base.join(carry, on, "left").drop(*[f"_k_{c}" for c in part])
 
     if keep is not None:

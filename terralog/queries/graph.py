@@ -33,6 +33,12 @@ def task_readiness(t):
     return L.task_readiness(t.tasks)
 
 
+@query("scope_overlaps", with_sql("tasks") + """, b AS (SELECT write_scope AS other, count(*) AS n, min(id) AS first_id FROM tasks WHERE status = 'in_progress' GROUP BY 1)
+SELECT s.write_scope, other, n, first_id FROM (SELECT DISTINCT write_scope FROM tasks) s JOIN b ON other = s.write_scope OR starts_with(other, s.write_scope || '/') OR starts_with(s.write_scope, other || '/')""")
+def scope_overlaps(t):
+    return L.scope_overlaps(t.tasks)
+
+
 def _layers(t):
     k = F.col("p_partkey")
     base = t.part.select(k.alias("id"), F.md5("p_name").alias("digest"), k.alias("position"))
