@@ -71,7 +71,9 @@ def best_of_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray
 def _cell(k: int):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         qids, keys, tops = [], [], []
-        for dim in np.intersect1d(left["dim"].to_numpy(), right["dim"].to_numpy()):
+        # a side without rows comes without columns
+        dims = np.intersect1d(left["dim"].to_numpy(), right["dim"].to_numpy()) if len(left) and len(right) else []
+        for dim in dims:
             qid, qkey, q = _matrix(left, int(dim))
             cid, _, c = _matrix(right, int(dim))
             found = [best_of_block(qid, q, cid[a:a + BLOCK], c[a:a + BLOCK], k) for a in range(0, len(cid), BLOCK)]
@@ -109,7 +111,8 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 10, cell_mb: int = 16, fan
     shards = max(1, -(-n // most), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // tiles))
     deal = F.xxhash64("vec_id", "key", F.lit("cell"))
     left = queries.select("*", F.pmod(deal, F.lit(tiles)).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    right = rows.select("*", F.pmod(deal, F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
+    # aliases: both sides of a cogroup come from one table, and must not share attributes
+    right = rows.select(*[F.col(c).alias(c) for c in rows.columns], F.pmod(deal, F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
     lists = left.groupBy("tile", "shard").cogroup(right.groupBy("tile", "shard")).applyInArrow(_cell(k), TOP)
     while shards > 1:
         shards = -(-shards // fan_in)
