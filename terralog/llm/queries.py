@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terralog.llm.exact_dedup import exact_dedup
 from terralog.llm.line_dedup import line_dedup
+from terralog.llm.packing import pack
 from terralog.llm.token_store import crc, read_store, write_store
 from terralog.llm.tokens import tokenizer_path
 from terralog.llm.topk import exact_topk, integer_vectors
@@ -31,9 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @query("op2_exact_topk", r"""
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.vec, c.vec), p -> p[1] * p[2])) AS BIGINT) AS score
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.vec, c.vec), lambda p: p[1] * p[2])) AS BIGINT) AS score
     FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.vec) = len(q.vec) WHERE q.vec_id % 100 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 10""")
@@ -47,6 +48,11 @@ def op3_token_store(spark, sf_dir):
     return read_store(manifest).select("doc_id", "start", "n_tokens", crc(F.col("ids")).alias("ids_crc32"))
 
 
+@query("op4_packing")
+def op4_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path()).withColumn("ids_crc32", crc(F.col("ids"))).drop("ids")
+
+
 @query("op6_exact_dedup", r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
