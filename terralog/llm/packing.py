@@ -15,31 +15,33 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terralog.llm.cutting_stock import patterns
-from terralog.llm.tokens import END, memo
+from terralog.llm.tokens import memo, wide
 from terralog.session import cut
 
 PIECES = "part int, row long, doc_id long, start long, length int, doc_tokens long, width int, nth long, ids binary"
 TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
 NAMES = [x.split()[0] for x in PIECES.split(", ")]
 BATCH_BYTES = 8 << 20
+WIDE_ROWS = 1000
 
 
 def _cutter(tokenizer: str, capacity: int, unit: int):
     def run(batches):
-        encode, part, row = memo(tokenizer).encode, TaskContext.get().partitionId(), 0
+        words, part, row = memo(tokenizer), TaskContext.get().partitionId(), 0
+        size_of = np.dtype(words.kind).itemsize
         seen = np.zeros(-(-capacity // unit) + 1, dtype=np.int64)
         out, size = [], 0
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encode(text.as_py()) + END
-                n = len(ids) // 4
+                ids = words.encode(text.as_py())
+                n = len(ids) // size_of
                 for a in range(0, n, capacity):
                     length = min(capacity, n - a)
                     width = -(-length // unit)
-                    out.append((part, row, doc, a, length, n, width, int(seen[width]), ids[4 * a:4 * (a + length)]))
+                    out.append((part, row, doc, a, length, n, width, int(seen[width]), ids[size_of * a:size_of * (a + length)]))
                     seen[width] += 1
                     row += 1
-                    size += 4 * length
+                    size += size_of * length
                 if size >= BATCH_BYTES:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), TYPES)], names=NAMES)
                     out, size = [], 0
@@ -48,6 +50,15 @@ def _cutter(tokenizer: str, capacity: int, unit: int):
     return run
 
 
+def _widen(batches):
+    """Ids from the stored width to 32 bits."""
+    for b in batches:
+        at, ids, n = b.schema.get_field_index("ids"), b.column("ids"), b.column("length").to_pylist()
+        for a in range(0, len(b), WIDE_ROWS):
+            out = [wide(x.as_py(), f"<u{len(x.as_py()) // k}") for x, k in zip(ids[a:a + WIDE_ROWS], n[a:a + WIDE_ROWS])]
+            yield b.slice(a, WIDE_ROWS).set_column(at, "ids", pa.array(out, pa.binary()))
+
+
 def plan_table(spark: SparkSession, demand: dict[int, int], slots: int) -> DataFrame:
     """``width, low, high, first_sequence, per``: ranks low..high-1 of a width go to sequences from the first on, ``per`` in each."""
     rows, taken, sequence = [], dict.fromkeys(demand, 0), 0
@@ -82,4 +93,5 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         "part", "row", "length", ranked["width"], "rank", (F.col("first_sequence") + F.floor((F.col("rank") - F.col("low")) / F.col("per"))).cast("long").alias("sequence_id"))
     within = Window.partitionBy("sequence_id").orderBy(F.desc("width"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.select("part", "row", "sequence_id", F.coalesce(F.sum("length").over(within), F.lit(0)).cast("long").alias("offset"))
-    return pieces.join(placed, ["part", "row"]).select("doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", "sequence_id", "offset", "ids")
+    whole = pieces.join(placed, ["part", "row"]).select("doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", "sequence_id", "offset", "ids")
+    return whole.mapInArrow(_widen, whole.schema)

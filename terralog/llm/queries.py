@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terralog.llm.exact_dedup import exact_dedup
 from terralog.llm.line_dedup import line_dedup
 from terralog.llm.packing import pack
+from terralog.llm.simhash import simhash_groups
 from terralog.llm.token_store import crc, read_store, write_store
 from terralog.llm.tokens import tokenizer_path
 from terralog.llm.topk import exact_topk, integer_vectors
@@ -61,6 +62,11 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op7_simhash")
+def op7_simhash(spark, sf_dir):
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 @query("op10_line_dedup", r"""
 WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
 l AS (SELECT doc_id, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS pos FROM s),

@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralog.llm import perfect_hash as mph
-from terralog.llm.tokens import END, memo
+from terralog.llm.tokens import memo, wide
 from terralog.session import cut, scratch_path
 
-MAGIC, VERSION, WIDTH = b"TLTS", 1, 4
+MAGIC, VERSION = b"TLTS", 1
 HEAD = np.dtype([("magic", "S4"), ("version", "<u4"), ("width", "<u4"), ("levels", "<u4"), ("docs", "<u8"), ("tokens", "<u8"), ("keys", "<u8"), ("words", "<u8")])
 SLOT = np.dtype([("print", "<u4"), ("count", "<u4"), ("row", "<u8")])
 PRINT_SEED = 1 << 20
@@ -37,7 +37,7 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def shard_bytes(ids: list[int | None], payload: bytes, firsts: np.ndarray) -> bytes:
+def shard_bytes(ids: list[int | None], payload: bytes, firsts: np.ndarray, width: int) -> bytes:
     """One file; ``ids`` ascend with nulls last, ``firsts`` has one token position more than documents."""
     null = np.asarray([i is None for i in ids], dtype=np.uint8)
     doc = np.asarray([0 if i is None else i for i in ids], dtype="<i8")
@@ -50,7 +50,7 @@ def shard_bytes(ids: list[int | None], payload: bytes, firsts: np.ndarray) -> by
     slots["print"][at] = mph.mix(hashed, PRINT_SEED) >> np.uint64(32)
     slots["count"][at], slots["row"][at] = count, row
     head = np.zeros(1, dtype=HEAD)
-    head[0] = (MAGIC, VERSION, WIDTH, len(sizes), len(doc), len(payload) // WIDTH, len(keys), len(words))
+    head[0] = (MAGIC, VERSION, width, len(sizes), len(doc), len(payload) // width, len(keys), len(words))
     return b"".join([head.tobytes(), payload, doc.tobytes(), null.tobytes(), np.asarray(firsts, dtype="<u8").tobytes(), sizes.tobytes(), words.tobytes(), slots.tobytes()])
 
 
@@ -62,8 +62,8 @@ class Shard:
         h = np.frombuffer(file.read(HEAD.itemsize), dtype=HEAD)[0]
         if h["magic"] != MAGIC or h["version"] != VERSION:
             raise ValueError("not a token shard of this version")
-        self.docs, self.tokens = int(h["docs"]), int(h["tokens"])
-        file.seek(HEAD.itemsize + self.tokens * WIDTH)
+        self.docs, self.tokens, self.width = int(h["docs"]), int(h["tokens"]), int(h["width"])
+        file.seek(HEAD.itemsize + self.tokens * self.width)
         rest = io.BytesIO(file.read())
         take = lambda kind, n: np.frombuffer(rest.read(np.dtype(kind).itemsize * int(n)), dtype=kind)
         self.ids, self.null, self.firsts = take("<i8", self.docs), take(np.uint8, self.docs), take("<u8", self.docs + 1).astype(np.int64)
@@ -71,10 +71,10 @@ class Shard:
         self.before = mph.ranks(self.words)
 
     def payload(self, first: int, last: int) -> bytes:
-        """Ids of the rows first..last-1."""
+        """Ids of the rows first..last-1, as unsigned 32-bit integers."""
         a, b = int(self.firsts[first]), int(self.firsts[last])
-        self.file.seek(HEAD.itemsize + a * WIDTH)
-        return self.file.read((b - a) * WIDTH)
+        self.file.seek(HEAD.itemsize + a * self.width)
+        return wide(self.file.read((b - a) * self.width), f"<u{self.width}")
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First row and number of rows of each key; no rows where the fingerprint differs."""
@@ -89,16 +89,17 @@ class Shard:
 
 def _writer(root: str, tokenizer: str, shard_mb: int):
     def run(batches):
-        part, seq, encode = TaskContext.get().partitionId(), 0, memo(tokenizer).encode
+        part, seq, words = TaskContext.get().partitionId(), 0, memo(tokenizer)
+        width = np.dtype(words.kind).itemsize
         fs, base = open_fs(root)
         ids, texts, size = [], [], 0
 
         def flush():
             nonlocal ids, texts, size, seq
-            firsts = np.concatenate([[0], np.cumsum([len(x) // WIDTH for x in texts])])
+            firsts = np.concatenate([[0], np.cumsum([len(x) // width for x in texts])])
             name = f"{part:06d}-{seq:06d}-{uuid.uuid4().hex}.tok"
             with fs.open_output_stream(f"{base}/{name}") as out:
-                out.write(shard_bytes(ids, b"".join(texts), firsts))
+                out.write(shard_bytes(ids, b"".join(texts), firsts, width))
             known = [i for i in ids if i is not None]
             row = {"part": [part], "seq": [seq], "path": [f"{root}/{name}"], "first_id": [min(known, default=None)], "last_id": [max(known, default=None)], "docs": [len(ids)], "tokens": [int(firsts[-1])]}
             ids, texts, size, seq = [], [], 0, seq + 1
@@ -106,7 +107,7 @@ def _writer(root: str, tokenizer: str, shard_mb: int):
 
         for b in batches:
             for i, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                data = encode(raw.as_py()) + END
+                data = words.encode(raw.as_py())
                 ids.append(i)
                 texts.append(data)
                 size += len(data)
@@ -155,10 +156,10 @@ def _reader(batches):
                 shard, row = Shard(file), 0
                 while row < shard.docs:
                     # as many rows as fill a batch, one at least
-                    last = max(row + 1, int(np.searchsorted(shard.firsts, shard.firsts[row] + BATCH_BYTES // WIDTH, "right")) - 1)
+                    last = max(row + 1, int(np.searchsorted(shard.firsts, shard.firsts[row] + BATCH_BYTES // 4, "right")) - 1)
                     data, at = shard.payload(row, last), shard.firsts[row:last + 1] - shard.firsts[row]
                     yield _batch([(None if shard.null[row + k] else int(shard.ids[row + k]), start + int(shard.firsts[row + k]), int(at[k + 1] - at[k]),
-                                   data[at[k] * WIDTH:at[k + 1] * WIDTH]) for k in range(last - row)])
+                                   data[4 * at[k]:4 * at[k + 1]]) for k in range(last - row)])
                     row = last
 
 
