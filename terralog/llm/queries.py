@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terralog.llm import toxicity
 from terralog.llm.exact_dedup import exact_dedup
+from terralog.llm.html_extract import extract_pages
 from terralog.llm.line_dedup import line_dedup
 from terralog.llm.packing import pack
 from terralog.llm.simhash import simhash_groups
@@ -55,6 +56,11 @@ def op4_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer_path()).withColumn("ids_crc32", crc(F.col("ids"))).drop("ids")
 
 
+@query("op5_html_extract")
+def op5_html_extract(spark, sf_dir):
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 @query("op6_exact_dedup", r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
