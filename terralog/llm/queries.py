@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terralog.llm import toxicity
 from terralog.llm.exact_dedup import exact_dedup
 from terralog.llm.html_extract import extract_pages
+from terralog.llm.license_scan import licenses
 from terralog.llm.line_dedup import line_dedup
 from terralog.llm.packing import pack
 from terralog.llm.simhash import simhash_groups
@@ -81,6 +82,11 @@ def op8_toxicity(spark, sf_dir):
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query("op9_license_scan")
+def op9_license_scan(spark, sf_dir):
+    return licenses(table(spark, sf_dir, "documents"))
+
+
 @query("op10_line_dedup", r"""
 WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
 l AS (SELECT doc_id, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS pos FROM s),
