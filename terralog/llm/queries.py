@@ -13,6 +13,7 @@ from terralog.llm.html_extract import extract_pages
 from terralog.llm.license_scan import licenses
 from terralog.llm.line_dedup import line_dedup
 from terralog.llm.packing import pack
+from terralog.llm.sentencepiece_codec import decode_documents, encode_documents
 from terralog.llm.simhash import simhash_groups
 from terralog.llm.token_store import crc, read_store, write_store
 from terralog.llm.tokens import tokenizer_path
@@ -35,6 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_sentencepiece")
+def op1_sentencepiece(spark, sf_dir):
+    path = tokenizer_path("piece_bpe_32k.model")
+    both = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
+    return both.select("doc_id", "n_pieces", crc(F.col("ids")).alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"),
+                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 @query("op2_exact_topk", r"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
