@@ -59,18 +59,29 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("row") == F.col("first.row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def without(docs: DataFrame, digest: Column, members: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows that ``members`` (``id, digest, stays``, one row per row of a group) does not let stay.
+
+    Rows equal in id and digest cannot be told apart by either; those that stay are made one row, in a branch of their own where there are any.
+    """
+    pairs = cut(members.groupBy("id", "digest").agg(F.max("stays").alias("stays"), F.count("*").alias("same")).where("NOT stays OR same > 1")
+                .select(F.col("id").alias("_id"), F.col("digest").alias("_of"), "stays"), "listed")
+    marked = docs.withColumn("_digest", digest)
+    on = [marked["_digest"] == pairs["_of"], marked[id_col].eqNullSafe(pairs["_id"])]
+    kept = marked.join(pairs, on, "left_anti").drop("_digest")
+    repeated = pairs.where("stays")
+    if not repeated.limit(1).count():
+        return kept
+    return kept.unionByName(marked.join(repeated, on, "left_semi").dropDuplicates(["_digest", id_col]).drop("_digest"))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they were; repeated rows with one id and text give one row."""
-    told = exact_dedup(docs, id_col, text_col)
-    # rows equal in id and text cannot be told apart by either; they are counted, and made one only where there are any
-    stay = cut(told.groupBy("text_sha256", "keep_id").agg(
-        F.sum(F.col("doc_id").eqNullSafe(F.col("keep_id")).cast("long")).alias("same")).select(
-        F.unhex("text_sha256").alias("_digest"), F.col("keep_id").alias("_keep"), "same"), "stay")
-    norm = normalise(F.col(f"`{text_col}`"))
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(norm, 256)))
-    on = [marked["_digest"] == stay["_digest"], marked[id_col].eqNullSafe(stay["_keep"])]
-    if not stay.where("same > 1").limit(1).count():
-        return marked.join(stay, on, "left_semi").drop("_digest")
-    many = stay.where("same > 1").select("_digest", "_keep")
-    few = marked.join(stay.where("same = 1"), on, "left_semi").drop("_digest")
-    return few.unionByName(marked.join(many, on, "left_semi").dropDuplicates(["_digest"]).drop("_digest"))
+    """The rows of ``docs`` that stay, all columns as they were; repeated rows with one id and text give one row.
+
+    Columns named ``_digest`` would clash and are refused by name.
+    """
+    if "_digest" in docs.columns:
+        raise ValueError("rename the column _digest")
+    told = exact_dedup(docs, id_col, text_col).where("group_size > 1")
+    members = told.select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays"))
+    return without(docs, F.unhex(F.sha2(normalise(F.col(f"`{text_col}`")), 256)), members, id_col)

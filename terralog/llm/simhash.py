@@ -13,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from terralog.llm.bk_tree import links
+from terralog.llm.exact_dedup import without
 from terralog.plans.iterate import components
 from terralog.session import cut
 
@@ -51,6 +53,14 @@ def _prints(words: int):
     return run
 
 
+def _tagged_prints(words: int):
+    def run(batches):
+        for b in batches:
+            prints = np.asarray([fingerprint(x.as_py(), words) for x in b.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(prints, pa.int64())], names=["id", "digest", "print"])
+    return run
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """``doc_id, print``; the print is the unsigned fingerprint's bits as a long."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
@@ -106,6 +116,13 @@ def near_links(prints: DataFrame, radius: int = 4, bucket_rows: int = 2048, shar
     return cut(rows.select("print", "key", F.pmod("key", F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(_shard_links(radius), "a long, b long").distinct(), "links")
 
 
+def _heads(nodes: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
+    """``print, head`` for prints that have links."""
+    edges = near_links(nodes.select("print"), radius, bucket_rows)
+    ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    return components(ends, edges).select(F.col("id").alias("print"), F.col("label").alias("head"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, bucket_rows: int = 2048) -> DataFrame:
     """``doc_id, fingerprint, component_id``: one row per input row; ``component_id`` is the smallest id reachable over links.
 
@@ -114,10 +131,26 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = cut(fingerprints(docs, id_col, text_col, words), "prints")
     nodes = cut(rows.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes")
-    edges = near_links(nodes.select("print"), radius, bucket_rows)
-    ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
-    heads = components(ends, edges).select(F.col("id").alias("print"), F.col("label").alias("head"))
-    led = nodes.join(heads, "print", "left").select("print", "first", F.coalesce("head", "print").alias("head"))
+    led = nodes.join(_heads(nodes, radius, bucket_rows), "print", "left").select("print", "first", F.coalesce("head", "print").alias("head"))
     ids = led.groupBy("head").agg(F.min("first").alias("component_id"))
     known = led.select("print", "head").join(ids, "head").select("print", "component_id")
     return rows.join(known, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, bucket_rows: int = 2048) -> DataFrame:
+    """The rows of ``docs`` of which one per component stays, the smallest id (then digest), with all columns as they were.
+
+    Null ids come last. Repeated rows of one id and text give one row. Columns named ``_digest`` would clash and are refused by name.
+    """
+    if "_digest" in docs.columns:
+        raise ValueError("rename the column _digest")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.cast("binary").alias("text"))
+    rows = cut(rows.mapInArrow(_tagged_prints(words), StructType([*rows.drop("text").schema.fields, StructField("print", LongType())])), "prints")
+    rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")
+    nodes = cut(rows.groupBy("print").agg(F.min(rank).alias("first"), F.count("*").alias("n")), "nodes")
+    led = nodes.join(_heads(nodes, radius, bucket_rows), "print", "left").select("print", "first", "n", F.coalesce("head", "print").alias("head"))
+    best = led.groupBy("head").agg(F.min("first").alias("best"), F.sum("n").alias("size")).where("size > 1")
+    known = led.select("print", "head").join(best, "head").select("print", "best")
+    members = rows.join(known, "print").select("id", "digest", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("digest") == F.col("best.digest"))).alias("stays"))
+    return without(docs, F.unhex(F.sha2(text, 256)), members, id_col)
