@@ -24,6 +24,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
 COUNT_ROWS = 1 << 16
 BITS = 64
+DEPTH = 16                         # levels of buckets; the last is searched whatever its size
 
 
 def fingerprint(raw: bytes | None, words: int = 4) -> int:
@@ -67,23 +68,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_prints(words), "doc_id long, print long")
 
 
-def _split(bits: list[int], groups: int) -> list[list[int]]:
-    return [list(map(int, x)) for x in np.array_split(bits, groups)]
-
-
 def _signed(bits: list[int]) -> int:
     mask = sum(1 << b for b in bits)
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
-def _deal(rows: DataFrame, paths: list[list[int]], groups: int) -> tuple[DataFrame, list[list[int]]]:
-    """Each row of path p into ``groups`` buckets by parts of the bits that its path has not fixed."""
-    free = [_split(bits, groups) for bits in paths]
-    masks = F.array(*[F.array(*[F.lit(_signed(part)) for part in parts]) for parts in free])
-    mine = F.element_at(masks, F.col("path") + 1)
-    out = rows.select("print", "path", F.col("key").alias("above"), F.posexplode(mine).alias("part", "mask")).select(
-        "print", (F.col("path") * groups + F.col("part")).alias("path"), F.xxhash64("above", "path", "part", F.col("print").bitwiseAND(F.col("mask"))).alias("key"))
-    return out, [[b for b in bits if b not in part] for bits, parts in zip(paths, free) for part in parts]
+def _partition(level: int, groups: int) -> list[int]:
+    """Masks of ``groups`` parts of the bits: neighbours at level 0, then shuffled differently at each level."""
+    bits = np.arange(BITS) if level == 0 else np.random.default_rng(level).permutation(BITS)
+    return [_signed(part.tolist()) for part in np.array_split(bits, groups)]
+
+
+def _deal(rows: DataFrame, level: int, groups: int) -> DataFrame:
+    """Each row into ``groups`` buckets, by the bits of a part that its bucket has not fixed yet."""
+    parts = F.array(*[F.lit(m) for m in _partition(level, groups)])
+    split = rows.select("print", "free", F.col("key").alias("above"), F.posexplode(parts).alias("part", "mask"))
+    fixed = F.col("free").bitwiseAND(F.col("mask"))
+    return split.select("print", F.col("free").bitwiseXOR(fixed).alias("free"), F.xxhash64("above", "part", F.col("print").bitwiseAND(fixed)).alias("key"))
 
 
 def _shard_links(radius: int):
@@ -95,18 +96,14 @@ def _shard_links(radius: int):
 
 def near_links(prints: DataFrame, radius: int = 4, bucket_rows: int = 2048, shard_rows: int = 8192) -> DataFrame:
     """``a, b``: edges between distinct prints that span every group linked within ``radius`` bits."""
-    groups, paths = radius + 1, [list(range(BITS))]
-    level = prints.select("print", F.lit(0).alias("path"), F.lit(0).cast("long").alias("key"))
-    done: list[DataFrame] = []
-    while True:
-        level, paths = _deal(level, paths, groups)
-        level = cut(level, "buckets")
-        sizes = level.groupBy("key").count()
-        # prints of a bucket are distinct, so a bucket with few free bits is small by itself
-        if 1 << max(map(len, paths)) <= bucket_rows or not (hot := sizes.where(F.col("count") > bucket_rows).select("key")).limit(1).count():
+    level, done = prints.select("print", F.lit(-1).cast("long").alias("free"), F.lit(0).cast("long").alias("key")), []
+    for depth in range(DEPTH):
+        level = cut(_deal(level, depth, radius + 1), "buckets")
+        hot = level.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("key")
+        if depth + 1 == DEPTH or not (hot := cut(hot, "hot")).limit(1).count():
             done.append(level)
             break
-        hot = cut(hot, "hot")
+        # the prints of a bucket differ in its free bits only, so a bucket of few free bits is small by itself
         done.append(level.join(hot, "key", "left_anti").select(*level.columns))
         level = level.join(hot, "key", "left_semi").select(*level.columns)
     rows = done[0]
