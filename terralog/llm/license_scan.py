@@ -8,6 +8,7 @@ the unknown. A family is reported when a template of it is found in the paragrap
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
@@ -112,12 +113,17 @@ def _doubles(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
+def _constant(value, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value, sort_keys=True)), kind)
+
+
 def classify(line: Column) -> Column:
     """``struct(family, probability, confirmed)`` of a paragraph."""
     families, weights, constants, heat = train()
-    table = F.create_map(*[c for g, w in sorted(weights.items()) for c in (F.lit(g), _doubles(w))])
+    # one literal each instead of an expression per weight, which would slow the planner
+    table = _constant(weights, "map<string,array<double>>")
     names = F.array(*[F.lit(f) for f in families])
-    templates = F.array(*[F.struct(F.lit(f).alias("family"), F.array(*[F.lit(s) for s in shingles_of(words_of(t))]).alias("shingles")) for f in sorted(TEMPLATES) for t in TEMPLATES[f]])
+    templates = _constant([{"family": f, "shingles": shingles_of(words_of(t))} for f in sorted(TEMPLATES) for t in TEMPLATES[f]], "array<struct<family:string,shingles:array<string>>>")
     low = F.regexp_replace(F.lower(line), r"\.(?![0-9])", " ")
     words = F.filter(F.split(low, r"[^a-z0-9.]+"), lambda w: w != "")
     none = F.array().cast("array<string>")
