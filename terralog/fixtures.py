@@ -27,11 +27,11 @@ class Tables:
 
     @cached_property
     def units(self) -> DataFrame:
-        n = self.orders.where("o_totalprice > 420000").groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("denominator"))
+        n = self.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("orders"))
         k = F.col("c_custkey")
         return self.customer.join(n, F.col("o_custkey") == k, "left").select(
             k.alias("unit_id"), lon_of(k).alias("lon"), lat_of(k).alias("lat"),
-            F.when(k % 17 != 0, F.col("c_acctbal")).alias("value"), "denominator",
+            F.when(k % 17 != 0, F.col("c_acctbal")).alias("value"), F.when(k % 7 != 0, F.col("orders")).alias("denominator"),
             F.col("c_nationkey").alias("zone"))
 
     @cached_property
@@ -91,9 +91,10 @@ class Tables:
     def tasks(self) -> DataFrame:
         k = F.col("p_partkey")
         blockers = F.filter(F.array(
-            F.when(k >= 1, F.floor(k / 2)), F.when(k % 97 == 0, k + 1000000000), F.when(k % 89 == 0, k)),
+            F.when(k >= 1, F.floor(k / 2)), F.when(k % 97 == 0, k + 1000000000), F.when(k % 89 == 0, k),
+            F.when((k % 83 == 0) & (k > 0), k + 1), F.when((k % 83 == 1) & (k > 1), k - 1)),
             lambda v: v.isNotNull())
-        status = F.element_at(F.array(*map(F.lit, ("pending", "in_progress", "completed"))), (k % 3 + 1).cast("int"))
+        status = F.when(k % 71 == 5, "deleted").otherwise(F.element_at(F.array(*map(F.lit, ("pending", "in_progress", "completed"))), (k % 3 + 1).cast("int")))
         scope = F.when(k % 10 == 0, F.col("p_type")).otherwise(F.concat_ws("/", "p_type", "p_brand"))
         return self.part.select(k.alias("id"), blockers.alias("blocked_by"), status.alias("status"), scope.alias("write_scope"))
 
@@ -167,8 +168,8 @@ def hav_sql(a: str, b: str) -> str:
 
 SQL = {
     "units": f"""units AS (SELECT c_custkey AS unit_id, {lonlat_sql('c_custkey')},
- CASE WHEN c_custkey % 17 <> 0 THEN c_acctbal END AS value, CAST(n AS DOUBLE) AS denominator, c_nationkey AS zone
- FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 420000 GROUP BY 1) o ON o_custkey = c_custkey)""",
+ CASE WHEN c_custkey % 17 <> 0 THEN c_acctbal END AS value, CASE WHEN c_custkey % 7 <> 0 THEN CAST(n AS DOUBLE) END AS denominator, c_nationkey AS zone
+ FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey)""",
     "population": f"""population AS (SELECT c_custkey AS unit_id, {lonlat_sql('c_custkey')},
  1 + c_custkey % 97 AS population, c_nationkey AS community FROM customer)""",
     "facilities": f"""facilities AS (SELECT s_suppkey AS fac_id, {lonlat_sql('(s_suppkey*31+7)')},
@@ -189,8 +190,9 @@ SQL = {
     "sessions": """sessions AS (SELECT DISTINCT conv_id AS session_id,
  CASE WHEN conv_id >= 1 THEN conv_id // 3 END AS parent_id, conv_id % 4 AS cwd FROM conversations)""",
     "tasks": """tasks AS (SELECT p_partkey AS id, list_filter([CASE WHEN p_partkey >= 1 THEN p_partkey // 2 END,
- CASE WHEN p_partkey % 97 = 0 THEN p_partkey + 1000000000 END, CASE WHEN p_partkey % 89 = 0 THEN p_partkey END],
- lambda v: v IS NOT NULL) AS blocked_by, ['pending','in_progress','completed'][p_partkey % 3 + 1] AS status,
+ CASE WHEN p_partkey % 97 = 0 THEN p_partkey + 1000000000 END, CASE WHEN p_partkey % 89 = 0 THEN p_partkey END,
+ CASE WHEN p_partkey % 83 = 0 AND p_partkey > 0 THEN p_partkey + 1 END, CASE WHEN p_partkey % 83 = 1 AND p_partkey > 1 THEN p_partkey - 1 END],
+ lambda v: v IS NOT NULL) AS blocked_by, CASE WHEN p_partkey % 71 = 5 THEN 'deleted' ELSE ['pending','in_progress','completed'][p_partkey % 3 + 1] END AS status,
  CASE WHEN p_partkey % 10 = 0 THEN p_type ELSE concat_ws('/', p_type, p_brand) END AS write_scope FROM part)""",
 }
 

@@ -86,14 +86,17 @@ def run_fold(events: DataFrame, fold: Fold) -> DataFrame:
 
 
 def fold_stream(stream: DataFrame, fold: Fold) -> DataFrame:
-    """Streaming twin: the state of each key survives between batches; emits the newest view."""
+    """Streaming twin: the state of each key survives between batches; emits the newest view.
+
+    Rows of a key are in order within a trigger; a row that arrives in a later trigger than its successors is folded when it comes.
+    """
     key, order, init, step, view = fold.key, fold.order, fold.init, fold.apply, fold.view
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         value = json.loads(state.get[0]) if state.exists else init()
-        for frame in frames:
-            for row in frame.sort_values(order).itertuples(index=False):
-                value = step(value, row)
+        # a key's rows of one trigger come in several frames: order holds across them, so they are put together first
+        for row in pd.concat(list(frames)).sort_values(order).itertuples(index=False):
+            value = step(value, row)
         state.update((json.dumps(value),))
         yield pd.DataFrame([{key: k[0], **view(value)}])
     kind = dict(stream.dtypes)[key]

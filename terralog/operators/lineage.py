@@ -48,7 +48,8 @@ def flatten_lineage(sessions: DataFrame, limit: int = 64) -> DataFrame:
 
 
 def dependency_check(tasks: DataFrame) -> DataFrame:
-    """``id, blocker, violation``: missing, repeated, self or cyclic blockers."""
+    """``id, blocker, violation``: missing, repeated, self or cyclic blockers. Deleted tasks are as good as absent."""
+    tasks = tasks.where(F.coalesce("status", F.lit("")) != "deleted")
     e = cut(tasks.select("id", F.explode("blocked_by").alias("blocker")), "deps")
     ids = tasks.select(F.col("id").alias("blocker"))
     missing = e.join(ids, "blocker", "left_anti").select("id", "blocker").distinct().withColumn("violation", F.lit("missing"))
@@ -177,10 +178,12 @@ def paged_collect(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``pages``: request, offset, item_id, total.
     """
     rows = pages.select("request", "item_id").distinct()
-    said = pages.groupBy("request").agg(F.max("total").alias("total"), F.max("offset").alias("_last"))
+    # the page that starts furthest on, and the rows it brought: the next page starts behind them
+    sizes = pages.groupBy("request", "offset").agg(F.count_distinct("item_id").alias("rows"), F.max("total").alias("total"))
+    said = sizes.groupBy("request").agg(F.max("total").alias("total"), F.max(F.struct("offset", "rows")).alias("_last"))
     got = rows.groupBy("request").agg(F.count(F.lit(1)).alias("collected"))
     more = F.col("collected") < F.col("total")
     cover = said.join(got, "request").select(
         "request", "total", "collected", F.when(more, "partial").otherwise("complete").alias("coverage"), more.alias("has_more"),
-        F.when(more, F.col("_last") + 1).alias("next_offset"))
+        F.when(more, F.col("_last.offset") + F.col("_last.rows")).alias("next_offset"))
     return rows, cover

@@ -42,18 +42,29 @@ def bin_coverage(obs: DataFrame, lo: str, hi: str, gran: str) -> DataFrame:
 
 
 def calendar_frames(obs: DataFrame, lo: str, hi: str, gran: str, tz: str) -> DataFrame:
-    """Local calendar frames over the window; frames without observations stay, ``occupied`` false."""
+    """Local calendar frames over the window; frames without observations stay, ``occupied`` false.
+
+    Hours go by elapsed time: the hour that a clock change repeats is two frames of one name, the one it skips is none.
+    """
     spark = obs.sparkSession
-    local_lo, local_hi = (f"from_utc_timestamp(TIMESTAMP '{t}', '{tz}')" for t in (lo, hi))
+
+    def local_start(t):
+        here = F.from_utc_timestamp(t, tz)
+        into = F.unix_micros(here) - F.unix_micros(F.date_trunc(gran, here))
+        # an hour is known by its first instant, longer frames by their local name
+        return F.timestamp_micros(F.unix_micros(t) - into) if gran == "hour" else F.date_trunc(gran, here)
+
+    lo_at, hi_at = (F.to_timestamp(F.lit(t)) for t in (lo, hi))
     step = {"hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAY", "month": "INTERVAL 1 MONTH"}[gran]
-    frames = f"sequence(date_trunc('{gran}', {local_lo}), {local_hi} - INTERVAL 1 MICROSECOND, {step})"
-    n = spark.sql(f"SELECT size({frames}) AS n").first().n
+    end = hi_at if gran == "hour" else F.from_utc_timestamp(hi_at, tz)
+    frames = F.sequence(local_start(lo_at), end - F.expr("INTERVAL 1 MICROSECOND"), F.expr(step))
+    n = spark.range(1).select(F.size(frames).alias("n")).first().n
     if n > MAX_FRAMES:
         raise ValueError(f"{n} frames exceed {MAX_FRAMES}")
-    seen = (obs.where(_in(lo, hi)).groupBy(F.date_trunc(gran, F.from_utc_timestamp("ts", tz)).alias("frame"))
-            .agg(F.count(F.lit(1)).alias("n")))
-    grid = spark.range(1).select(F.explode(F.expr(frames)).alias("frame"))
-    return grid.join(seen, "frame", "left").select("frame", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("occupied"))
+    seen = obs.where(_in(lo, hi)).groupBy(local_start(F.col("ts").cast("timestamp")).alias("frame")).agg(F.count(F.lit(1)).alias("n"))
+    grid = spark.range(1).select(F.explode(frames).alias("frame"))
+    name = F.from_utc_timestamp("frame", tz) if gran == "hour" else F.col("frame")
+    return grid.join(seen, "frame", "left").select(name.alias("frame"), F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("occupied"))
 
 
 def change(obs: DataFrame, unit: str, base: tuple[str, str], comp: tuple[str, str], gran: str = "day",

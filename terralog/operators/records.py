@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Key fragments (compared lower-case, letters and digits only) and geometry keys.
+# Key fragments (compared lower-case, letters and digits only, so spellings with underscores are equal), geometry keys, path patterns.
 CREDENTIAL_FRAGMENTS = ("token", "secret", "credential", "password", "apikey", "authorization", "cookie", "privatekey")
 GEOMETRY_KEYS = ("geometry", "coordinates", "features", "geom", "raster")
 PATH_PLACEHOLDER = "<path>"
@@ -75,54 +78,63 @@ def sanitize_items(items: Column) -> Column:
     return F.transform(F.slice(items, 1, MAX_ITEMS), lambda v: F.when(is_path(v), PATH_PLACEHOLDER).otherwise(v))
 
 
+class _Redaction:
+    """One JSON value cleaned in place, with an explicit stack; ``notes`` says what was taken out, in document order."""
+
+    def __init__(self, max_depth: int, max_items: int):
+        self.paths = re.compile(f"(?:{POSIX_PATH})|(?:{WINDOWS_PATH})")
+        self.max_depth, self.max_items = max_depth, max_items
+
+    def _instead(self, value, name: str, label: str, depth: int):
+        """(note, replacement) of a value that may not stay, else None."""
+        container = isinstance(value, dict | list)
+        if container and depth >= self.max_depth:
+            return f"depth:{label}", "[truncated:depth]"
+        if container and name.lower() in GEOMETRY_KEYS:
+            return f"geometry:{name}", {"obsRedacted": "geometry"}
+        if isinstance(value, str) and self.paths.match(value):
+            return f"path:{label}", PATH_PLACEHOLDER
+        return None
+
+    def clean(self, text: str) -> tuple[str | None, list[str]]:
+        try:
+            box = [json.loads(text)]
+        except ValueError:
+            return None, ["unreadable:<root>"]
+        notes: list[str] = []
+        todo = [(box, 0, "", 0)]
+        while todo:
+            holder, slot, name, depth = todo.pop()
+            if isinstance(holder, dict) and any(f in re.sub("[^a-z0-9]", "", name.lower()) for f in CREDENTIAL_FRAGMENTS):
+                notes.append(f"credential:{name}")
+                holder[slot] = f"[redacted:{name}]"
+                continue
+            value = holder[slot]
+            if taken := self._instead(value, name, name or "<root>", depth):
+                notes.append(taken[0])
+                holder[slot] = taken[1]
+            elif isinstance(value, dict):
+                todo += [(value, k, k, depth + 1) for k in reversed(value)]
+            elif isinstance(value, list):
+                if len(value) > self.max_items:
+                    notes.append(f"items:{name or '<root>'}")
+                    del value[self.max_items:]
+                todo += [(value, i, f"{name}[{i}]" if name else str(i), depth + 1) for i in reversed(range(len(value)))]
+        return json.dumps(box[0], ensure_ascii=False), notes
+
+
 def sanitize_json(df: DataFrame, payload: str, max_depth: int = 6, max_items: int = MAX_ITEMS) -> DataFrame:
-    """Redact arbitrarily nested JSON. Nesting of unknown shape is walked in Arrow batches."""
-    import re
-
-    posix, windows = re.compile(POSIX_PATH), re.compile(WINDOWS_PATH)
-
-    def hidden_key(key: str) -> bool:
-        flat = re.sub("[^a-z0-9]", "", key.lower())
-        return any(f in flat for f in CREDENTIAL_FRAGMENTS)
-
-    def scrub(value, key, depth, notes):
-        where = key or "<root>"
-        if isinstance(value, str) and (posix.match(value) or windows.match(value)):
-            notes.append(f"path:{where}")
-            return PATH_PLACEHOLDER
-        if not isinstance(value, dict | list):
-            return value
-        if depth >= max_depth:
-            notes.append(f"depth:{where}")
-            return "[truncated:depth]"
-        if key.lower() in GEOMETRY_KEYS:
-            notes.append(f"geometry:{key}")
-            return {"obsRedacted": "geometry"}
-        if isinstance(value, list):
-            if len(value) > max_items:
-                notes.append(f"items:{where}")
-            return [scrub(v, f"{key}[{i}]" if key else str(i), depth + 1, notes) for i, v in enumerate(value[:max_items])]
-        out = {}
-        for k, v in value.items():
-            if hidden_key(k):
-                notes.append(f"credential:{k}")
-                out[k] = f"[redacted:{k}]"
-            else:
-                out[k] = scrub(v, k, depth + 1, notes)
-        return out
+    """Redact arbitrarily nested JSON; nesting of unknown shape is walked in Arrow batches.
 
+    A text that is no JSON becomes null with the note ``unreadable``; a null stays null.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField("redactions", T.ArrayType(T.StringType()))])
 
     def batches(frames):
-        import json
+        redaction = _Redaction(max_depth, max_items)
         for pdf in frames:
-            noted = []
-            cleaned = []
-            for raw in pdf[payload]:
-                notes: list[str] = []
-                cleaned.append(None if raw is None else json.dumps(scrub(json.loads(raw), "", 0, notes), ensure_ascii=False))
-                noted.append(notes)
-            yield pdf.assign(**{payload: cleaned, "redactions": noted})
+            done = [(None, []) if raw is None else redaction.clean(raw) for raw in pdf[payload]]
+            yield pdf.assign(**{payload: [d[0] for d in done], "redactions": [d[1] for d in done]})
     return df.mapInPandas(batches, schema)
 
 

@@ -6,6 +6,7 @@ the log is still spread over many tasks.
 
 from __future__ import annotations
 
+from functools import reduce
 from collections.abc import Iterator
 
 import pandas as pd
@@ -154,10 +155,7 @@ def pair_calls(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     no others, replay their call order exactly.
     """
     io = events.where(_is("tool/call", "tool/result")).select(KEY, "turn", SEQ, "type", "call_id", "is_error")
-    calls = io.groupBy(KEY, "turn", "call_id").agg(
-        F.min(F.when(_is("tool/call"), F.col(SEQ))).alias("call_seq"),
-        F.min(F.when(_is("tool/result"), F.col(SEQ))).alias("result_seq"),
-        F.bool_or(_is("tool/result") & F.col("is_error")).alias("is_error")).where("call_seq IS NOT NULL")
+    calls = matched_calls(io)
     open_ = running(io, [KEY, "turn"], [SEQ], int_block(SEQ, block_rows), [Run("open", "sum", _one(_is("tool/call")) - _one(_is("tool/result")))])
     crowded = open_.groupBy(KEY, "turn").agg(F.max("open").alias("m")).where(F.col("m") > MAX_PENDING).select(KEY, "turn")
 
@@ -185,9 +183,18 @@ def pair_calls(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return calls.join(evicted, [KEY, "turn", "call_id"], "left").withColumn("outcome", outcome).drop("_ev")
 
 
+def matched_calls(events: DataFrame) -> DataFrame:
+    """``session_id, turn, call_id, call_seq, result_seq, is_error``: calls with their results inside a turn, however many are open."""
+    io = events.where(_is("tool/call", "tool/result"))
+    return io.groupBy(KEY, "turn", "call_id").agg(
+        F.min(F.when(_is("tool/call"), F.col(SEQ))).alias("call_seq"),
+        F.min(F.when(_is("tool/result"), F.col(SEQ))).alias("result_seq"),
+        F.bool_or(_is("tool/result") & F.col("is_error")).alias("is_error")).where("call_seq IS NOT NULL")
+
+
 def first_per_turn(events: DataFrame, inherited: int = 0) -> DataFrame:
-    """First successful call per turn is admitted; a newer admission replaces the earlier ones."""
-    own = pair_calls(events.where(F.col(SEQ) >= inherited)).where("outcome = 'paired' AND NOT is_error")
+    """First successful call per turn is admitted; a newer admission replaces the earlier ones. No call is evicted here."""
+    own = matched_calls(events.where(F.col(SEQ) >= inherited)).where("result_seq IS NOT NULL AND NOT is_error")
     first = own.groupBy(KEY, "turn").agg(F.min(F.struct("result_seq", "call_id")).alias("f"))
     newest = first.groupBy(KEY).agg(F.max("f.result_seq").alias("last"))
     return first.join(newest, KEY).select(KEY, "turn", F.col("f.call_id").alias("call_id"), F.col("f.result_seq").alias("result_seq"),
@@ -233,18 +240,25 @@ def event_text(events: DataFrame) -> Column:
             .when(_is("tool/result"), joined(text, code)).when(_is("turn/end"), joined(ended)).otherwise(F.lit("")))
 
 
-def merge_live(live: DataFrame, stored: DataFrame, live_headers: DataFrame, stored_headers: DataFrame, header: str) -> DataFrame:
-    """Stored events, replaced by the live observation of a session; differing headers are refused."""
-    both = live_headers.select(KEY, F.col(header).alias("_l")).join(stored_headers.select(KEY, F.col(header).alias("_s")), KEY)
-    refused = both.where(~F.col("_l").eqNullSafe(F.col("_s"))).select(KEY)
-    live_ids = live_headers.select(KEY)
-    kept = stored.join(live_ids, KEY, "left_anti").withColumn("origin", F.lit("stored"))
-    return live.join(refused, KEY, "left_anti").withColumn("origin", F.lit("live")).unionByName(kept)
+def refused_live(live_headers: DataFrame, stored_headers: DataFrame, *header: str) -> DataFrame:
+    """Sessions whose live header differs from the stored one in any of the named fields, with both values of each."""
+    live = live_headers.select(KEY, F.struct(*header).alias("live"))
+    both = live.join(stored_headers.select(KEY, F.struct(*header).alias("stored")), KEY)
+    differs = reduce(Column.__or__, [~F.col(f"live.{c}").eqNullSafe(F.col(f"stored.{c}")) for c in header])
+    wrong = both.where(differs)
+    return wrong.select(KEY, F.col(f"live.{header[0]}").alias("live"), F.col(f"stored.{header[0]}").alias("stored")) if len(header) == 1 else wrong
 
 
-def refused_live(live_headers: DataFrame, stored_headers: DataFrame, header: str) -> DataFrame:
-    both = live_headers.select(KEY, F.col(header).alias("live")).join(stored_headers.select(KEY, F.col(header).alias("stored")), KEY)
-    return both.where(~F.col("live").eqNullSafe(F.col("stored")))
+def merge_live(live: DataFrame, stored: DataFrame, live_headers: DataFrame, stored_headers: DataFrame, *header: str) -> DataFrame:
+    """Stored events, replaced by the live observation of a session.
+
+    A session whose headers differ keeps its stored log, with origin ``refused`` so that the conflict is seen.
+    """
+    refused = refused_live(live_headers, stored_headers, *header).select(KEY)
+    accepted = live_headers.select(KEY).join(refused, KEY, "left_anti")
+    kept = stored.join(accepted, KEY, "left_anti").join(refused.withColumn("_no", F.lit(True)), KEY, "left")
+    kept = kept.withColumn("origin", F.when(F.col("_no"), "refused").otherwise("stored")).drop("_no")
+    return live.join(refused, KEY, "left_anti").withColumn("origin", F.lit("live")).unionByName(kept)
 
 
 def retain_ends(blocks: DataFrame, key: str, order: str, text: str, budget: int, block_rows: int = BLOCK_ROWS) -> DataFrame:

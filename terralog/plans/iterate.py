@@ -66,17 +66,48 @@ def reachable(edges: DataFrame, start: DataFrame, limit: int = 10_000) -> DataFr
     raise RuntimeError("walk did not end")
 
 
-def on_cycles(edges: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Edges that remain after peeling sources and sinks: those on, or between, cycles."""
-    left = cut(edges.select("a", "b").distinct(), "edges")
-    size = left.count()
-    for _ in range(limit):
-        if not size:
-            return left
-        kept = left.join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
-        left = cut(kept.join(kept.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b"), "edges")
+def _peel(edges: DataFrame) -> DataFrame:
+    """Edges left after taking away, round by round, those out of sources and into sinks."""
+    left, size = edges, edges.count()
+    while size:
+        kept = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+        left = cut(kept.join(kept.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "edges")
         now = left.count()
         if now == size:
-            return left
+            break
         size = now
-    raise RuntimeError("peeling did not end")
+    return left
+
+
+def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Largest label that reaches each node along ``a -> b``; ``labels`` are ``id, label`` of all nodes."""
+    while True:
+        met = edges.join(labels, edges.a == labels.id).groupBy(F.col("b").alias("id")).agg(F.max("label").alias("met"))
+        new = cut(labels.join(met, "id", "left").select("id", F.greatest("label", "met").alias("label"), (F.col("met") > F.col("label")).alias("moved")), "labels")
+        moved = new.where("moved").limit(1).count()
+        labels = new.select("id", "label")
+        if not moved:
+            return labels
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Edges on a cycle: those whose ends lie in one strongly connected component.
+
+    Every round spreads the largest id forward; inside the nodes that got one id, those that reach its owner backward are its component. Edges
+    between components are on no cycle and go; what remains undecided is peeled and taken up in the next round.
+    """
+    left = _peel(cut(edges.select("a", "b").distinct(), "edges"))
+    found = left.limit(0)
+    while left.limit(1).count():
+        ids = left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct()
+        owner = _spread(left, ids.select("id", F.col("id").alias("label")))
+        a_of, b_of = owner.select(F.col("id").alias("a"), F.col("label").alias("la")), owner.select(F.col("id").alias("b"), F.col("label").alias("lb"))
+        same = cut(left.join(a_of, "a").join(b_of, "b").where("la = lb").select("a", "b", F.col("la").alias("owner")), "same")
+        # backward from the owner, along edges of its own colour
+        back = _spread(same.select(F.col("b").alias("a"), F.col("a").alias("b")), owner.select("id", F.when(F.col("id") == F.col("label"), 1).otherwise(0).alias("label")))
+        inside = back.where("label = 1").select("id")
+        ends = same.join(inside.select(F.col("id").alias("a"), F.lit(True).alias("ia")), "a", "left").join(inside.select(F.col("id").alias("b"), F.lit(True).alias("ib")), "b", "left")
+        ends = cut(ends.select("a", "b", F.coalesce("ia", F.lit(False)).alias("ia"), F.coalesce("ib", F.lit(False)).alias("ib")), "ends")
+        found = cut(found.unionByName(ends.where("ia AND ib").select("a", "b")), "cycles")
+        left = _peel(cut(ends.where("NOT ia AND NOT ib").select("a", "b"), "edges"))
+    return found

@@ -20,9 +20,11 @@ def flatten_lineage(t):
     return L.flatten_lineage(t.sessions.withColumn("pos", F.col("session_id")))
 
 
-@query("dependency_check", with_sql("tasks") + """, e AS (SELECT id, unnest(blocked_by) AS blocker FROM tasks)
-SELECT DISTINCT id, blocker, 'missing' AS violation FROM e WHERE blocker NOT IN (SELECT id FROM tasks) UNION ALL SELECT DISTINCT id, blocker, 'self' FROM e WHERE id = blocker
- UNION ALL SELECT id, blocker, 'duplicate' FROM e GROUP BY ALL HAVING count(*) > 1""")
+@query("dependency_check", with_sql("tasks", recursive=True) + """, here AS (SELECT * FROM tasks WHERE status <> 'deleted'), e AS (SELECT id, unnest(blocked_by) AS blocker FROM here),
+reach AS (SELECT id, blocker FROM e WHERE id <> blocker UNION SELECT r.id, e.blocker FROM reach r JOIN e ON e.id = r.blocker AND e.id <> e.blocker)
+SELECT DISTINCT id, blocker, 'missing' AS violation FROM e WHERE blocker NOT IN (SELECT id FROM here) UNION ALL SELECT DISTINCT id, blocker, 'self' FROM e WHERE id = blocker
+ UNION ALL SELECT id, blocker, 'duplicate' FROM e GROUP BY ALL HAVING count(*) > 1
+ UNION ALL SELECT DISTINCT e.id, e.blocker, 'cycle' FROM e JOIN reach r ON r.id = e.blocker AND r.blocker = e.id WHERE e.id <> e.blocker""")
 def dependency_check(t):
     return L.dependency_check(t.tasks)
 
@@ -76,12 +78,12 @@ _KINDS = ("map-layer", "report", "export", "job", "backup-pin", "reader-pin")
 
 
 def _protect(t):
-    li = t.lineitem.where("l_quantity = 50").select(
-        F.col("l_partkey").alias("target"), F.col("l_orderkey").alias("holder"), F.col("l_returnflag").alias("detail"), "l_linenumber")
-    return L.protectors({k: li.where(F.col("l_linenumber") == i + 1) for i, k in enumerate(_KINDS)})
+    li = t.lineitem.select(
+        (F.col("l_partkey") + F.when(F.col("l_partkey") % 3 == 0, 1000000000).otherwise(0)).alias("target"), F.col("l_orderkey").alias("holder"), F.col("l_returnflag").alias("detail"), ((F.col("l_linenumber") - 1) % 6).alias("kind"))
+    return L.protectors({k: li.where(F.col("kind") == i).drop("kind") for i, k in enumerate(_KINDS)})
 
 
-_PROT = """p AS (SELECT ['map-layer','report','export','job','backup-pin','reader-pin'][l_linenumber] AS kind, l_partkey AS target, l_orderkey AS holder, l_returnflag AS detail FROM lineitem WHERE l_quantity = 50 AND l_linenumber <= 6)"""
+_PROT = """p AS (SELECT ['map-layer','report','export','job','backup-pin','reader-pin'][(l_linenumber - 1) % 6 + 1] AS kind, l_partkey + CASE WHEN l_partkey % 3 = 0 THEN 1000000000 ELSE 0 END AS target, l_orderkey AS holder, l_returnflag AS detail FROM lineitem)"""
 
 
 @query("dataset_protectors", f"WITH {_PROT} SELECT * FROM p")
@@ -133,11 +135,11 @@ def resource_features(t):
     return L.resource_features(res, f).select("resource_id", "version", "position", "total")
 
 
-@query("citation_join", """WITH x AS (SELECT url, min(CASE WHEN page_id % 2 = 0 THEN 'page ' || page_id END) AS title, min(substring(html, 1, 20)) AS snippet FROM pages WHERE page_id % 3 = 0 GROUP BY 1)
+@query("citation_join", """WITH x AS (SELECT url, min(CASE WHEN page_id % 2 = 0 THEN 'page ' || page_id END) AS title, min(sha256(html)) AS snippet FROM pages GROUP BY 1)
 SELECT page_id, p.url, snippet, coalesce(title, regexp_extract(p.url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS label FROM pages p LEFT JOIN x ON x.url = p.url""")
 def citation_join(t):
     k = F.col("page_id")
-    ex = t.pages.where(k % 3 == 0).groupBy("url").agg(F.min(F.when(k % 2 == 0, F.concat(F.lit("page "), k))).alias("title"), F.min(F.substring("html", 1, 20)).alias("snippet"))
+    ex = t.pages.groupBy("url").agg(F.min(F.when(k % 2 == 0, F.concat(F.lit("page "), k))).alias("title"), F.min(F.sha2("html", 256)).alias("snippet"))
     return L.citations(t.pages.select("page_id", "url"), ex).select("page_id", "url", "snippet", "label")
 
 
@@ -146,7 +148,7 @@ def _pages(t):
 
 
 @query("paged_collect", """SELECT l_suppkey AS request, 500 AS total, count(DISTINCT l_partkey) AS collected, CASE WHEN count(DISTINCT l_partkey) < 500 THEN 'partial' ELSE 'complete' END AS coverage, count(DISTINCT l_partkey) < 500 AS has_more,
- CASE WHEN count(DISTINCT l_partkey) < 500 THEN max(l_orderkey % 40) + 1 END AS next_offset FROM lineitem GROUP BY 1""")
+ CASE WHEN count(DISTINCT l_partkey) < 500 THEN max(l_orderkey % 40) + count(DISTINCT l_partkey) FILTER (l_orderkey % 40 = last) END AS next_offset FROM (SELECT *, max(l_orderkey % 40) OVER (PARTITION BY l_suppkey) AS last FROM lineitem) GROUP BY 1""")
 def paged_collect(t):
     return L.paged_collect(_pages(t))[1]
 

@@ -180,12 +180,12 @@ def event_search(t):
 
 
 def _live(t):
-    live = t.log.where("session_id % 5 = 0 AND seq < 24")
+    live = t.log.where("session_id % 5 = 0")
     headers = t.sessions.select("session_id", "cwd")
     return live, headers.where("session_id % 5 = 0").withColumn("cwd", F.when(F.col("session_id") % 35 == 0, -1).otherwise(F.col("cwd"))), headers
 
 
-@query("live_over_persisted", LOG + """ SELECT session_id, CASE WHEN session_id % 5 = 0 THEN 'live' ELSE 'stored' END AS origin, count(*) AS n FROM log WHERE session_id % 5 <> 0 OR (session_id % 35 <> 0 AND seq < 24) GROUP BY ALL""")
+@query("live_over_persisted", LOG + """ SELECT session_id, CASE WHEN session_id % 35 = 0 THEN 'refused' WHEN session_id % 5 = 0 THEN 'live' ELSE 'stored' END AS origin, count(*) AS n FROM log GROUP BY ALL""")
 def live_over_persisted(t):
     live, lh, sh = _live(t)
     return S.merge_live(live, t.log, lh, sh, "cwd").groupBy("session_id", "origin").agg(F.count(F.lit(1)).alias("n"))

@@ -127,11 +127,11 @@ def style_version(t):
         {"measure": F.lit("total"), "field": F.col("p_brand"), "classes": F.lit(5), "max": F.col("m")}).alias("version"))
 
 
-@query("unify_domains", f"""WITH u AS (SELECT CASE o_orderstatus WHEN 'O' THEN 'a' ELSE 'b' END AS layer, o_totalprice AS v FROM orders WHERE o_orderstatus IN ('O', 'F')),
+@query("unify_domains", f"""WITH u AS (SELECT CASE o_orderstatus WHEN 'O' THEN 'a' ELSE 'b' END AS layer, o_totalprice AS v FROM orders ),
 {breaks_sql('u', 'v', 6)} SELECT layer, CAST((SELECT count(*) FROM breaks WHERE brk <= v) AS VARCHAR) AS class, count(*) AS n FROM u GROUP BY ALL""")
 def unify_domains(t):
-    o = t.orders.select("o_orderstatus", F.col("o_totalprice").alias("v"))
-    return V.unify(o.where("o_orderstatus = 'O'"), o.where("o_orderstatus = 'F'"), "v", 6)
+    o = t.orders.select((F.col("o_orderstatus") == "O").alias("first"), F.col("o_totalprice").alias("v"))
+    return V.unify(o.where("first"), o.where("NOT first"), "v", 6)
 
 
 @query("selection_filter", """SELECT event_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND value >= 5 AND value < 60""")

@@ -152,21 +152,19 @@ def stream_resume(t):
 
 
 def _sources(t):
-    e = t.arrivals.where("lon <= 180 AND dup = 0")
+    e = t.arrivals.where("lon <= 180")
     return {f"s{i}": e.where(F.col("event_id") % 3 == i) for i in range(3)}
 
 
-@query("source_union", ARR + " SELECT 's' || (event_id % 3) || '::' || event_id AS event_id, 's' || (event_id % 3) AS source, ts FROM arrivals WHERE lon <= 180 AND dup = 0")
+@query("source_union", ARR + " SELECT 's' || (event_id % 3) || '::' || event_id AS event_id, 's' || (event_id % 3) AS source, ts FROM arrivals WHERE lon <= 180")
 def source_union(t):
     return U.source_union(_sources(t)).select("event_id", "source", "ts")
 
 
-@query("stream_fusion", ARR + """, s AS (SELECT *, event_id % 3 AS so FROM arrivals WHERE lon <= 180 AND dup = 0 AND NOT (event_id % 3 = 0 AND arrival > 4000)), h AS (SELECT min(m) AS h FROM (SELECT so, max(ts) AS m FROM s WHERE so IN (0, 2) GROUP BY 1))
+@query("stream_fusion", ARR + """, s AS (SELECT *, event_id % 3 AS so FROM arrivals WHERE lon <= 180), h AS (SELECT min(m) AS h FROM (SELECT so, max(ts) AS m FROM s WHERE so IN (0, 2) GROUP BY 1))
 SELECT 's' || so || '::' || event_id AS event_id, row_number() OVER (ORDER BY ts, so, arrival) AS position FROM s, h WHERE ts <= h""")
 def stream_fusion(t):
-    src = _sources(t)
-    src["s0"] = src["s0"].where("arrival <= 4000")
-    return U.fuse(src, {"s0": U.LIVE, "s1": U.FINISHED, "s2": U.LIVE}).select("event_id", "position")
+    return U.fuse(_sources(t), {"s0": U.LIVE, "s1": U.FINISHED, "s2": U.LIVE}).select("event_id", "position")
 
 
 @query("stream_quota", _OA.replace("WITH ", "WITH RECURSIVE ", 1) + """, p AS (SELECT ord, event_id, dup, arrival // 100 AS tick FROM oa), q AS (SELECT *, ord - 1 + max(tick*80 - (ord - 1)) OVER (ORDER BY ord) AS slot FROM p) SELECT event_id, dup, CAST(slot // 80 AS BIGINT) AS advance FROM q""")

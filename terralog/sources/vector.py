@@ -145,7 +145,7 @@ def csv_rows(features: DataFrame, position: str) -> DataFrame:
     """One row per point or MultiPoint part; other geometry is refused, nested values stay JSON."""
     bad = features.where(~F.col("geom_type").isin("Point", "MultiPoint")).limit(1).count()
     if bad:
-        raise ValueError("CSV carries points only; export lines and polygons as GeoJSON or KML")
+        raise ValueError("a point table was asked for, but the layer has other shapes")
     keys = property_keys(features, position)
     cells = [F.get_json_object("properties", f"$['{k}']").alias(k) for k in keys]
     return features.where(F.col("geom_type").isNotNull()).select(F.explode("parts").alias("_p"), *cells).select(

@@ -88,25 +88,26 @@ def _published(df: DataFrame) -> DataFrame:
 def late_revisions(classified: DataFrame, order: str, max_revisions: int, state: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Revision 1 is the on-time total of a window; each late event adds one revision up to the maximum.
 
-    ``state`` brings totals and the late count of earlier batches.
+    ``state`` brings totals and the late and on-time counts of earlier batches.
     """
     m = _measures()
     base = classified.where("kind = 'on-time'").groupBy("window_start").agg(
         *[F.sum(c).alias(n) for n, c in m.items()], F.min("value").alias("min"), F.max("value").alias("max"))
-    base = base.withColumn("late_n", F.lit(0).cast("long"))
+    base = base.withColumns({"late_n": F.lit(0).cast("long"), "on_n": F.col("count")})
     if state is not None:
         both = state.select(base.columns).unionByName(base)
-        base = both.groupBy("window_start").agg(*[F.sum(n).alias(n) for n in (*SUMS, "late_n")], F.min("min").alias("min"), F.max("max").alias("max"))
+        base = both.groupBy("window_start").agg(*[F.sum(n).alias(n) for n in (*SUMS, "late_n", "on_n")], F.min("min").alias("min"), F.max("max").alias("max"))
     late = classified.where("kind = 'late'").withColumns({f"_{n}": c for n, c in m.items()})
     run = running(late, ["window_start"], [order], int_block(order, block_rows), [
         Run("nth", "sum", F.lit(1).cast("long")), *[Run(f"r_{n}", "sum", F.col(f"_{n}")) for n in SUMS],
         Run("r_min", "min", F.col("value")), Run("r_max", "max", F.col("value"))])
     j = run.join(base, "window_start", "left")
-    first = F.when(F.col("count").isNull(), 0).otherwise(1)
+    # a window that never had an on-time event has no on-time revision before its late ones
+    first = F.when(F.col("on_n") > 0, 1).otherwise(0)
     rev = first + F.coalesce("late_n", F.lit(0)) + F.col("nth")
     more = j.select("window_start", rev.cast("long").alias("revision"), *[(F.coalesce(n, F.lit(0)) + F.col(f"r_{n}")).alias(n) for n in SUMS],
                     F.least("min", "r_min").alias("min"), F.greatest("max", "r_max").alias("max")).where(F.col("revision") <= max_revisions)
-    one = base.where("late_n = 0").select("window_start", F.lit(1).cast("long").alias("revision"), *SUMS, "min", "max")
+    one = base.where("late_n = 0 AND on_n > 0").select("window_start", F.lit(1).cast("long").alias("revision"), *SUMS, "min", "max")
     return _published(one.unionByName(more))
 
 
@@ -149,7 +150,7 @@ class RevisionSink:
     max_revisions: int
     order: str = "arrival"
 
-    STATE = ("window_start timestamp, count long, sum double, lon_sum double, lat_sum double, late_n long, min double, max double, "
+    STATE = ("window_start timestamp, count long, sum double, lon_sum double, lat_sum double, late_n long, on_n long, min double, max double, "
              "published boolean, max_seen long")
 
     def _state(self, spark: SparkSession, epoch: int) -> DataFrame:
@@ -169,9 +170,9 @@ class RevisionSink:
         both = ("on-time", "late")
         part = rows.where(F.col("kind").isin(*both)).groupBy("window_start").agg(
             *[F.sum(c).cast(t).alias(n) for (n, c), t in zip(m.items(), ("long", "double", "double", "double"))],
-            F.count_if(F.col("kind") == "late").alias("late_n"), F.min("value").alias("min"), F.max("value").alias("max"))
+            F.count_if(F.col("kind") == "late").alias("late_n"), F.count_if(F.col("kind") == "on-time").alias("on_n"), F.min("value").alias("min"), F.max("value").alias("max"))
         merged = old.select(part.columns).unionByName(part).groupBy("window_start").agg(
-            *[F.sum(n).alias(n) for n in (*SUMS, "late_n")], F.min("min").alias("min"), F.max("max").alias("max"))
+            *[F.sum(n).alias(n) for n in (*SUMS, "late_n", "on_n")], F.min("min").alias("min"), F.max("max").alias("max"))
         closed = F.unix_micros("window_start") + self.size_s * 1_000_000 <= seen
         was = old.where("published").select("window_start", F.lit(True).alias("_was"))
         out = revs.join(was, "window_start", "left").where(closed & ((F.col("revision") > 1) | F.col("_was").isNull())).drop("_was")
