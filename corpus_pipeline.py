@@ -27,7 +27,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of SimHash links the smallest doc_id stays."""
+    """Of texts that fingerprints of five-word shingles link, the smallest doc_id of each group stays."""
     return keep_one(docs)
 
 

@@ -53,7 +53,7 @@ class Forest:
 
 
 def links(prints: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning star per group of linked prints: member and group head, for groups of two or more."""
+    """A spanning star per group of linked prints: positions of members and of their group's head, for groups of two or more."""
     forest, label = Forest(prints, bucket), np.arange(len(prints))
     for at in range(0, len(prints), SLICE):
         a, b = forest.within(np.arange(at, min(at + SLICE, len(prints))), radius)
@@ -69,4 +69,4 @@ def links(prints: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarr
                 up = up[up]
             label = up[label]
     member = np.flatnonzero(label != np.arange(len(prints)))
-    return prints[member], prints[label[member]]
+    return member, label[member]

@@ -13,10 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from terralog.llm.bk_tree import links
 from terralog.llm.exact_dedup import without
+from terralog.llm.perfect_hash import mix
 from terralog.plans.iterate import components
 from terralog.session import cut
 
@@ -27,23 +28,36 @@ BITS = 64
 DEPTH = 16                         # levels of buckets; the last is searched whatever its size
 
 
-def fingerprint(raw: bytes | None, words: int = 4) -> int:
-    """Bits set in more than half of the XXH64 hashes of the word shingles, as an unsigned integer; 0 without words."""
+def shingle_hashes(raw: bytes | None, words: int):
+    """Arrays of the XXH64 hashes of the word shingles, ``COUNT_ROWS`` at a time; none without words."""
     from xxhash import xxh64_intdigest
     parts = (raw or b"").translate(LOWER).split()
     if not parts:
-        return 0
+        return
     text = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(parts) - words + 1)
     last = ends[words - 1:] if len(parts) >= words else ends[-1:]
-    votes = np.zeros(BITS, dtype=np.int64)
     for at in range(0, n, COUNT_ROWS):
         spans = zip(starts[at:min(at + COUNT_ROWS, n)].tolist(), last[at:at + COUNT_ROWS].tolist())
-        hashes = np.fromiter((xxh64_intdigest(text[a:b], SEED) for a, b in spans), np.uint64)
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
+        yield np.fromiter((xxh64_intdigest(text[a:b], SEED) for a, b in spans), np.uint64)
+
+
+def fingerprints_of(raw: bytes | None, words: int, count: int) -> list[int]:
+    """``count`` independent fingerprints: bits set in more than half of the hashes, which are mixed anew for each but the first; 0 without words."""
+    votes, n = np.zeros((count, BITS), dtype=np.int64), 0
+    for hashes in shingle_hashes(raw, words):
+        n += len(hashes)
+        for k in range(count):
+            mixed = mix(hashes, k) if k else hashes
+            votes[k] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return [int(x) for x in np.packbits(votes * 2 > n, axis=1, bitorder="little").view("<u8")[:, 0]]
+
+
+def fingerprint(raw: bytes | None, words: int = 4) -> int:
+    """Bits set in more than half of the XXH64 hashes of the word shingles, as an unsigned integer; 0 without words."""
+    return fingerprints_of(raw, words, 1)[0]
 
 
 def _prints(words: int):
@@ -54,11 +68,12 @@ def _prints(words: int):
     return run
 
 
-def _tagged_prints(words: int):
+def _many_prints(words: int, count: int):
     def run(batches):
         for b in batches:
-            prints = np.asarray([fingerprint(x.as_py(), words) for x in b.column(2)], dtype=np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(prints, pa.int64())], names=["id", "digest", "print"])
+            prints = np.asarray([fingerprints_of(x.as_py(), words, count) for x in b.column(2)], dtype=np.uint64).reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * count, pa.int32()), pa.array(prints, pa.int64()))
+            yield pa.record_batch([b.column(0), b.column(1), lists], names=["id", "digest", "prints"])
     return run
 
 
@@ -82,21 +97,22 @@ def _partition(level: int, groups: int) -> list[int]:
 def _deal(rows: DataFrame, level: int, groups: int) -> DataFrame:
     """Each row into ``groups`` buckets, by the bits of a part that its bucket has not fixed yet."""
     parts = F.array(*[F.lit(m) for m in _partition(level, groups)])
-    split = rows.select("print", "free", F.col("key").alias("above"), F.posexplode(parts).alias("part", "mask"))
+    split = rows.select("kind", "print", "free", F.col("key").alias("above"), F.posexplode(parts).alias("part", "mask"))
     fixed = F.col("free").bitwiseAND(F.col("mask"))
-    return split.select("print", F.col("free").bitwiseXOR(fixed).alias("free"), F.xxhash64("above", "part", F.col("print").bitwiseAND(fixed)).alias("key"))
+    return split.select("kind", "print", F.col("free").bitwiseXOR(fixed).alias("free"), F.xxhash64("above", "part", F.col("print").bitwiseAND(fixed)).alias("key"))
 
 
 def _shard_links(radius: int):
     def run(table: pa.Table) -> pa.Table:
-        a, b = links(table["print"].to_numpy().view(np.uint64), table["key"].to_numpy(), radius)
-        return pa.table({"a": pa.array(a.view(np.int64), pa.int64()), "b": pa.array(b.view(np.int64), pa.int64())})
+        prints, kind = table["print"].to_numpy(), table["kind"].to_numpy()
+        a, b = links(prints.view(np.uint64), table["key"].to_numpy(), radius)
+        return pa.table({"kind": pa.array(kind[a], pa.int32()), "a": pa.array(prints[a], pa.int64()), "b": pa.array(prints[b], pa.int64())})
     return run
 
 
 def near_links(prints: DataFrame, radius: int = 4, bucket_rows: int = 2048, shard_rows: int = 8192) -> DataFrame:
-    """``a, b``: edges between distinct prints that span every group linked within ``radius`` bits."""
-    level, done = prints.select("print", F.lit(-1).cast("long").alias("free"), F.lit(0).cast("long").alias("key")), []
+    """``kind, a, b``: edges between the distinct ``kind, print`` rows that span every group of a kind linked within ``radius`` bits."""
+    level, done = prints.select("kind", "print", F.lit(-1).cast("long").alias("free"), F.col("kind").cast("long").alias("key")), []
     for depth in range(DEPTH):
         level = cut(_deal(level, depth, radius + 1), "buckets")
         hot = level.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("key")
@@ -110,12 +126,13 @@ def near_links(prints: DataFrame, radius: int = 4, bucket_rows: int = 2048, shar
     for more in done[1:]:
         rows = rows.unionByName(more)
     shards = max(1, -(-rows.count() // shard_rows))
-    return cut(rows.select("print", "key", F.pmod("key", F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(_shard_links(radius), "a long, b long").distinct(), "links")
+    found = rows.select("kind", "print", "key", F.pmod("key", F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(_shard_links(radius), "kind int, a long, b long")
+    return cut(found.distinct(), "links")
 
 
 def _heads(nodes: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
     """``print, head`` for prints that have links."""
-    edges = near_links(nodes.select("print"), radius, bucket_rows)
+    edges = near_links(nodes.select(F.lit(0).alias("kind"), "print"), radius, bucket_rows).select("a", "b")
     ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
     return components(ends, edges).select(F.col("id").alias("print"), F.col("label").alias("head"))
 
@@ -134,20 +151,31 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(known, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, bucket_rows: int = 2048) -> DataFrame:
-    """The rows of ``docs`` of which one per component stays, the smallest id (then digest), with all columns as they were.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, prints: int = 8, radius: int = 4, bucket_rows: int = 2048) -> DataFrame:
+    """The rows of ``docs`` of which one per group stays, the smallest id (then digest), with all columns as they were.
 
-    Null ids come last. Repeated rows of one id and text give one row. Columns named ``_digest`` would clash and are refused by name.
+    Texts with a similarity of 0.8 differ in about 10 of 64 bits, more than any search by equal parts can reach. So each text has several
+    independent prints, and two texts are linked when any of them differs in at most ``radius`` bits; groups are connected components. Null ids
+    come last. Repeated rows of one id and text give one row. Columns named ``_digest`` would clash and are refused by name.
     """
     if "_digest" in docs.columns:
         raise ValueError("rename the column _digest")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.cast("binary").alias("text"))
-    rows = cut(rows.mapInArrow(_tagged_prints(words), StructType([*rows.drop("text").schema.fields, StructField("print", LongType())])), "prints")
+    schema = StructType([*rows.drop("text").schema.fields, StructField("prints", ArrayType(LongType()))])
+    rows = cut(rows.mapInArrow(_many_prints(words, prints), schema).withColumn("row", F.monotonically_increasing_id()), "prints")
+    flat = rows.select("row", F.posexplode("prints").alias("kind", "print"))
+    # the first row of a print stands for it
+    first = cut(flat.groupBy("kind", "print").agg(F.min("row").alias("first"), F.count("*").alias("n")), "nodes")
+    same = flat.join(first.where("n > 1"), ["kind", "print"]).where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
+    near = near_links(first.select("kind", "print"), radius, bucket_rows)
+    near = near.join(first.select("kind", F.col("print").alias("a"), F.col("first").alias("fa")), ["kind", "a"]).join(
+        first.select("kind", F.col("print").alias("b"), F.col("first").alias("fb")), ["kind", "b"]).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    edges = cut(same.unionByName(near).distinct(), "edges")
+    ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    heads = cut(components(ends, edges).select(F.col("id").alias("row"), F.col("label").alias("head")), "heads")
+    grouped = rows.select("row", "id", "digest").join(heads, "row")
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")
-    nodes = cut(rows.groupBy("print").agg(F.min(rank).alias("first"), F.count("*").alias("n")), "nodes")
-    led = nodes.join(_heads(nodes, radius, bucket_rows), "print", "left").select("print", "first", "n", F.coalesce("head", "print").alias("head"))
-    best = led.groupBy("head").agg(F.min("first").alias("best"), F.sum("n").alias("size")).where("size > 1")
-    known = led.select("print", "head").join(best, "head").select("print", "best")
-    members = rows.join(known, "print").select("id", "digest", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("digest") == F.col("best.digest"))).alias("stays"))
+    best = grouped.groupBy("head").agg(F.min(rank).alias("best"))
+    members = grouped.join(best, "head").select("id", "digest", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("digest") == F.col("best.digest"))).alias("stays"))
     return without(docs, F.unhex(F.sha2(text, 256)), members, id_col)

@@ -61,7 +61,7 @@ def test_bk_tree_links():
                 group = [group[b] if g == group[a] else g for g in group]
     want = {frozenset(int(p) for p, h in zip(prints, group) if h == g) for g in group if group.count(g) > 1}
     got = {}
-    for a, b in zip(*links(prints, bucket, 4)):
+    for a, b in zip(*(prints[at] for at in links(prints, bucket, 4))):
         got.setdefault(int(b), {int(b)}).add(int(a))
     assert {frozenset(x) for x in got.values()} == want
 

@@ -126,11 +126,31 @@ def test_simhash_empty(spark):
 def test_keep_one(spark):
     rows = near_rows()
     want = {c for _, _, c in brute_simhash(rows)}
-    got = keep_one(table(spark, rows)).collect()
+    got = keep_one(table(spark, rows), words=4, prints=1).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(want)
     assert keep_one(table(spark, [])).count() == 0
 
 
+def jaccard(a, b):
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_keep_one_by_similarity(spark):
+    rng = np.random.default_rng(8)
+    rows, close = [], 0
+    for k in range(40):
+        base = [f"w{int(x)}" for x in rng.integers(0, 5000, 400)]
+        other = list(base)
+        for at in rng.choice(400, 1 + k % 4, replace=False):
+            other[int(at)] = "changed"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        close += jaccard(*(t for _, t in rows[-2:])) >= 0.9
+    assert close == 40
+    kept = {r["doc_id"] for r in keep_one(table(spark, rows)).collect()}
+    assert {2 * k for k in range(40)} <= kept and len(kept) <= 43
+
+
 ODD = "don't Stop. I'VE <|endoftext|> a<|endoftext|>.b ÀÉ Straße ŒUVRE İstanbul ΣΑΣ Σ. ﬁ été. ª² ½. 12.5, abc123, a\x1cb\xa0c d 日本。 .. (a) \"q\" of%%% éte ŉ ſt"
 
 
