@@ -9,6 +9,7 @@ Values differ from a sequential shuffle by design; they are reproducible and ord
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -19,8 +20,8 @@ from pyspark.sql import types as T
 
 from terralog.operators.rollups import p_adjust
 from terralog.operators.weights import Near, near, neighbour_totals
-from terralog.plans.ranking import hash60, hash_block, hash_positions
-from terralog.plans.running import Run, running
+from terralog.plans.ranking import HASH_BITS, hash60, hash_block, hash_positions
+from terralog.plans.running import BLOCK_ROWS, Run, running
 from terralog.session import cut
 from terralog.spec import CONSTANT, MIN_UNITS, NO_NEIGHBOURS, TOO_FEW, StatSpec
 
@@ -30,10 +31,15 @@ def _digest(seed: int, draw: Column, unit: Column) -> Column:
 
 
 def _positions(units: DataFrame, draws: Column, seed: int, unit: str, extra: list[str], runs: list[Run],
-               keep: Column | None = None) -> DataFrame:
+               keep: Column | None = None, below: int | None = None, blocks: int = 1) -> DataFrame:
+    """Rows of each draw in hash order; with ``below`` only those of a smaller digest, which are the head of the order."""
     rows = units.select(unit, *extra, F.explode(draws).alias("draw"))
     rows = rows.withColumn("_h", _digest(seed, F.col("draw"), F.col(unit)))
-    return running(rows, ["draw"], ["_h", unit], hash_block(rows, "_h"), [Run("pos", "sum", F.lit(1).cast("long")), *runs], keep).drop("_h")
+    block = hash_block(rows, "_h")
+    if below is not None:
+        rows = rows.where(F.col("_h") < below)
+        block = F.floor(F.col("_h") / F.lit(below // blocks + 1)).cast("long")
+    return running(rows, ["draw"], ["_h", unit], block, [Run("pos", "sum", F.lit(1).cast("long")), *runs], keep).drop("_h")
 
 
 def permutation_draws(units: DataFrame, field: str, permutations: int, seed: int, unit: str = "unit_id",
@@ -140,11 +146,8 @@ def _conditional(units: DataFrame, spec: StatSpec, value: str) -> DataFrame:
     tot = neighbour_totals(nb, {"_k": F.lit(1), "_t": F.col(value)})
     rows = cut(nb.units.join(tot, "site").withColumn("k", F.col("_k") - 1)
                .withColumn("others", F.col("_t") - F.col(value)).drop("_k", "_t"), "rows")
-    biggest = rows.agg(F.max("k").alias("m")).scalar()
-    tagged = units.withColumn("_most", biggest)
-    drawn = cut(_positions(tagged, F.sequence(F.lit(1), F.lit(spec.permutations)), spec.seed, spec.unit, [value, "_most"],
-                           [Run("prefix", "sum", F.col(value))],
-                           keep=F.coalesce("_c0", F.lit(0)) <= F.col("_most") + 1).where("pos <= _most + 1").drop("_most"), "heads")
+    n, most = rows.agg(F.count(F.lit(1)), F.coalesce(F.max("k"), F.lit(0))).first()
+    drawn = cut(_heads(units, spec, value, n, min(most + 1, n)), "heads")
     sizes = rows.where("k > 0").select("k").distinct()
     wanted = sizes.select(F.explode(F.array(F.col("k"), F.col("k") + 1)).alias("pos")).distinct()
     prefix = cut(drawn.join(wanted, "pos", "left_semi").groupBy("pos").agg(F.transform(
@@ -158,6 +161,26 @@ def _conditional(units: DataFrame, spec: StatSpec, value: str) -> DataFrame:
     return joined.withColumn("_s", stats).select(*rows.columns, "_s.*")
 
 
+def _heads(units: DataFrame, spec: StatSpec, value: str, n: int, most: int) -> DataFrame:
+    """``unit, draw, pos, prefix`` of the first ``most`` positions of every draw.
+
+    Digests are uniform, so the head of a draw lies below a bound that is known beforehand: rows above it are neither shuffled nor sorted. The bound
+    leaves ten standard deviations of room; should a draw still fall short, all rows are ordered.
+    """
+    room = most + 10 * math.isqrt(most) + 64
+
+    def ordered(below: int | None) -> DataFrame:
+        rows = _positions(units, F.sequence(F.lit(1), F.lit(spec.permutations)), spec.seed, spec.unit, [value], [Run("prefix", "sum", F.col(value))],
+                          keep=F.coalesce("_c0", F.lit(0)) <= most, below=below, blocks=1 + room // BLOCK_ROWS)
+        return rows.where(F.col("pos") <= most)
+
+    if room >= n:
+        return ordered(None)
+    head = cut(ordered((room << HASH_BITS) // n), "heads")
+    full = head.where(F.col("pos") == most).count() == spec.permutations
+    return head if full else ordered(None)
+
+
 _DRAW_STATS = T.StructType([T.StructField("mean", T.DoubleType()), T.StructField("sd", T.DoubleType()),
                             T.StructField("far", T.IntegerType()), T.StructField("large", T.IntegerType())])
 
@@ -169,11 +192,14 @@ def _against_draws(at_k: pd.Series, after_k: pd.Series, inside: pd.Series, own:
     for at in range(0, len(has), 4096):
         idx = has[at:at + 4096]
         sums = np.stack(at_k.iloc[idx].to_list())
-        for row, i in enumerate(idx):
-            draws = inside.iloc[i]
-            if draws is not None:
-                cols = np.asarray(draws, dtype=int) - 1
-                sums[row, cols] = after_k.iloc[i][cols] - own.iloc[i]
+        # where the unit stands among the first k itself: one value more, without its own
+        met = [(row, i) for row, i in enumerate(idx) if inside.iloc[i] is not None]
+        if met:
+            at_row = np.repeat([row for row, _ in met], [len(inside.iloc[i]) for _, i in met])
+            of_met = np.repeat(np.arange(len(met)), [len(inside.iloc[i]) for _, i in met])
+            draw = np.concatenate([inside.iloc[i] for _, i in met]).astype(int) - 1
+            more = np.stack([after_k.iloc[i] for _, i in met]) - own.iloc[[i for _, i in met]].to_numpy()[:, None]
+            sums[at_row, draw] = more[of_met, draw]
         seen = observed.iloc[idx].to_numpy()[:, None]
         mean = sums.mean(axis=1)
         out[idx, 0], out[idx, 1] = mean, sums.std(axis=1)

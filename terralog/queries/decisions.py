@@ -7,7 +7,7 @@ from terralog.operators import access as A
 from terralog.operators import decision as D
 from terralog.queries.registry import query
 
-SEED, PERMS = 20260924, 49
+SEED, PERMS = 20260924, 199
 _ROWS = """r AS (SELECT c_custkey AS unit_id, c_acctbal AS y, CAST(n AS DOUBLE) AS x1, s AS x2, c_nationkey::DOUBLE AS x3 FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS s FROM orders GROUP BY 1) o ON o_custkey = c_custkey),
 f AS (SELECT * FROM r WHERE x1 IS NOT NULL)"""
 
@@ -20,7 +20,7 @@ def _rows(t):
 
 def _assoc(x: str) -> str:
     return f"""SELECT '{x}' AS factor, (SELECT count(*) FROM r) AS rows, (SELECT count(*) FROM f) AS used, round((SELECT corr(y, {x}) FROM f), 9) AS pearson, round((SELECT corr(ry, r{x}) FROM k), 9) AS spearman,
- (1 + (SELECT count(*) FROM (SELECT d.draw, corr(b.y, d.{x}) AS c FROM dr d JOIN dr b ON b.draw = 0 AND b.pos = d.pos WHERE d.draw > 0 GROUP BY 1) WHERE abs(c) >= abs((SELECT corr(y, {x}) FROM f)) - 1e-12))/50.0::DOUBLE AS p, 'succeeded' AS status"""
+ (1 + (SELECT count(*) FROM (SELECT d.draw, corr(b.y, d.{x}) AS c FROM dr d JOIN dr b ON b.draw = 0 AND b.pos = d.pos WHERE d.draw > 0 GROUP BY 1) WHERE abs(c) >= abs((SELECT corr(y, {x}) FROM f)) - 1e-12))/200.0::DOUBLE AS p, 'succeeded' AS status"""
 
 
 @query("attribution_association", f"WITH {_ROWS}, k AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1)/2.0::DOUBLE AS r{c}" for c in ("y", "x1", "x2", "x3")) + f""" FROM f),
