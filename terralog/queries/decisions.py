@@ -132,11 +132,25 @@ def _allocate(t):
     return D.allocate(t.facilities, reach, t.population, 5, 60.0)
 
 
-@query("location_allocate")
+def _allocation_sql(k: int, budget: float) -> str:
+    """The greedy choice as ``k`` chained steps p1..pk of one row at most, over the pairs within reach."""
+    steps, chosen = [], "SELECT NULL AS fac_id, 0 AS cost WHERE false"
+    for r in range(1, k + 1):
+        steps.append(f"""p{r} AS MATERIALIZED (SELECT fac_id, cost, sum(population) AS gain FROM rc WHERE cost <= {budget} - (SELECT coalesce(sum(cost), 0) FROM ({chosen}))
+ AND unit_id NOT IN (SELECT unit_id FROM rc WHERE fac_id IN (SELECT fac_id FROM ({chosen}))) GROUP BY ALL ORDER BY gain DESC, fac_id LIMIT 1)""")
+        chosen += f" UNION ALL SELECT fac_id, cost FROM p{r}"
+    reach = f"rc AS MATERIALIZED (SELECT fac_id, unit_id, population, cost FROM facilities f JOIN population p ON {hav_sql('p', 'f')} <= 8000)"
+    return with_sql("population", "facilities") + ", " + ", ".join([reach, *steps]) + ", ch AS (" + " UNION ALL ".join(f"SELECT {r} AS rank, * FROM p{r}" for r in range(1, k + 1)) + ")"
+
+
+_ALLOC = _allocation_sql(5, 60.0)
+
+
+@query("location_allocate", _ALLOC + " SELECT CAST(rank AS INT) AS rank, fac_id, CAST(cost AS DOUBLE) AS cost, CAST(gain AS BIGINT) AS gain FROM ch")
 def location_allocate(t):
     return _allocate(t)[0]
 
 
-@query("location_assignments")
+@query("location_assignments", _ALLOC + " SELECT unit_id, arg_min(fac_id, rank) AS fac_id FROM rc JOIN ch USING (fac_id) GROUP BY 1")
 def location_assignments(t):
     return _allocate(t)[1]
