@@ -120,21 +120,26 @@ def line_of_sight(surface: DataFrame, lines: DataFrame, spacing_m: float, interv
 
 
 def viewshed(surface: DataFrame, observers: DataFrame, radius: int, spacing_m: float, interval: float = 1.0, **sight) -> DataFrame:
-    """Verdict per target of the row-major lattice around each observer (``obs_id, x, y``)."""
+    """Verdict per target of the row-major lattice around each observer (``obs_id, x, y``).
+
+    An observer off the surface has one row, status ``refused`` without a target.
+    """
     if not 0 < radius <= MAX_RADIUS_CELLS:
         raise ValueError("radius-bound")
     side = 2 * radius + 1
-    t = observers.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))))
+    stands = sample(surface, observers).select(*observers.columns, F.col("issue").isNotNull().alias("_off"))
+    refused = stands.where("_off").select("obs_id", F.lit(None).cast("int").alias("t"), F.lit("refused").alias("status"))
+    t = stands.where("NOT _off").drop("_off").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))))
     dx, dy = (F.col("t") % side - radius), (F.floor(F.col("t") / side) - radius)
     lines = t.select("obs_id", "t", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + dx).alias("x2"), (F.col("y") + dy).alias("y2"),
                      (dx * dx + dy * dy).alias("r2")).where((F.col("r2") <= radius * radius) & (F.col("r2") > 0)).drop("r2")
-    return line_of_sight(surface, lines, spacing_m, interval, key=["obs_id", "t"], **sight)
+    return line_of_sight(surface, lines, spacing_m, interval, key=["obs_id", "t"], **sight).unionByName(refused, allowMissingColumns=True)
 
 
 def tallies(view: DataFrame) -> DataFrame:
-    """Counts per observer; an observer off the surface is refused as a whole."""
-    named = ("visible", "blocked", "indeterminate", "outside")
-    return view.groupBy("obs_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in named], F.count(F.lit(1)).alias("targets"))
+    """Counts of targets per observer; one off the surface has none and is counted as refused."""
+    named = ("visible", "blocked", "indeterminate", "outside", "refused")
+    return view.groupBy("obs_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in named], F.count("t").alias("targets"))
 
 
 def spacing_degrees(metres: float) -> float:

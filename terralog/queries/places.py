@@ -185,7 +185,9 @@ def geo_line_of_sight(t):
 
 @query("terrain_viewshed", SF + _CORN + """, ln AS (SELECT s_suppkey AS obs_id, tt AS t, x1, y1, x1 + tt % 11 - 5 AS x2, y1 + tt // 11 - 5 AS y2 FROM (SELECT s_suppkey, CAST(s_suppkey * 7 % 128 AS DOUBLE) AS x1, CAST(s_suppkey * 11 % 117 AS DOUBLE) AS y1 FROM supplier), range(0, 121) r(tt)
  WHERE pow(tt % 11 - 5, 2) + pow(tt // 11 - 5, 2) BETWEEN 1 AND 25), """ + los_sql("obs_id, t", 100.0, 0.5, 10.0)
-       + " SELECT obs_id, count(*) FILTER (status = 'visible') AS visible, count(*) FILTER (status = 'blocked') AS blocked, count(*) FILTER (status = 'indeterminate') AS indeterminate, count(*) FILTER (status = 'outside') AS outside, count(*) AS targets FROM v GROUP BY 1")
+       + """, ok AS (SELECT DISTINCT obs_id FROM ln JOIN cn ON gx = x1 AND gy = y1)
+SELECT obs_id, count(*) FILTER (o.obs_id IS NOT NULL AND status = 'visible') AS visible, count(*) FILTER (o.obs_id IS NOT NULL AND status = 'blocked') AS blocked, count(*) FILTER (o.obs_id IS NOT NULL AND status = 'indeterminate') AS indeterminate,
+ count(*) FILTER (o.obs_id IS NOT NULL AND status = 'outside') AS outside, CAST(any_value(o.obs_id) IS NULL AS BIGINT) AS refused, count(o.obs_id) AS targets FROM v LEFT JOIN ok o USING (obs_id) GROUP BY 1""")
 def terrain_viewshed(t):
     k = F.col("s_suppkey")
     obs = t.supplier.select(k.alias("obs_id"), (k * 7 % 128).cast("double").alias("x"), (k * 11 % 117).cast("double").alias("y"))
