@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from terralog.llm.cutting_stock import patterns
 from terralog.llm.tokens import memo, wide
-from terralog.session import cut
+from terralog.session import cut, scratch_path
 
 PIECES = "part int, row long, doc_id long, start long, length int, doc_tokens long, width int, nth long, ids binary"
 TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
@@ -78,7 +78,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    pieces = cut(rows.mapInArrow(_cutter(tokenizer, capacity, unit), PIECES), "pieces")
+    path = scratch_path(spark, "pieces")
+    # token ids are most of what this operator keeps on disk, and shrink well
+    rows.mapInArrow(_cutter(tokenizer, capacity, unit), PIECES).write.option("compression", "zstd").parquet(path)
+    pieces = spark.read.schema(PIECES).parquet(path)
     counts = cut(pieces.groupBy("part", "width").count(), "counts")
     # the histogram: one row per width, capacity / unit at most
     demand = {r["width"]: r["n"] for r in counts.groupBy("width").agg(F.sum("count").alias("n")).collect()}

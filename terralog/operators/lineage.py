@@ -20,7 +20,7 @@ def session_trace(sessions: DataFrame, ids: DataFrame) -> DataFrame:
     return up.where("depth > 0").withColumn("depth", -F.col("depth")).unionByName(down)
 
 
-def flatten_lineage(sessions: DataFrame, limit: int = 64) -> DataFrame:
+def flatten_lineage(sessions: DataFrame) -> DataFrame:
     """Pre-order of the session forest: depth and a path key whose text order places every child
     after its parent and siblings in input order.
 
@@ -36,9 +36,8 @@ def flatten_lineage(sessions: DataFrame, limit: int = 64) -> DataFrame:
         root_less = root_less.join(on_cycles(loose).select(F.col("a").alias("id")).distinct(), "id", "left_anti")
     pos = sessions.select(F.col("session_id").alias("id"), F.lpad(F.col("pos").cast("string"), 12, "0").alias("key"))
     at = cut(pos.join(root_less, "id", "left").select("id", F.col("parent").alias("up"), F.col("key").alias("path"), F.lit(0).alias("depth")), "path")
-    for _ in range(limit):
-        if not at.where("up IS NOT NULL").limit(1).count():
-            break
+    # hops double, so this ends after as many rounds as the depth has binary digits
+    while at.where("up IS NOT NULL").limit(1).count():
         nxt = at.select(F.col("id").alias("mid"), F.col("up").alias("up2"), F.col("path").alias("head"), F.col("depth").alias("d2"))
         # every hop joins the partial path of the node it points to; hops double each round
         at = cut(at.join(nxt, at.up == nxt.mid, "left").select(

@@ -27,7 +27,7 @@ _OA = ARR + """, oa AS (SELECT *, row_number() OVER (ORDER BY arrival, event_id,
 @query("stream_admit", ARR + " SELECT CASE WHEN lon > 180 THEN 'lon' END AS reject, count(*) AS n FROM arrivals GROUP BY 1")
 def stream_admit(t):
     path = W.land(_arr(t), "ord", 4)
-    src = t.spark.readStream.schema(_arr(t).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    src = t.spark.readStream.schema(_arr(t).schema).option("maxFilesPerTrigger", W.LAND_TASKS).parquet(path)
     out, ck = scratch_path(t.spark, "admit"), scratch_path(t.spark, "ck")
     W.run_available(src.withColumn("reject", W.reject_reason()), out, ck)
     return t.spark.read.parquet(out).groupBy("reject").agg(F.count(F.lit(1)).alias("n"))
@@ -36,7 +36,7 @@ def stream_admit(t):
 @query("stream_dedup", ARR + " SELECT DISTINCT event_id FROM arrivals WHERE lon <= 180")
 def stream_dedup(t):
     path = W.land(_arr(t), "ord", 4)
-    src = t.spark.readStream.schema(_arr(t).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    src = t.spark.readStream.schema(_arr(t).schema).option("maxFilesPerTrigger", W.LAND_TASKS).parquet(path)
     out, ck = scratch_path(t.spark, "dedup"), scratch_path(t.spark, "ck")
     W.run_available(W.dedup_stream(W.admit(src)[0], "36 hours").select("event_id"), out, ck)
     return t.spark.read.parquet(out)
@@ -64,7 +64,7 @@ def _rounded(df):
 def stream_tumble(t):
     good = W.dedup(W.admit(_arr(t))[0], ["ord"])
     path = W.land(good, "ord", 4)
-    src = t.spark.readStream.schema(good.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    src = t.spark.readStream.schema(good.schema).option("maxFilesPerTrigger", W.LAND_TASKS).parquet(path)
     out, ck = scratch_path(t.spark, "tumble"), scratch_path(t.spark, "ck")
     W.run_available(W.tumble(src.withWatermark("ts", "36 hours"), "1 hour"), out, ck)
     return _rounded(t.spark.read.parquet(out))
@@ -109,7 +109,7 @@ def late_counts(t):
 def late_revisions_stream(t):
     good = W.dedup(W.admit(_arr(t))[0], ["ord"])
     path = W.land(good, "ord", 4)
-    src = t.spark.readStream.schema(good.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    src = t.spark.readStream.schema(good.schema).option("maxFilesPerTrigger", W.LAND_TASKS).parquet(path)
     sink = W.RevisionSink(scratch_path(t.spark, "revisions"), SIZE, LATE, REVS, "ord")
     q = src.writeStream.foreachBatch(sink).option("checkpointLocation", scratch_path(t.spark, "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -146,7 +146,7 @@ def stream_resume(t):
     for part in (None, good.where(F.col("ord") > half)):
         if part is not None:
             W.land(part, "ord", 2, path)
-        src = t.spark.readStream.schema(good.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        src = t.spark.readStream.schema(good.schema).option("maxFilesPerTrigger", W.LAND_TASKS).parquet(path)
         W.run_available(W.dedup_stream(src, "36 hours"), out, ck)
     return t.spark.read.parquet(out).groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -17,6 +17,7 @@ from terralog.plans.running import BLOCK_ROWS, Run, int_block, running
 from terralog.session import cut, scratch_path
 
 SUMS = ("count", "sum", "lon_sum", "lat_sum")
+LAND_TASKS = 4
 
 
 def reject_reason(event_id: str = "event_id") -> Column:
@@ -195,14 +196,14 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     q.awaitTermination()
 
 
-def land(events: DataFrame, order: str, files: int, path: str | None = None) -> str:
-    """Replay helper: write events as ``files`` slices one after the other, so that a file stream
-    (which goes by modification time) delivers them in arrival order."""
+def land(events: DataFrame, order: str, slices: int, path: str | None = None, tasks: int = LAND_TASKS) -> str:
+    """Replay helper: write events as ``slices`` slices of ``tasks`` files one after the other, so that a file stream
+    (which goes by modification time) of as many files a trigger delivers them in arrival order."""
     path = path or scratch_path(events.sparkSession, "landing")
     staged = cut(events, "slices")
     edge = staged.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    step = (edge["hi"] - edge["lo"]) // files + 1
-    for i in range(files):
+    step = (edge["hi"] - edge["lo"]) // slices + 1
+    for i in range(slices):
         lo = edge["lo"] + i * step
-        staged.where((F.col(order) >= lo) & (F.col(order) < lo + step)).coalesce(1).write.mode("append").parquet(path)
+        staged.where((F.col(order) >= lo) & (F.col(order) < lo + step)).repartition(tasks).write.mode("append").parquet(path)
     return path

@@ -25,7 +25,7 @@ def test_revision_stream_equals_batch(spark):
     assert {r.kind: r.n for r in windows.late_counts(cls).collect()} == {"on-time": 41, "late": 2}
     batch = windows.late_revisions(cls, "arrival", 4).where("window_start < timestamp_seconds(360)")
     sink = windows.RevisionSink(scratch_path(spark, "rev"), 60, 400, 4)
-    path = windows.land(df, "arrival", 3)
+    path = windows.land(df, "arrival", 3, tasks=1)
     q = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path).writeStream.foreachBatch(sink)
          .option("checkpointLocation", scratch_path(spark, "ck")).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -34,7 +34,7 @@ def test_revision_stream_equals_batch(spark):
 
 def test_fold_stream_equals_batch(spark):
     log = Tables(spark, SMALL).log.select("session_id", "seq", "type", "turn")
-    path = windows.land(log, "seq", 2)
+    path = windows.land(log, "seq", 2, tasks=1)
     out = []
     q = (fold_stream(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path), _turn_fold()).writeStream.outputMode("update")
          .foreachBatch(lambda df, _: out.append({r.session_id: tuple(r) for r in df.collect()})).option("checkpointLocation", scratch_path(spark, "ck")).trigger(availableNow=True).start())
