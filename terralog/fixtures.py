@@ -143,6 +143,9 @@ LOG_COLUMNS = {
  WHEN (conv_id + turn) % 11 = 0 THEN 'aborted' ELSE 'completed' END END""",
     "outcome": "CASE WHEN type = 'inbox/spliced' THEN CASE WHEN conv_id % 2 = 0 THEN 'canceled' ELSE 'claimed' END END",
     "replace_seq": "CASE WHEN type = 'compaction/prune' OR (type = 'user/message' AND k = 4) THEN (turn - 2) * 8 + 2 END",
+    # a summary replaces a run of the log; the claim before it states the same run, but for some that state one too many
+    "replace_to": """CASE WHEN type = 'compaction/prune' OR (type = 'user/message' AND k = 4) THEN (turn - 2) * 8 + 2 + (conv_id + turn) % 3 * 5
+ + CASE WHEN type = 'compaction/prune' AND (conv_id + turn) % 13 = 0 THEN 1 ELSE 0 END END""",
     "price": "CASE WHEN type = 'compaction/prune' THEN 5 + turn END",
     "input_tokens": "CASE WHEN type = 'assistant/message' THEN 100 + length(text) % 900 END",
     "output_tokens": "CASE WHEN type = 'assistant/message' THEN 1 + length(text) % 77 END",

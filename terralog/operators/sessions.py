@@ -70,12 +70,12 @@ def event_tokens() -> Column:
 
 
 def surface_tokens(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Running visible total. A replacement adds its price minus the price stated just before it."""
+    """Running visible total. A replacement adds its price minus the price stated just before it, for the same first and last event."""
     claims = _is("compaction/prune", "compaction/summary")
-    prev = F.struct(claims.alias("claim"), F.col("replace_seq").alias("at"), F.col("price").alias("price"))
+    prev = F.struct(claims.alias("claim"), F.struct("replace_seq", "replace_to").alias("at"), F.col("price").alias("price"))
     d = over(events, [last_seen("_p", [SEQ], prev, inclusive=False)], block_rows)
     claim, replaces = F.coalesce(F.col("_p.v.claim"), F.lit(False)), _is(*SURFACE_TYPES) & F.col("replace_seq").isNotNull()
-    wrong = replaces & claim & (F.col("_p.v.at") != F.col("replace_seq"))
+    wrong = replaces & claim & (F.col("_p.v.at") != F.struct("replace_seq", "replace_to"))
     delta = (F.when(~replaces, event_tokens()).when(~claim | wrong, 0).otherwise(event_tokens() - F.col("_p.v.price")))
     d = d.withColumn("delta", delta.cast("long")).withColumn("error", F.coalesce(wrong, F.lit(False))).drop("_p")
     return over(d, [Run("total", "sum", F.col("delta"))], block_rows)
@@ -92,10 +92,14 @@ def context_pressure(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFra
     return per.select(KEY, "pressure", (F.col("pressure") + F.col("now") - F.col("then")).alias("projected"), "context_window")
 
 
+def _replaced(events: DataFrame, keep: list[Column]) -> DataFrame:
+    """One row per sequence number that an event replaces; runs are as long as what was visible before, so they add up to the log at most once each."""
+    return events.where("replace_seq IS NOT NULL").select(KEY, *keep, F.explode(F.sequence("replace_seq", F.greatest("replace_seq", F.coalesce("replace_to", "replace_seq")))).alias(SEQ))
+
+
 def surface_state(events: DataFrame) -> DataFrame:
-    """current, shadowed or log-only per event, after replacements."""
-    gone = (events.where(_is(*SURFACE_TYPES) & F.col("replace_seq").isNotNull())
-            .select(KEY, F.col("replace_seq").alias(SEQ)).distinct().withColumn("_gone", F.lit(True)))
+    """current, shadowed or log-only per event, after replacements of the runs ``replace_seq..replace_to``."""
+    gone = _replaced(events.where(_is(*SURFACE_TYPES)), []).distinct().withColumn("_gone", F.lit(True))
     state = F.when(~_is(*SURFACE_TYPES), "log-only").when(F.col("_gone"), "shadowed").otherwise("current")
     return events.join(gone, [KEY, SEQ], "left").withColumn("surface", state).drop("_gone")
 
@@ -105,8 +109,8 @@ def event_records(events: DataFrame) -> DataFrame:
 
 
 def event_trace(events: DataFrame) -> DataFrame:
-    """Each replacement with the source event it cites, and how the two relate."""
-    rep = events.where("replace_seq IS NOT NULL").select(KEY, F.col(SEQ).alias("by_seq"), F.col("type").alias("by_type"), F.col("replace_seq").alias(SEQ))
+    """Each replacement with every source event it cites, and how the two relate."""
+    rep = _replaced(events, [F.col(SEQ).alias("by_seq"), F.col("type").alias("by_type")])
     src = events.select(KEY, SEQ, F.col("type").alias("source_type"))
     relation = F.when(F.col("source_type").isNull(), "missing").when(F.col("by_type").isin(*SURFACE_TYPES), "replaced").otherwise("cited")
     return rep.join(src, [KEY, SEQ], "left").withColumn("relation", relation)

@@ -38,7 +38,7 @@ def token_usage(t):
     return S.token_usage(t.log)
 
 
-_STATE = f"""st AS (SELECT l.*, CASE WHEN NOT ({SURFACE}) THEN 'log-only' WHEN EXISTS (SELECT 1 FROM log r WHERE r.session_id = l.session_id AND r.type = 'user/message' AND r.replace_seq = l.seq) THEN 'shadowed' ELSE 'current' END AS surface FROM log l)"""
+_STATE = f"""st AS (SELECT l.*, CASE WHEN NOT ({SURFACE}) THEN 'log-only' WHEN EXISTS (SELECT 1 FROM log r WHERE r.session_id = l.session_id AND r.type = 'user/message' AND l.seq BETWEEN r.replace_seq AND r.replace_to) THEN 'shadowed' ELSE 'current' END AS surface FROM log l)"""
 
 
 @query("surface_state", f"{LOG}, {_STATE} SELECT session_id, seq, type, surface FROM st")
@@ -57,12 +57,12 @@ def context_breakdown(t):
     return S.context_breakdown(t.log)
 
 
-_SURF = f"""sf AS (SELECT *, lag(type) OVER w AS pt, lag(replace_seq) OVER w AS pr, lag(price) OVER w AS pp, {EST} AS est FROM log WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
-sd AS (SELECT *, CASE WHEN NOT ({SURFACE} AND replace_seq IS NOT NULL) THEN est WHEN pt <> 'compaction/prune' OR pt IS NULL OR pr <> replace_seq THEN 0 ELSE est - pp END AS delta FROM sf),
+_SURF = f"""sf AS (SELECT *, lag(type) OVER w AS pt, lag(replace_seq) OVER w AS pr, lag(replace_to) OVER w AS pe, lag(price) OVER w AS pp, {EST} AS est FROM log WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
+sd AS (SELECT *, CASE WHEN NOT ({SURFACE} AND replace_seq IS NOT NULL) THEN est WHEN pt <> 'compaction/prune' OR pt IS NULL OR pr <> replace_seq OR pe <> replace_to THEN 0 ELSE est - pp END AS delta, coalesce({SURFACE} AND replace_seq IS NOT NULL AND pt = 'compaction/prune' AND (pr <> replace_seq OR pe <> replace_to), false) AS error FROM sf),
 tot AS (SELECT *, sum(delta) OVER (PARTITION BY session_id ORDER BY seq) AS total FROM sd)"""
 
 
-@query("surface_tokens", f"{LOG}, {_SURF} SELECT session_id, seq, delta, CAST(total AS BIGINT) AS total, false AS error FROM tot")
+@query("surface_tokens", f"{LOG}, {_SURF} SELECT session_id, seq, delta, CAST(total AS BIGINT) AS total, error FROM tot")
 def surface_tokens(t):
     return S.surface_tokens(t.log).select("session_id", "seq", "delta", "total", "error")
 
@@ -116,8 +116,8 @@ def event_neighbors(t):
     return S.event_neighbors(t.log, targets, 4, 3).select("session_id", "seq", "target_seq", "type", "offset")
 
 
-@query("event_trace", LOG + f""" SELECT r.session_id, r.seq AS by_seq, r.type AS by_type, r.replace_seq AS seq, s.type AS source_type,
- CASE WHEN s.type IS NULL THEN 'missing' WHEN r.type = 'user/message' THEN 'replaced' ELSE 'cited' END AS relation FROM log r LEFT JOIN log s ON s.session_id = r.session_id AND s.seq = r.replace_seq WHERE r.replace_seq IS NOT NULL""")
+@query("event_trace", LOG + f""" SELECT r.session_id, r.seq AS by_seq, r.type AS by_type, r.at AS seq, s.type AS source_type,
+ CASE WHEN s.type IS NULL THEN 'missing' WHEN r.type = 'user/message' THEN 'replaced' ELSE 'cited' END AS relation FROM (SELECT *, unnest(range(replace_seq, replace_to + 1)) AS at FROM log WHERE replace_seq IS NOT NULL) r LEFT JOIN log s ON s.session_id = r.session_id AND s.seq = r.at""")
 def event_trace(t):
     return S.event_trace(t.log)
 
