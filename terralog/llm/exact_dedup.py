@@ -17,6 +17,7 @@ from terralog.session import cut
 #: Runs of white space that differ from one plain space; replacing these by a space equals replacing every run.
 UNEVEN_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 KEY = ["digest", "size", "probe"]
+SIEVE_WORDS = 1 << 17               # one megabyte
 
 
 def normalise(text: Column) -> Column:
@@ -59,20 +60,38 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("row") == F.col("first.row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def sieve(keys: DataFrame, key: str) -> Column:
+    """A bit set of the long column ``key`` as one scalar, ``SIEVE_WORDS`` longs whatever the number of keys."""
+    at = keys.select(F.pmod(F.col(key), F.lit(64 * SIEVE_WORDS)).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("bits"))
+    every = keys.sparkSession.range(SIEVE_WORDS).join(words, F.col("id") == F.col("word"), "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))), lambda w: w["bits"]).alias("sieve")).scalar()
+
+
+def in_sieve(bits: Column, key: Column) -> Column:
+    """False only for keys that are surely not in the set."""
+    at = F.pmod(key, F.lit(64 * SIEVE_WORDS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    return F.get(bits, F.shiftright(at, 6).cast("int")).bitwiseAND(bit) != 0
+
+
 def without(docs: DataFrame, digest: Column, members: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the rows that ``members`` (``id, digest, stays``, one row per row of a group) does not let stay.
 
-    Rows equal in id and digest cannot be told apart by either; those that stay are made one row, in a branch of their own where there are any.
+    A bit set of bounded size tells most rows that they are in no group: these stay as they are, so their texts are not shuffled. The others are
+    joined. Rows equal in id and digest cannot be told apart by either; those that stay are made one row.
     """
     pairs = cut(members.groupBy("id", "digest").agg(F.max("stays").alias("stays"), F.count("*").alias("same")).where("NOT stays OR same > 1")
-                .select(F.col("id").alias("_id"), F.col("digest").alias("_of"), "stays"), "listed")
+                .select(F.col("id").alias("_id"), F.col("digest").alias("_of"), "stays", F.xxhash64("id", "digest").alias("_key")), "listed")
     marked = docs.withColumn("_digest", digest)
-    on = [marked["_digest"] == pairs["_of"], marked[id_col].eqNullSafe(pairs["_id"])]
-    kept = marked.join(pairs, on, "left_anti").drop("_digest")
+    known = in_sieve(sieve(pairs, "_key"), F.xxhash64(F.col(f"`{id_col}`"), "_digest"))
+    free, held = marked.where(~known).drop("_digest"), marked.where(known)
+    on = [held["_digest"] == pairs["_of"], held[id_col].eqNullSafe(pairs["_id"])]
+    kept = free.unionByName(held.join(pairs, on, "left_anti").drop("_digest"))
     repeated = pairs.where("stays")
     if not repeated.limit(1).count():
         return kept
-    return kept.unionByName(marked.join(repeated, on, "left_semi").dropDuplicates(["_digest", id_col]).drop("_digest"))
+    return kept.unionByName(held.join(repeated, on, "left_semi").dropDuplicates(["_digest", id_col]).drop("_digest"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

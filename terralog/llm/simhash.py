@@ -165,17 +165,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     schema = StructType([*rows.drop("text").schema.fields, StructField("prints", ArrayType(LongType()))])
     rows = cut(rows.mapInArrow(_many_prints(words, prints), schema).withColumn("row", F.monotonically_increasing_id()), "prints")
     flat = rows.select("row", F.posexplode("prints").alias("kind", "print"))
-    # the first row of a print stands for it
+    # the first row of a print stands for it, and every row belongs to the first of its own first print
     first = cut(flat.groupBy("kind", "print").agg(F.min("row").alias("first"), F.count("*").alias("n")), "nodes")
-    same = flat.join(first.where("n > 1"), ["kind", "print"]).where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
+    own = cut(flat.where("kind = 0").join(first.where("kind = 0").select("print", "first"), "print").select("row", F.col("first").alias("base")), "own")
+    # of the other prints only the distinct pairs (base, first) count, however many rows share them
+    same = flat.where("kind > 0").join(first.where("kind > 0 AND n > 1").select("kind", "print", "first"), ["kind", "print"]).join(own, "row").select(
+        F.col("base").alias("a"), F.col("first").alias("b"))
     near = near_links(first.select("kind", "print"), radius, bucket_rows)
-    near = near.join(first.select("kind", F.col("print").alias("a"), F.col("first").alias("fa")), ["kind", "a"]).join(
-        first.select("kind", F.col("print").alias("b"), F.col("first").alias("fb")), ["kind", "b"]).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
-    edges = cut(same.unionByName(near).distinct(), "edges")
+    near = cut(near.join(first.select("kind", F.col("print").alias("a"), F.col("first").alias("fa")), ["kind", "a"]).join(
+        first.select("kind", F.col("print").alias("b"), F.col("first").alias("fb")), ["kind", "b"]).select(F.col("fa").alias("a"), F.col("fb").alias("b")).distinct(), "near")
+    seen = near.select(F.col("a").alias("row")).unionByName(near.select(F.col("b").alias("row"))).distinct()
+    edges = same.unionByName(near).unionByName(seen.join(own, "row").select(F.col("row").alias("a"), F.col("base").alias("b")))
+    edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
-    heads = cut(components(ends, edges).select(F.col("id").alias("row"), F.col("label").alias("head")), "heads")
-    grouped = rows.select("row", "id", "digest").join(heads, "row")
+    heads = cut(components(ends, edges).select(F.col("id").alias("base"), F.col("label").alias("head")), "heads")
+    placed = rows.select("row", "id", "digest").join(own, "row").join(heads, "base", "left").withColumn("head", F.coalesce("head", "base"))
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")
-    best = grouped.groupBy("head").agg(F.min(rank).alias("best"))
-    members = grouped.join(best, "head").select("id", "digest", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("digest") == F.col("best.digest"))).alias("stays"))
+    best = placed.groupBy("head").agg(F.min(rank).alias("best"), F.count("*").alias("n")).where("n > 1")
+    members = placed.join(best, "head").select("id", "digest", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("digest") == F.col("best.digest"))).alias("stays"))
     return without(docs, F.unhex(F.sha2(text, 256)), members, id_col)
