@@ -97,6 +97,7 @@ def test_entry_contract(spark):
     spec = importlib.util.spec_from_file_location("entry", Path(__file__).resolve().parents[1] / "__spark_entry__.py")
     mod = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(mod)
-    assert set(mod.oracle_sql()) <= set(mod.queries()) == set(QUERIES)
+    # operators that may be absent add to these
+    assert set(mod.oracle_sql()) <= set(mod.queries()) >= set(QUERIES)
     out = mod.entry(spark)
     assert out.count() > 0 and "gi_star" in out.columns
