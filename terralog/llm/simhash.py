@@ -168,14 +168,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     # the first row of a print stands for it, and every row belongs to the first of its own first print
     first = cut(flat.groupBy("kind", "print").agg(F.min("row").alias("first"), F.count("*").alias("n")), "nodes")
     own = cut(flat.where("kind = 0").join(first.where("kind = 0").select("print", "first"), "print").select("row", F.col("first").alias("base")), "own")
-    # of the other prints only the distinct pairs (base, first) count, however many rows share them
-    same = flat.where("kind > 0").join(first.where("kind > 0 AND n > 1").select("kind", "print", "first"), ["kind", "print"]).join(own, "row").select(
-        F.col("base").alias("a"), F.col("first").alias("b"))
+    # so a print stands for one base row, and only distinct pairs of bases count, however many rows share their prints
+    first = cut(first.join(own.withColumnRenamed("row", "first"), "first").select("kind", "print", "n", "base"), "bases")
+    same = flat.where("kind > 0").join(first.where("kind > 0 AND n > 1").select("kind", "print", F.col("base").alias("b")), ["kind", "print"]).join(own, "row").select(
+        F.col("base").alias("a"), "b").where("a <> b")
     near = near_links(first.select("kind", "print"), radius, bucket_rows)
-    near = cut(near.join(first.select("kind", F.col("print").alias("a"), F.col("first").alias("fa")), ["kind", "a"]).join(
-        first.select("kind", F.col("print").alias("b"), F.col("first").alias("fb")), ["kind", "b"]).select(F.col("fa").alias("a"), F.col("fb").alias("b")).distinct(), "near")
-    seen = near.select(F.col("a").alias("row")).unionByName(near.select(F.col("b").alias("row"))).distinct()
-    edges = same.unionByName(near).unionByName(seen.join(own, "row").select(F.col("row").alias("a"), F.col("base").alias("b")))
+    edges = same.unionByName(near.join(first.select("kind", F.col("print").alias("a"), F.col("base").alias("fa")), ["kind", "a"]).join(
+        first.select("kind", F.col("print").alias("b"), F.col("base").alias("fb")), ["kind", "b"]).select(F.col("fa").alias("a"), F.col("fb").alias("b")))
     edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
     heads = cut(components(ends, edges).select(F.col("id").alias("base"), F.col("label").alias("head")), "heads")
