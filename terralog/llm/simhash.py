@@ -151,6 +151,23 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(known, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """``id, label``: smallest reachable id of every end of ``a, b`` edges.
+
+    Each round every node goes under its smallest neighbour and the edges are rewritten to the nodes above, without loops and repeats: a crowded group
+    shrinks to few edges at once, where passing labels along all edges would read them again in every round.
+    """
+    above = None
+    while edges.limit(1).count():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("up")), "up")
+        step = up.select(F.col("id").alias("up"), F.col("up").alias("top"))
+        above = cut(up if above is None else above.withColumnRenamed("up", "mid").join(up.withColumnRenamed("id", "mid"), "mid", "left").select("id", F.coalesce("up", "mid").alias("up")), "above")
+        edges = edges.join(step.select(F.col("up").alias("a"), F.col("top").alias("ta")), "a").join(step.select(F.col("up").alias("b"), F.col("top").alias("tb")), "b")
+        edges = cut(edges.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("label")) if above is None else above.select("id", F.col("up").alias("label"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, prints: int = 8, radius: int = 4, bucket_rows: int = 2048) -> DataFrame:
     """The rows of ``docs`` of which one per group stays, the smallest id (then digest), with all columns as they were.
 
@@ -176,8 +193,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     edges = same.unionByName(near.join(first.select("kind", F.col("print").alias("a"), F.col("base").alias("fa")), ["kind", "a"]).join(
         first.select("kind", F.col("print").alias("b"), F.col("base").alias("fb")), ["kind", "b"]).select(F.col("fa").alias("a"), F.col("fb").alias("b")))
     edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
-    heads = cut(components(ends, edges).select(F.col("id").alias("base"), F.col("label").alias("head")), "heads")
+    heads = cut(contracted(edges).select(F.col("id").alias("base"), F.col("label").alias("head")), "heads")
     placed = rows.select("row", "id", "digest").join(own, "row").join(heads, "base", "left").withColumn("head", F.coalesce("head", "base"))
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")
     best = placed.groupBy("head").agg(F.min(rank).alias("best"), F.count("*").alias("n")).where("n > 1")
