@@ -9,14 +9,16 @@ members and gives a spanning star of every group it finds, never its pairs.
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from terralog.llm.bk_tree import links
-from terralog.llm.exact_dedup import without
+from terralog.llm.exact_dedup import in_sieve, sieve, without
 from terralog.llm.perfect_hash import mix
 from terralog.plans.iterate import components
 from terralog.session import cut
@@ -25,6 +27,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
 COUNT_ROWS = 1 << 16
 BITS = 64
+BANDS, BAND_ROWS = 20, 5          # a similarity of 0.8 shares no band with a chance of 0.0004
 DEPTH = 16                         # levels of buckets; the last is searched whatever its size
 
 
@@ -44,10 +47,10 @@ def shingle_hashes(raw: bytes | None, words: int):
         yield np.fromiter((xxh64_intdigest(text[a:b], SEED) for a, b in spans), np.uint64)
 
 
-def fingerprints_of(raw: bytes | None, words: int, count: int) -> list[int]:
-    """``count`` independent fingerprints: bits set in more than half of the hashes, which are mixed anew for each but the first; 0 without words."""
+def fingerprints_of(chunks, count: int) -> list[int]:
+    """``count`` independent fingerprints of arrays of hashes: bits set in more than half, mixed anew for each but the first; 0 without any."""
     votes, n = np.zeros((count, BITS), dtype=np.int64), 0
-    for hashes in shingle_hashes(raw, words):
+    for hashes in chunks:
         n += len(hashes)
         for k in range(count):
             mixed = mix(hashes, k) if k else hashes
@@ -57,7 +60,7 @@ def fingerprints_of(raw: bytes | None, words: int, count: int) -> list[int]:
 
 def fingerprint(raw: bytes | None, words: int = 4) -> int:
     """Bits set in more than half of the XXH64 hashes of the word shingles, as an unsigned integer; 0 without words."""
-    return fingerprints_of(raw, words, 1)[0]
+    return fingerprints_of(shingle_hashes(raw, words), 1)[0]
 
 
 def _prints(words: int):
@@ -68,12 +71,73 @@ def _prints(words: int):
     return run
 
 
-def _many_prints(words: int, count: int):
+def band_keys(hashes: np.ndarray, bands: int) -> list[int]:
+    """A key for each band of ``BAND_ROWS`` minima of the hashes under fixed multipliers; sets of similarity s share one with s ** ``BAND_ROWS``."""
+    low = np.full(bands * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    factors = np.random.default_rng(SEED).integers(1 << 63, size=(len(low), 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for at in range(0, len(hashes), COUNT_ROWS >> 4):
+        low = np.minimum(low, (hashes[None, at:at + (COUNT_ROWS >> 4)] * factors[:, :1] + factors[:, 1:]).min(axis=1))
+    keys = np.zeros(bands, dtype=np.uint64)
+    for k, column in enumerate(low.reshape(bands, BAND_ROWS).T):
+        keys = mix(keys ^ column, k)
+    return keys.tolist()
+
+
+def shingle_set(raw: bytes | None, words: int) -> np.ndarray:
+    """The distinct hashes of the shingles in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(raw, words)]))
+
+
+def _sketch(raw: bytes | None, words: int, count: int, bands: int) -> tuple[bytes, list[int]]:
+    """Digest of the shingle set, and the fingerprints and band keys of a text."""
+    chunks = list(shingle_hashes(raw, words))
+    whole = np.unique(np.concatenate([np.zeros(0, np.uint64), *chunks]))
+    return md5(whole.tobytes()).digest(), fingerprints_of(chunks, count) + band_keys(whole, bands)
+
+
+def _sketches(words: int, count: int, bands: int):
     def run(batches):
         for b in batches:
-            prints = np.asarray([fingerprints_of(x.as_py(), words, count) for x in b.column(2)], dtype=np.uint64).reshape(-1).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * count, pa.int32()), pa.array(prints, pa.int64()))
-            yield pa.record_batch([b.column(0), b.column(1), lists], names=["id", "digest", "prints"])
+            found = [_sketch(x.as_py(), words, count, bands) for x in b.column(2)]
+            prints = np.asarray([k for _, k in found], dtype=np.uint64).reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * (count + bands), pa.int32()), pa.array(prints, pa.int64()))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([d for d, _ in found], pa.binary()), lists], names=["id", "digest", "alike", "prints"])
+    return run
+
+
+def _sets(words: int):
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(x.as_py(), words).view(np.int64) for x in b.column(1)]
+            yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["base", "shingles"])
+    return run
+
+
+def set_links(sets: list[np.ndarray], label: np.ndarray, alike: float) -> list[tuple[int, int]]:
+    """Pairs of positions that join the groups ``label`` of all sets with a Jaccard similarity of at least ``alike``; pairs inside a group are not needed."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, token = np.unique(np.concatenate(sets) if len(sets) else np.zeros(0, np.int64), return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    post, held = owner[order], np.bincount(token)
+    start, at, out = np.cumsum(held) - held, np.cumsum(size) - size, []
+    label = np.unique(label, return_inverse=True)[1]
+    for i in range(len(sets)):
+        mine = token[at[i]:at[i] + size[i]]
+        n = held[mine]
+        both = np.bincount(post[np.repeat(start[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+        for j in np.flatnonzero((both >= alike * (size + size[i] - both)) & (label != label[i])):
+            if label[i] != label[j]:
+                out.append((i, int(j)))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _block_links(alike: float):
+    def run(table: pa.Table) -> pa.Table:
+        base, _, cluster = (table[c].to_numpy() for c in ("base", "block", "cluster"))
+        found = set_links([np.asarray(x.values) for x in table["shingles"].combine_chunks()], cluster, alike)
+        return pa.table({c: pa.array([int(base[p[k]]) for p in found], pa.int64()) for k, c in enumerate("ab")})
     return run
 
 
@@ -168,33 +232,66 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("label")) if above is None else above.select("id", F.col("up").alias("label"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, prints: int = 8, radius: int = 4, bucket_rows: int = 2048) -> DataFrame:
+def confirmed(docs: DataFrame, edges: DataFrame, placed: DataFrame, id_col: str, text_col: str, words: int, alike: float, block_rows: int = 512) -> DataFrame:
+    """``a, b``: edges that span every group of texts linked by a Jaccard similarity of at least ``alike``, within the groups that the candidates ``edges`` link.
+
+    Candidates are stars, so a member may be like another member and not like the centre. Confirmed edges are contracted, and where a candidate group
+    does not become one by them, all its members are compared: in blocks of about ``block_rows``, each pair of blocks by an inverted index.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    ends = edges.select(F.col("a").alias("row")).unionByName(edges.select(F.col("b").alias("row"))).distinct()
+    named = cut(placed.select("row", "id", "digest").join(ends, "row").select(F.col("row").alias("base"), F.col("id").alias("_id"), F.col("digest").alias("_of"), F.xxhash64("id", "digest").alias("_key")), "named")
+    all_rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.cast("binary").alias("text"))
+    held = all_rows.where(in_sieve(sieve(named, "_key"), F.xxhash64("id", "digest")))
+    texts = held.join(named, (held["digest"] == named["_of"]) & held["id"].eqNullSafe(named["_id"])).select("base", "text").dropDuplicates(["base"])
+    sets = cut(texts.mapInArrow(_sets(words), "base long, shingles array<long>"), "sets")
+    side = lambda c: sets.select(F.col("base").alias(c), F.col("shingles").alias(f"of_{c}"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    near = edges.join(side("a"), "a").join(side("b"), "b").where(both >= F.lit(alike) * (F.size("of_a") + F.size("of_b") - both))
+    near = cut(near.select("a", "b"), "near")
+    groups = contracted(edges).select(F.col("id").alias("base"), F.col("label").alias("group"))
+    nodes = groups.join(contracted(near).select(F.col("id").alias("base"), F.col("label").alias("cluster")), "base", "left").withColumn("cluster", F.coalesce("cluster", "base"))
+    nodes = cut(nodes, "clusters")
+    torn = nodes.groupBy("group").agg(F.count("*").alias("n"), F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high AND n > 2")
+    torn = cut(torn.select("group", F.ceil(F.col("n") / block_rows).cast("long").alias("blocks"), "n"), "torn")
+    small = -(-(torn.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) // block_rows) or 1
+    open_ = nodes.join(torn.drop("n"), "group").withColumn("i", F.pmod(F.xxhash64("base"), F.col("blocks"))).select("base", "cluster", "group", "blocks", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
+    block = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(small))).otherwise(F.xxhash64("group", F.least("i", "j"), F.greatest("i", "j")))
+    found = open_.select("base", "cluster", block.alias("block")).join(sets, "base").groupBy("block").applyInArrow(_block_links(alike), "a long, b long")
+    return near.unionByName(cut(found, "found"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, prints: int = 8, radius: int = 4, bucket_rows: int = 2048, alike: float = 0.8,
+             bands: int | None = None) -> DataFrame:
     """The rows of ``docs`` of which one per group stays, the smallest id (then digest), with all columns as they were.
 
-    Texts with a similarity of 0.8 differ in about 10 of 64 bits, more than any search by equal parts can reach. So each text has several
-    independent prints, and two texts are linked when any of them differs in at most ``radius`` bits; groups are connected components. Null ids
-    come last. Repeated rows of one id and text give one row. Columns named ``_digest`` would clash and are refused by name.
+    Two texts are linked when the Jaccard similarity of their shingle sets is at least ``alike``; groups are connected components. Texts with a similarity of 0.8 differ in
+    about 10 of 64 bits, more than any search by equal parts can reach. So candidates are texts of which any of ``prints`` independent prints differs in at most ``radius``
+    bits, or any of ``bands`` keys of minima agrees; every link is confirmed by the sets themselves. By default a search by a single print has no bands and finds what
+    ``simhash_groups`` finds. Null ids come last. Repeated rows of one id and text give one row. Columns named ``_digest`` would clash and are refused by name.
     """
     if "_digest" in docs.columns:
         raise ValueError("rename the column _digest")
+    bands = bands if bands is not None else BANDS if prints > 1 else 0
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.cast("binary").alias("text"))
-    schema = StructType([*rows.drop("text").schema.fields, StructField("prints", ArrayType(LongType()))])
-    rows = cut(rows.mapInArrow(_many_prints(words, prints), schema).withColumn("row", F.monotonically_increasing_id()), "prints")
-    flat = rows.select("row", F.posexplode("prints").alias("kind", "print"))
-    # the first row of a print stands for it, and every row belongs to the first of its own first print
-    first = cut(flat.groupBy("kind", "print").agg(F.min("row").alias("first"), F.count("*").alias("n")), "nodes")
-    own = cut(flat.where("kind = 0").join(first.where("kind = 0").select("print", "first"), "print").select("row", F.col("first").alias("base")), "own")
-    # so a print stands for one base row, and only distinct pairs of bases count, however many rows share their prints
-    first = cut(first.join(own.withColumnRenamed("row", "first"), "first").select("kind", "print", "n", "base"), "bases")
-    same = flat.where("kind > 0").join(first.where("kind > 0 AND n > 1").select("kind", "print", F.col("base").alias("b")), ["kind", "print"]).join(own, "row").select(
-        F.col("base").alias("a"), "b").where("a <> b")
+    schema = StructType([*rows.drop("text").schema.fields, StructField("alike", BinaryType()), StructField("prints", ArrayType(LongType()))])
+    rows = cut(rows.mapInArrow(_sketches(words, prints, bands), schema).withColumn("row", F.monotonically_increasing_id()), "prints")
+    # the first row of a shingle set stands for it
+    own = cut(rows.groupBy("alike").agg(F.min("row").alias("base")), "own")
+    placed = cut(rows.select("row", "id", "digest", "alike").join(own, "alike").select("row", "id", "digest", "base"), "placed")
+    flat = rows.join(own.select(F.col("base").alias("row")), "row", "left_semi").select("row", F.posexplode("prints").alias("kind", "print"))
+    flat = cut(flat, "flat")
+    first = cut(flat.groupBy("kind", "print").agg(F.min("row").alias("base"), F.count("*").alias("n")), "nodes")
+    same = flat.join(first.where("n > 1").select("kind", "print", "base"), ["kind", "print"]).select(F.col("row").alias("a"), F.col("base").alias("b"))
+    first = first.where(F.col("kind") < prints)
     near = near_links(first.select("kind", "print"), radius, bucket_rows)
     edges = same.unionByName(near.join(first.select("kind", F.col("print").alias("a"), F.col("base").alias("fa")), ["kind", "a"]).join(
         first.select("kind", F.col("print").alias("b"), F.col("base").alias("fb")), ["kind", "b"]).select(F.col("fa").alias("a"), F.col("fb").alias("b")))
     edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    edges = confirmed(docs, edges, placed, id_col, text_col, words, alike)
     heads = cut(contracted(edges).select(F.col("id").alias("base"), F.col("label").alias("head")), "heads")
-    placed = rows.select("row", "id", "digest").join(own, "row").join(heads, "base", "left").withColumn("head", F.coalesce("head", "base"))
+    placed = placed.join(heads, "base", "left").withColumn("head", F.coalesce("head", "base"))
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")
     best = placed.groupBy("head").agg(F.min(rank).alias("best"), F.count("*").alias("n")).where("n > 1")
     members = placed.join(best, "head").select("id", "digest", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("digest") == F.col("best.digest"))).alias("stays"))
