@@ -1,9 +1,9 @@
 """Licence statements in documents: a paragraph classifier in DataFrame functions, confirmed by template comparison.
 
 A multinomial logistic regression over sparse word one- and two-grams is trained here from the templates below and from sentences that use
-the same words otherwise; its weights become a map literal. A document is scored in its own row: the paragraphs (lines) that hold a
-licence word are split, their grams looked up and summed, and a temperature fitted on left-out variants turns scores into probabilities with a class for
-the unknown. A family is reported when a template of it is found in the paragraph. There is no shuffle and no join.
+the same words otherwise; its weights become a map literal. A document is scored in its own row: the paragraphs (lines joined up to a blank one) that hold a
+licence word are cut into windows around these words, their grams looked up and summed, and a temperature fitted on left-out variants turns scores into probabilities with a class for
+the unknown. Every family is reported that has a template in a window. There is no shuffle and no join.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ SHINGLE, ALIKE = 5, 0.8
 # Common statements of each licence family.
 TEMPLATES = {
     "agpl-3.0": ["licensed under the gnu affero general public license version 3", "this program is free software under the terms of the gnu affero general public license",
-                 "spdx license identifier agpl 3.0", "released under the agpl v3 license"],
+                 "spdx license identifier agpl 3.0", "released under the agpl v3 license",
+                 "terms of the gnu affero general public license as published by the free software foundation"],
     "all-rights-reserved": ["all rights reserved", "copyright all rights reserved", "no part of this publication may be reproduced without permission",
                             "unauthorized copying of this file is strictly prohibited proprietary and confidential"],
     "apache-2.0": ["licensed under the apache license version 2.0", "released under the apache 2.0 license", "spdx license identifier apache 2.0",
@@ -34,10 +35,13 @@ TEMPLATES = {
                  "licensed under cc by nc nd 4.0"],
     "cc-by-sa": ["licensed under cc by sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license", "text is available under the creative commons attribution sharealike license"],
     "cc0": ["released under cc0 1.0", "this work is dedicated to the public domain under cc0", "released into the public domain", "this is free and unencumbered software released into the public domain"],
-    "gpl-2.0": ["licensed under the gnu general public license version 2", "released under the gpl v2 license", "spdx license identifier gpl 2.0"],
+    "gpl-2.0": ["licensed under the gnu general public license version 2", "released under the gpl v2 license", "spdx license identifier gpl 2.0",
+                "terms of the gnu general public license as published by the free software foundation either version 2 of the license"],
     "gpl-3.0": ["licensed under the gnu general public license version 3", "this work is licensed under the gnu general public license version 3", "released under the gpl v3 license",
-                "spdx license identifier gpl 3.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
-    "lgpl": ["licensed under the gnu lesser general public license", "released under the lgpl license", "spdx license identifier lgpl 2.1"],
+                "spdx license identifier gpl 3.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+                "terms of the gnu general public license as published by the free software foundation either version 3 of the license"],
+    "lgpl": ["licensed under the gnu lesser general public license", "released under the lgpl license", "spdx license identifier lgpl 2.1",
+             "terms of the gnu lesser general public license as published by the free software foundation"],
     "mit": ["released under the mit license", "licensed under the mit license", "spdx license identifier mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"],
     "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license 2.0", "spdx license identifier mpl 2.0"],
 }
@@ -49,6 +53,12 @@ OTHERWISE = [
 ]
 #: Paragraphs without any of these are of no family.
 ANCHORS = r"\b(?:licen[cs]\w*|copyright\w*|rights|reserved|l?gpl|agpl|gnu|apache|bsd|mozilla|mpl|cc0|cc|creative|commons|domain|warrant\w*|redistribut\w*|permission|spdx|reproduced|proprietary|copying)\b"
+#: This statement is shared by the licences of the GNU family; it names none where the paragraph confirms another of them.
+SHARED, GNU = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("agpl-3.0", "gpl-2.0", "lgpl")
+#: Anchors within ``CORE`` words share a window, which reaches ``REACH`` words to both sides: more than the longest template.
+CORE, REACH = 16, 32
+#: Lines without a letter or digit, comment marks among them, end a paragraph.
+BLANK = r"\n[^\p{L}\p{N}]*\n"
 RESTRICTIVE = ("all-rights-reserved", "cc-by-nc")
 
 
@@ -117,48 +127,97 @@ def _constant(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, sort_keys=True)), kind)
 
 
-def classify(line: Column) -> Column:
-    """``struct(family, probability, confirmed)`` of a paragraph."""
+def _words(text: Column) -> Column:
+    low = F.regexp_replace(F.lower(text), r"\.(?![0-9])", " ")
+    return F.filter(F.split(low, r"[^a-z0-9.]+"), lambda w: w != "")
+
+
+def _runs(w: Column, n: int | Column) -> Column:
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def _scores(w: Column, body) -> Column:
+    """``body`` of the array of calibrated probabilities of the words."""
     families, weights, constants, heat = train()
     # one literal each instead of an expression per weight, which would slow the planner
     table = _constant(weights, "map<string,array<double>>")
-    names = F.array(*[F.lit(f) for f in families])
-    templates = _constant([{"family": f, "shingles": shingles_of(words_of(t))} for f in sorted(TEMPLATES) for t in TEMPLATES[f]], "array<struct<family:string,shingles:array<string>>>")
-    low = F.regexp_replace(F.lower(line), r"\.(?![0-9])", " ")
-    words = F.filter(F.split(low, r"[^a-z0-9.]+"), lambda w: w != "")
-    none = F.array().cast("array<string>")
-
-    def windows(w: Column, n: int) -> Column:
-        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(none)
-
-    def score(w: Column) -> Column:
-        return F.aggregate(F.array_distinct(F.concat(w, windows(w, 2))), _doubles(constants),
-                           lambda acc, g: F.zip_with(acc, F.coalesce(F.try_element_at(table, g), _doubles([0] * len(families))), lambda a, b: a + b))
-
-    def judge(w: Column, z: Column) -> Column:
-        powers = F.transform(z, lambda v: F.exp((v - F.array_max(z)) / heat))
-        total = F.aggregate(powers, F.lit(0.0), lambda a, v: a + v)
-        best = F.element_at(names, F.array_position(z, F.array_max(z)).cast("int"))
-        parts = F.when(F.size(w) < SHINGLE, F.array(F.array_join(w, " "))).otherwise(windows(w, SHINGLE))
+    sums = F.aggregate(F.array_distinct(F.concat(w, _runs(w, 2))), _doubles(constants),
+                       lambda acc, g: F.zip_with(acc, F.coalesce(F.try_element_at(table, g), _doubles([0] * len(families))), lambda a, b: a + b))
+    powers = lambda z: F.transform(z, lambda v: F.exp((v - F.array_max(z)) / heat))
+    return _let(sums, lambda z: _let(powers(z), lambda e: _let(F.aggregate(e, F.lit(0.0), lambda a, v: a + v), lambda t: body(F.transform(e, lambda v: v / t)))))
+
+
+def _found(w: Column) -> Column:
+    """``family, shared, first, last`` of every template in the words: positions of its first and last words that are there."""
+    templates = _constant([{"family": f, "shared": t == SHARED, "n": min(SHINGLE, len(words_of(t))), "shingles": shingles_of(words_of(t))} for f in sorted(TEMPLATES) for t in TEMPLATES[f]],
+                          "array<struct<family:string,shared:boolean,n:int,shingles:array<string>>>")
+
+    def places(t: Column, p: Column) -> Column:
+        return F.filter(F.transform(p, lambda x, i: F.when(F.array_contains(t["shingles"], x), i + 1)), lambda i: i.isNotNull())
+
+    def inside(p: Column) -> Column:
         # a template shorter than a shingle is found as a run of words
-        return _let(F.struct(best.alias("f"), parts.alias("p"), F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).alias("t"), (1.0 / total).alias("q")), lambda s: F.struct(
-            s["f"].alias("family"), s["q"].alias("probability"),
-            F.exists(templates, lambda t: (t["family"] == s["f"]) & F.when(F.size(t["shingles"]) == 1, s["t"].contains(F.concat(F.lit(" "), F.element_at(t["shingles"], 1), F.lit(" "))))
-                     .otherwise(F.size(F.array_intersect(t["shingles"], s["p"])) >= ALIKE * F.size(t["shingles"]))).alias("confirmed")))
+        text = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+        hits = _let(text, lambda x: F.filter(templates, lambda t: F.when(F.size(t["shingles"]) == 1, x.contains(F.concat(F.lit(" "), F.element_at(t["shingles"], 1), F.lit(" "))))
+                                             .otherwise(F.size(F.array_intersect(t["shingles"], p)) >= ALIKE * F.size(t["shingles"]))))
+        share = lambda t: F.when(F.size(t["shingles"]) == 1, 1.0).otherwise(F.size(F.array_intersect(t["shingles"], p)) / F.size(t["shingles"]))
+        return F.transform(hits, lambda t: _let(F.when(t["n"] == SHINGLE, places(t, p)).otherwise(places(t, _runs(w, t["n"]))), lambda at: F.struct(
+            t["family"].alias("family"), t["shared"].alias("shared"), share(t).alias("share"), F.array_min(at).alias("first"), (F.array_max(at) + t["n"] - 1).alias("last"))))
+
+    def better(m: Column, o: Column) -> Column:
+        # the same words are nearer to another family's template, such as that of another version
+        return (m["shared"] & o["family"].isin(*GNU)) | ((o["family"] != m["family"]) & (o["share"] > m["share"]) & (o["first"] <= m["last"]) & (m["first"] <= o["last"]))
+
+    return _let(_let(_runs(w, SHINGLE), inside), lambda found: F.filter(found, lambda m: ~F.exists(found, lambda o: better(m, o))))
+
+
+def judge(w: Column) -> Column:
+    """Array of ``family, probability, confirmed, line, at`` of a window of words: each confirmed family once, or the most probable family unconfirmed."""
+    names = F.array(*[F.lit(f) for f in train()[0]])
+
+    def statement(family: Column | None, words: Column, at: Column) -> Column:
+        def row(q: Column) -> Column:
+            best = F.array_position(q, F.array_max(q)) if family is None else F.array_position(names, family)
+            return F.struct(F.element_at(names, best.cast("int")).alias("family"), F.element_at(q, best.cast("int")).alias("probability"), F.lit(family is not None).alias("confirmed"),
+                            F.array_join(words, " ").alias("line"), at.cast("int").alias("at"))
+        return _scores(words, row)
+
+    def told(found: Column) -> Column:
+        alone = F.filter(found, lambda m, i: ~F.exists(F.slice(found, 1, i), lambda o: o["family"] == m["family"]))
+        return F.when(F.size(found) == 0, F.array(statement(None, w, F.lit(1)))).otherwise(
+            F.transform(alone, lambda m: _let(F.slice(w, m["first"], m["last"] - m["first"] + 1), lambda x: statement(m["family"], x, m["first"]))))
+
+    return _let(_found(w), told)
+
+
+def classify(line: Column) -> Column:
+    """``struct(family, probability, confirmed)`` of a short text: its first confirmed family, or the most probable one."""
+    return _let(_let(_words(line), judge), lambda s: F.struct(*[F.element_at(s, 1)[c].alias(c) for c in ("family", "probability", "confirmed")]))
+
+
+def statements_of(paragraph: Column) -> Column:
+    """Array of ``family, probability, confirmed, line, at`` of the windows around the licence words of a paragraph; a statement in two windows counts once."""
+    def windows(w: Column) -> Column:
+        anchors = F.filter(F.transform(w, lambda x, i: F.when(x.rlike(ANCHORS), i + 1)), lambda i: i.isNotNull())
+        cores = F.aggregate(anchors, F.array().cast("array<int>"), lambda acc, i: F.when((F.size(acc) == 0) | (i > F.element_at(acc, -1) + CORE), F.concat(acc, F.array(i))).otherwise(acc))
+        return F.flatten(F.transform(cores, lambda i: _let(F.greatest(i - REACH, F.lit(1)), lambda low: F.transform(
+            judge(F.slice(w, low, i + CORE + REACH - low + 1)), lambda s: s.withField("at", s["at"] + low - 1)))))
 
-    return _let(words, lambda w: _let(score(w), lambda z: judge(w, z)))
+    bare = F.regexp_replace(paragraph, r"(?im)^[ \t]*(?:dnl|rem)\b", "")
+    return F.array_distinct(_let(_words(bare), windows))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, statements`` with an array of ``family, probability, confirmed, line`` for each paragraph that holds a licence word.
+    """``doc_id, statements`` with an array of ``family, probability, confirmed, line, at`` over the paragraphs that hold a licence word.
 
-    Null and empty texts have no statements; repeated rows and null ids stay as they are; an empty table gives no rows.
+    Paragraphs are runs of lines with a letter or digit. ``line`` is the words of the statement, or of the window where nothing is confirmed, and ``at`` its first word's place in
+    the paragraph. Null and empty texts have no statements; repeated rows and null ids stay as they are; an empty table gives no rows.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     # most texts hold no licence word and end at the first test
-    lines = F.when(F.lower("text").rlike(ANCHORS), F.filter(F.split("text", "\n", -1), lambda s: F.lower(s).rlike(ANCHORS))).otherwise(F.array().cast("array<string>"))
-    return rows.select("doc_id", F.transform(lines, lambda s: _let(classify(s), lambda c: F.struct(
-        c["family"].alias("family"), c["probability"].alias("probability"), c["confirmed"].alias("confirmed"), s.alias("line")))).alias("statements"))
+    parts = F.when(F.lower("text").rlike(ANCHORS), F.filter(F.split("text", BLANK, -1), lambda s: F.lower(s).rlike(ANCHORS))).otherwise(F.array().cast("array<string>"))
+    return rows.select("doc_id", F.flatten(F.transform(parts, statements_of)).alias("statements"))
 
 
 def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
