@@ -232,11 +232,11 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("label")) if above is None else above.select("id", F.col("up").alias("label"))
 
 
-def confirmed(docs: DataFrame, edges: DataFrame, placed: DataFrame, id_col: str, text_col: str, words: int, alike: float, block_rows: int = 512) -> DataFrame:
+def confirmed(docs: DataFrame, edges: DataFrame, placed: DataFrame, id_col: str, text_col: str, words: int, alike: float, block_size: int = 1 << 17) -> DataFrame:
     """``a, b``: edges that span every group of texts linked by a Jaccard similarity of at least ``alike``, within the groups that the candidates ``edges`` link.
 
     Candidates are stars, so a member may be like another member and not like the centre. Confirmed edges are contracted, and where a candidate group
-    does not become one by them, all its members are compared: in blocks of about ``block_rows``, each pair of blocks by an inverted index.
+    does not become one by them, all its members are compared: in blocks of about ``block_size`` shingles, each pair of blocks by an inverted index.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     ends = edges.select(F.col("a").alias("row")).unionByName(edges.select(F.col("b").alias("row"))).distinct()
@@ -251,10 +251,10 @@ def confirmed(docs: DataFrame, edges: DataFrame, placed: DataFrame, id_col: str,
     near = cut(near.select("a", "b"), "near")
     groups = contracted(edges).select(F.col("id").alias("base"), F.col("label").alias("group"))
     nodes = groups.join(contracted(near).select(F.col("id").alias("base"), F.col("label").alias("cluster")), "base", "left").withColumn("cluster", F.coalesce("cluster", "base"))
-    nodes = cut(nodes, "clusters")
-    torn = nodes.groupBy("group").agg(F.count("*").alias("n"), F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high AND n > 2")
-    torn = cut(torn.select("group", F.ceil(F.col("n") / block_rows).cast("long").alias("blocks"), "n"), "torn")
-    small = -(-(torn.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) // block_rows) or 1
+    nodes = cut(nodes.join(sets.select("base", F.size("shingles").alias("size")), "base"), "clusters")
+    torn = nodes.groupBy("group").agg(F.sum("size").alias("n"), F.count("*").alias("rows"), F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high AND rows > 2")
+    torn = cut(torn.select("group", F.greatest(F.ceil(F.col("n") / block_size), F.lit(1)).cast("long").alias("blocks"), "n"), "torn")
+    small = -(-(torn.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) // block_size) or 1
     open_ = nodes.join(torn.drop("n"), "group").withColumn("i", F.pmod(F.xxhash64("base"), F.col("blocks"))).select("base", "cluster", "group", "blocks", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
     block = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(small))).otherwise(F.xxhash64("group", F.least("i", "j"), F.greatest("i", "j")))
     found = open_.select("base", "cluster", block.alias("block")).join(sets, "base").groupBy("block").applyInArrow(_block_links(alike), "a long, b long")
