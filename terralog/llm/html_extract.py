@@ -2,9 +2,9 @@
 
 The standard library's event parser runs over the whole page. Events form blocks (paragraphs, headings, cells, items); a block knows how many tags and
 link characters it has and which containers it stands in. Containers that name themselves as something else than the article
-(by tag, role, class or id) count nothing. The text-to-tag ratios of the blocks in page order, smoothed by a Gaussian, are cut at a
-threshold into content clusters. Where the page marks an article (or main part) that holds a cluster, its whole content is the text; else the clusters are,
-with headings and gaps inside their container.
+(by tag, role, class or id) count nothing, unless a class, an id or a form turns out to wrap the article. The text-to-tag ratios of the blocks in page order, smoothed by a Gaussian, are cut at a
+threshold into content clusters. Where the articles (or main parts) that a page marks hold most of the clusters, their whole content is the text; else that of
+the innermost container with nearly all of the clusters is, and clusters beside it.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-OUTSIDE = frozenset("""aside audio button canvas datalist dialog fieldset footer form head iframe menu nav noscript object script select style svg
+OUTSIDE = frozenset("""aside audio button canvas datalist dialog fieldset footer head iframe menu nav noscript object script select style svg
     template textarea title video""".split())
 OUTSIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 OUTSIDE_WORDS = frozenset("""ad ads advert advertisement adverts advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright
@@ -30,6 +30,8 @@ OUTSIDE_WORDS = frozenset("""ad ads advert advertisement adverts advertising ale
     promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags
     teaser toolbar topbar widget widgets""".split())
 TITLE_WORDS = frozenset(("header",))             # an article's own header holds its title
+TEXT_WORDS = frozenset("article entry post story".split())
+WHOLE, MOST, NEARLY_ALL = 0.9, 0.5, 0.8         # shares of text that make a container the content
 CLOSED_BY = {"li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")),
              "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",))}
 SPACE = re.compile(r"\s+")
@@ -37,18 +39,18 @@ WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Element:
-    __slots__ = ("tag", "outside", "article", "link", "place")
+    __slots__ = ("tag", "outside", "article", "link", "path", "marks")
 
-    def __init__(self, tag, outside, article, link, place):
-        self.tag, self.outside, self.article, self.link, self.place = tag, outside, article, link, place
+    def __init__(self, tag, outside, article, link, path, marks):
+        self.tag, self.outside, self.article, self.link, self.path, self.marks = tag, outside, article, link, path, marks
 
 
 class Block:
-    __slots__ = ("parts", "tags", "linked", "outside", "article", "place", "heading")
+    __slots__ = ("parts", "tags", "linked", "outside", "article", "path", "marks", "tag", "heading")
 
     def __init__(self, at: Element):
         self.parts, self.tags, self.linked = [], 0, 0
-        self.outside, self.article, self.place, self.heading = at.outside, at.article, at.place, at.tag in HEADINGS
+        self.outside, self.article, self.path, self.marks, self.tag, self.heading = at.outside, at.article, at.path, at.marks, at.tag, at.tag in HEADINGS
 
     @property
     def text(self) -> str:
@@ -60,12 +62,17 @@ def names_outside(tag: str, attrs: dict[str, str | None], in_article: bool) -> b
         return True
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", ""):
         return True
-    if (attrs.get("role") or "").lower() in OUTSIDE_ROLES:
+    return (attrs.get("role") or "").lower() in OUTSIDE_ROLES
+
+
+def marks_outside(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
+    """Whether a name marks the element as outside, unless it turns out to hold the article."""
+    if tag == "form":
         return True
     if tag in ("html", "body", "article", "main") and not in_article:
         return False
     words = {w.lower() for w in WORD.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")}
-    return bool(words & (OUTSIDE_WORDS - TITLE_WORDS if in_article else OUTSIDE_WORDS))
+    return bool(words & (OUTSIDE_WORDS - TITLE_WORDS if in_article or words & TEXT_WORDS else OUTSIDE_WORDS))
 
 
 class Blocks(HTMLParser):
@@ -73,9 +80,9 @@ class Blocks(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack = [Element("", False, 0, False, 0)]
+        self.stack = [Element("", False, 0, False, (), ())]
         self.blocks: list[Block] = [Block(self.stack[0])]
-        self.places = self.articles = 0
+        self.places = self.articles = self.marked = 0
 
     def _new_block(self):
         if self.blocks[-1].parts:
@@ -112,11 +119,14 @@ class Blocks(HTMLParser):
             if tag in ("article", "main") and not outside and not article:
                 self.articles += 1
                 article = self.articles
-            place = top.place
+            path, marks = top.path, top.marks
+            if not outside and marks_outside(tag, dict(attrs), bool(top.article)):
+                self.marked += 1
+                marks = (*marks, self.marked)
             if tag in ("article", "main", "section", "div", "td", "blockquote", "body", "ul", "ol", "table"):
                 self.places += 1
-                place = self.places
-            self.stack.append(Element(tag, outside, article, top.link or tag == "a", place))
+                path = (*path, self.places)
+            self.stack.append(Element(tag, outside, article, top.link or tag == "a", path, marks))
         if block:
             self._new_block()
         self.blocks[-1].tags += 1
@@ -141,7 +151,7 @@ class Blocks(HTMLParser):
 
     def handle_data(self, data):
         top = self.stack[-1]
-        if top.outside != self.blocks[-1].outside:       # an inline element such as a hidden span
+        if (top.outside, top.marks) != (self.blocks[-1].outside, self.blocks[-1].marks):       # an inline element such as a hidden span
             self._new_block()
         if not self.blocks[-1].parts and not data.strip():
             return
@@ -156,6 +166,32 @@ def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(values, reach, mode="edge" if len(values) else "constant"), kernel / kernel.sum(), mode="valid")
 
 
+def settle_marks(blocks: list[tuple[Block, str]]):
+    """Names mark a container as outside, but one that holds the article or nearly all text of a page does not count."""
+    open_ = [(b, len(t)) for b, t in blocks if not b.outside]
+    total = sum(n for _, n in open_)
+    held, main = {}, set()
+    for b, n in open_:
+        for m in b.marks:
+            held[m] = held.get(m, 0) + n
+            if b.article or b.tag == "h1":
+                main.add(m)
+    told = any(b.article and not b.marks for b, _ in open_)
+    lifted = {m for m, n in held.items() if not told and n > (MOST if m in main else NEARLY_ALL) * total}
+    for b, _ in open_:
+        b.outside = any(m not in lifted for m in b.marks)
+
+
+def container(blocks: list[tuple[Block, str]], content: np.ndarray) -> int:
+    """The innermost container with nearly all text of the clusters; 0 without one."""
+    held, depth = {}, {}
+    for (b, t), yes in zip(blocks, content):
+        for k, place in enumerate(b.path if yes else ()):
+            held[place], depth[place] = held.get(place, 0) + len(t), k
+    total = sum(len(t) for (_, t), yes in zip(blocks, content) if yes)
+    return max((p for p, n in held.items() if n >= WHOLE * total), key=depth.get, default=0)
+
+
 def extract(html: str | None, threshold: float = 0.5) -> str:
     """Main text of one page; null, empty and pages without any give the empty text."""
     if not html:
@@ -164,6 +200,7 @@ def extract(html: str | None, threshold: float = 0.5) -> str:
     parser.feed(html)
     parser.close()
     blocks = [(b, t) for b in parser.blocks if (t := b.text)]
+    settle_marks(blocks)
     inside = [(b, t) for b, t in blocks if not b.outside]
     if not inside:
         return ""
@@ -171,21 +208,22 @@ def extract(html: str | None, threshold: float = 0.5) -> str:
     ratio = np.asarray([0.0 if b.outside else max(len(t) - b.linked, 0) / (1 + b.tags) for b, t in blocks])
     level = smooth(ratio)
     content = (level >= threshold * level.std()) & (ratio > 0)
+    size = np.asarray([len(t) for _, t in blocks])
     marked = {b.article for (b, _), yes in zip(blocks, content) if yes and b.article}
-    if not marked and not content.any():
+    if marked and size[content & np.asarray([bool(b.article) for b, _ in blocks])].sum() <= MOST * size[content].sum():
+        marked = set()
+    if not content.any():
         marked = {b.article for b, _ in inside if b.article}
     if marked:
         return "\n".join(t for b, t in inside if b.article in marked)
-    places = {b.place for (b, _), yes in zip(blocks, content) if yes}
     at = np.flatnonzero(content)
     if not len(at):
         return ""
-    keep = content.copy()
-    for a, b in zip(at[:-1], at[1:]):                 # gaps and headings inside a container that holds content
-        for i in range(a + 1, b):
-            keep[i] = not blocks[i][0].outside and blocks[i][0].place in places and (blocks[i][0].heading or b - a <= 3)
+    whole, keep = container(blocks, content), content.copy()
+    for i, (b, _) in enumerate(blocks):               # the container whole, short runs and its end too; every block where the page has none
+        keep[i] |= not b.outside and (whole in b.path or not whole)
     for i in range(at[0] - 1, -1, -1):
-        if blocks[i][0].outside or not blocks[i][0].heading:
+        if blocks[i][0].outside or not (blocks[i][0].heading or keep[i]):
             break
         keep[i] = True
     return "\n".join(t for (_, t), yes in zip(blocks, keep) if yes)
