@@ -46,7 +46,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lines = docs.select(*_identity(id_col, text_col), F.posexplode(lines_of(F.col(f"`{text_col}`"))).alias("pos", "line")).select(
         *DOC, "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars).select(
-        *DOC, "pos", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit("second")).alias("h2"))
+        *DOC, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
     lines = cut(lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")), "lines")
 
     def mark(rows: DataFrame, keys: list[str]) -> DataFrame:
