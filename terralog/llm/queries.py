@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralog.llm import toxicity
+from terralog.llm import language_id, toxicity
 from terralog.llm.exact_dedup import exact_dedup
 from terralog.llm.html_extract import extract_pages
 from terralog.llm.license_scan import licenses
 from terralog.llm.line_dedup import line_dedup
 from terralog.llm.packing import pack
+from terralog.llm.periodic_runs import periodic_runs, run_digests
 from terralog.llm.sentencepiece_codec import decode_documents, encode_documents
 from terralog.llm.simhash import simhash_groups
+from terralog.llm.token_alignment import align_documents, score_links
 from terralog.llm.token_store import crc, read_store, write_store
 from terralog.llm.tokens import tokenizer_path
 from terralog.llm.topk import exact_topk, integer_vectors
@@ -107,3 +109,22 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM f GROUP BY doc_id""")
 def op10_line_dedup(spark, sf_dir):
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op11_language_id")
+def op11_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit(docs))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark, sf_dir):
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    aligned, counts = align_documents(table(spark, sf_dir, "documents"), *paths)
+    return score_links(aligned, counts, *paths)
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    return run_digests(periodic_runs(table(spark, sf_dir, "documents"), rewritten=True))
