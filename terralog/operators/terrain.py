@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,13 +121,115 @@ def line_of_sight(surface: DataFrame, lines: DataFrame, spacing_m: float, interv
                       F.when(ok, F.col("first.source")).alias("source"), F.when(ok, F.col("min_clearance")).alias("min_clearance"))
 
 
-def viewshed(surface: DataFrame, observers: DataFrame, radius: int, spacing_m: float, interval: float = 1.0, **sight) -> DataFrame:
-    """Verdict per target of the row-major lattice around each observer (``obs_id, x, y``).
+VIEW = "t int, status string, first_obstruction_m double, source string, min_clearance double"
+VIEW_ROWS = 1 << 20                # targets of the observers that share a tile in one task
 
-    An observer off the surface has one row, status ``refused`` without a target.
+
+def _heights(cells: pd.DataFrame, low_x: int, low_y: int, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
+    """Node elevations and obstacle heights of a tile as arrays; NaN where there is no node."""
+    grid, tall = np.full((width, height), -np.inf), np.zeros((width, height))
+    at = cells["gx"].to_numpy(np.int64) - low_x, cells["gy"].to_numpy(np.int64) - low_y
+    np.maximum.at(grid, at, cells["elev"].to_numpy(float))
+    np.maximum.at(tall, at, cells["height"].to_numpy(float))
+    return np.where(np.isneginf(grid), np.nan, grid), tall
+
+
+def _ground(grid: np.ndarray, low: tuple[int, int], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bilinear elevation (NaN off the surface) and the cell of each place in a tile that begins at ``low``."""
+    ix, iy = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
+    fx, fy = x - ix, y - iy
+    ix, iy = ix - low[0], iy - low[1]
+    a, b, c, d = grid[ix, iy], grid[ix + 1, iy], grid[ix + 1, iy + 1], grid[ix, iy + 1]
+    return a * (1 - fx) * (1 - fy) + b * fx * (1 - fy) + c * fx * fy + d * (1 - fx) * fy, ix, iy
+
+
+def _sweep(grid: np.ndarray, tall: np.ndarray, x: float, y: float, low: tuple[int, int], radius: int, spacing_m: float, interval: float, accuracy_m: float, curvature: bool,
+           observer_m: float, target_m: float) -> pd.DataFrame:
+    """All targets of one observer at once: the sight lines grow outward together, one sample a round, the longest first, so that finished ones are cut off the end."""
+    side = 2 * radius + 1
+    t = np.arange(side * side)
+    dx, dy = t % side - radius, t // side - radius
+    r2 = dx * dx + dy * dy
+    t = t[(r2 > 0) & (r2 <= radius * radius)]
+    x2, y2 = x + (t % side - radius), y + (t // side - radius)
+    span = np.sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y))
+    steps = np.maximum(np.ceil(span / interval), 1).astype(np.int64)
+    order = np.argsort(-steps, kind="stable")
+    t, x2, y2, span, steps = t[order], x2[order], y2[order], span[order], steps[order]
+    z1 = _ground(grid, low, np.array([x]), np.array([y]))[0][0]
+    z2 = _ground(grid, low, x2, y2)[0]
+    outside, blocked, grazes = np.isnan(z2), np.zeros(len(t), bool), np.zeros(len(t), bool)
+    first, by_obstacle, least = np.full(len(t), np.nan), np.zeros(len(t), bool), np.full(len(t), np.inf)
+    for i in range(1, int(steps[0])):
+        n = int(np.searchsorted(-steps, -i))          # lines of more than i steps
+        f = i / steps[:n]
+        ground, ix, iy = _ground(grid, low, x + (x2[:n] - x) * f, y + (y2[:n] - y) * f)
+        height = tall[ix, iy]
+        dist = f * span[:n] * spacing_m
+        total = span[:n] * spacing_m
+        bulge = dist * (total - dist) / (2 * EARTH_RADIUS_M) * (1 - REFRACTION) if curvature else 0.0
+        clear = z1 + observer_m + (z2[:n] + target_m - z1 - observer_m) * f - (ground + height + bulge)
+        hides = clear < -accuracy_m
+        new = hides & ~blocked[:n]
+        first[:n][new], by_obstacle[:n][new] = dist[new], height[new] > 0
+        blocked[:n] |= hides
+        grazes[:n] |= np.abs(clear) <= accuracy_m
+        outside[:n] |= np.isnan(ground)
+        least[:n] = np.fmin(least[:n], clear)
+    status = np.select([outside, blocked, grazes], ["outside", "blocked", "indeterminate"], "visible")
+    source = np.where(outside | ~blocked, None, np.where(by_obstacle, "obstacle", "terrain"))
+    return pd.DataFrame({"t": t, "status": status, "first_obstruction_m": np.where(outside, np.nan, first), "source": source, "min_clearance": np.where(outside | np.isinf(least), np.nan, least)})
+
+
+def viewshed(surface: DataFrame, observers: DataFrame, radius: int, spacing_m: float, interval: float = 1.0, accuracy_m: float = 0.0, curvature: bool = False, observer_m: float = 2.0,
+             target_m: float = 0.0, obstacles: DataFrame | None = None, view_rows: int = VIEW_ROWS) -> DataFrame:
+    """Verdict per target of the row-major lattice around each observer (``obs_id, x, y``), as ``line_of_sight`` gives it for the line to the target.
+
+    The surface goes to tiles twice as wide as the reach, with a halo of the reach, so a node is in four tiles at most, and only tiles with observers
+    are kept; observers of a crowded tile are dealt to several copies of it. Rows grow with nodes and targets: samples of a sight line never become rows. An observer off the
+    surface, or without a place, has one row, status ``refused`` without a target.
     """
     if not 0 < radius <= MAX_RADIUS_CELLS:
         raise ValueError("radius-bound")
+    halo = radius + 2
+    side = 2 * halo
+    per = max(1, view_rows // (4 * radius * radius))
+    kind = observers.schema["obs_id"].dataType.simpleString()
+    place = observers.select("obs_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    known = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
+    tiled = place.where(known).select("*", F.floor(F.col("x") / side).alias("tx"), F.floor(F.col("y") / side).alias("ty"))
+    copies = tiled.groupBy("tx", "ty").agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias("copies"))
+    seats = tiled.join(copies, ["tx", "ty"]).withColumn("copy", F.pmod(F.xxhash64("obs_id", "x", "y"), F.col("copies")).cast("int")).drop("copies")
+    nodes = surface.select("gx", "gy", F.col("elev").cast("double").alias("elev"))
+    if obstacles is None:
+        nodes = nodes.withColumn("height", F.lit(0.0))
+    else:
+        nodes = nodes.join(obstacles.groupBy("gx", "gy").agg(F.max("height").cast("double").alias("height")), ["gx", "gy"], "left").withColumn("height", F.coalesce("height", F.lit(0.0)))
+
+    def reach(c: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(c) - halo) / side), F.floor((F.col(c) + halo) / side)))
+    spread = nodes.where("elev IS NOT NULL").withColumn("tx", reach("gx")).withColumn("ty", reach("gy"))
+    spread = spread.join(copies, ["tx", "ty"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    options = (radius, spacing_m, interval, accuracy_m, curvature, observer_m, target_m)
+
+    def look(key: tuple, seats: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        low = int(key[0]) * side - halo, int(key[1]) * side - halo
+        grid, tall = _heights(cells, *low, side + 2 * halo + 2, side + 2 * halo + 2)
+        views = []
+        for obs, x, y in seats[["obs_id", "x", "y"]].itertuples(index=False):
+            off = np.isnan(_ground(grid, low, np.array([x]), np.array([y]))[0][0])
+            view = pd.DataFrame({"t": pd.array([None], dtype="Int32"), "status": ["refused"]}) if off else _sweep(grid, tall, x, y, low, *options)
+            views.append(view.assign(obs_id=obs))
+        columns = ["obs_id", *(c.split()[0] for c in VIEW.split(", "))]
+        return pd.concat([v.reindex(columns=columns) for v in views]).astype({"t": "Int32", "source": object}) if views else pd.DataFrame(columns=columns)
+    keys = ("tx", "ty", "copy")
+    seen = seats.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(look, f"obs_id {kind}, {VIEW}")
+    lost = place.where(~known).select("obs_id", F.lit(None).cast("int").alias("t"), F.lit("refused").alias("status"))
+    return seen.unionByName(lost, allowMissingColumns=True)
+
+
+def sampled_viewshed(surface: DataFrame, observers: DataFrame, radius: int, spacing_m: float, interval: float = 1.0, **sight) -> DataFrame:
+    """The same verdicts by one row per sample, for small reaches: what ``viewshed`` is held against."""
     side = 2 * radius + 1
     stands = sample(surface, observers).select(*observers.columns, F.col("issue").isNotNull().alias("_off"))
     refused = stands.where("_off").select("obs_id", F.lit(None).cast("int").alias("t"), F.lit("refused").alias("status"))

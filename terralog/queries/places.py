@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from terralog.fixtures import hav_sql, lat_of, lon_of, lonlat_sql, with_sql
 from terralog.operators import access as A
 from terralog.operators import geometry as G
+from terralog.operators import overlay as O
+from terralog.operators import shapes as P
 from terralog.operators import terrain as R
 from terralog.queries.registry import query
 
@@ -50,6 +52,33 @@ def service_area(t):
     return A.service_area(_reach(t), 3.7).withColumn("minutes", F.round("minutes", 6))
 
 
+# Nodes of customers in debt take three times as long to cross, those with little money twice: costs in half steps of 0.6 minutes, ten at most.
+_OW = PF.replace("WITH ", "WITH RECURSIVE ") + f""", bar AS (SELECT DISTINCT {_NODE} FROM (SELECT {lonlat_sql('c_custkey')} FROM customer WHERE c_acctbal > 9000)), home AS (SELECT fac_id, {_NODE} FROM facilities),
+slow AS (SELECT ix, iy, max(f) AS f FROM (SELECT {_NODE}, CASE WHEN c_acctbal < 0 THEN 3 ELSE 2 END AS f FROM (SELECT *, {lonlat_sql('c_custkey')} FROM customer WHERE c_acctbal < 1500)) GROUP BY ALL),
+walk AS (SELECT fac_id, h.ix, h.iy, 0 AS c, coalesce(f, 1) AS own FROM home h LEFT JOIN slow USING (ix, iy) WHERE (h.ix, h.iy) NOT IN (FROM bar)
+ UNION SELECT w.fac_id, w.ix + dx, w.iy + dy, c + own + coalesce(f, 1), coalesce(f, 1) FROM walk w CROSS JOIN (VALUES (1,0),(-1,0),(0,1),(0,-1)) m(dx, dy) LEFT JOIN slow ON slow.ix = w.ix + dx AND slow.iy = w.iy + dy
+ WHERE c + own + coalesce(f, 1) <= 10 AND (w.ix + dx, w.iy + dy) NOT IN (FROM bar)),
+reach AS (SELECT fac_id, ix, iy, min(c)*0.6::DOUBLE AS minutes FROM walk GROUP BY ALL), pn AS (SELECT *, {_NODE} FROM population)"""
+
+
+def _slow_reach(t):
+    k = F.col("c_custkey")
+    ix, iy = A.node_of(lon_of(k), lat_of(k), STEP, LAT0)
+    node = t.customer.select("c_acctbal", ix.alias("ix"), iy.alias("iy"))
+    slow = node.where("c_acctbal < 1500").select("ix", "iy", F.when(F.col("c_acctbal") < 0, 3).otherwise(2).alias("factor"))
+    return A.reach_nodes(t.facilities, node.where("c_acctbal > 9000").select("ix", "iy").distinct(), STEP, LAT0, 6.0, "bike", slowness=slow)
+
+
+@query("od_cost_weighted", _OW + " SELECT unit_id, fac_id, round(minutes, 6) AS minutes FROM pn JOIN reach USING (ix, iy)")
+def od_cost_weighted(t):
+    return A.od_cost(t.population, _slow_reach(t), STEP, LAT0).withColumn("minutes", F.round("minutes", 6))
+
+
+@query("service_area_weighted", _OW + " SELECT fac_id, ix, iy, round(minutes, 6) AS minutes FROM reach WHERE minutes <= 3.7")
+def service_area_weighted(t):
+    return A.service_area(_slow_reach(t), 3.7).withColumn("minutes", F.round("minutes", 6))
+
+
 @query("coverage", _OD + """ SELECT CAST(sum(population) AS BIGINT) AS denominator, CAST(sum(population) FILTER (unit_id IN (SELECT unit_id FROM od)) AS BIGINT) AS covered, CAST(sum(population) FILTER (unit_id NOT IN (SELECT unit_id FROM od)) AS BIGINT) AS uncovered,
  sum(population) FILTER (unit_id IN (SELECT unit_id FROM od))/sum(population)::DOUBLE AS ratio, 'partial' AS outcome FROM population""")
 def coverage(t):
@@ -88,7 +117,7 @@ _SQ = f"sq AS (SELECT c_custkey AS unit_id, lon AS w, lat AS s, lon + 0.001::DOU
 @query("geo_intersect", with_sql("zones") + f""", {_SQ}, i AS (SELECT unit_id, zone_id, greatest(w, west) AS w, least(e, east) AS e, greatest(s, south) AS s, least(n, north) AS n FROM sq JOIN zones ON w <= east AND e >= west AND s <= north AND n >= south)
 SELECT unit_id, zone_id, round(radians(e - w)*(sin(radians(n)) - sin(radians(s)))*6371008.8::DOUBLE*6371008.8::DOUBLE, 1) AS area_m2 FROM i WHERE e - w > 1e-12 AND n - s > 1e-12""")
 def geo_intersect(t):
-    return A.intersects(_squares(t), _zone_rings(t), 0.05, "unit_id", "zone_id").where("area_m2 > 1e-4").withColumn("area_m2", F.round("area_m2", 1))
+    return P.intersects(_squares(t), _zone_rings(t), "unit_id", "zone_id").where("area_m2 > 1e-4").withColumn("area_m2", F.round("area_m2", 1))
 
 
 @query("geo_within", with_sql("units", "zones") + " SELECT zone_id, count(*) AS n, min(unit_id) AS first_unit FROM units JOIN zones ON lon >= west AND lon < east AND lat >= south AND lat < north GROUP BY 1")
@@ -100,18 +129,24 @@ def geo_within(t):
 CELL = 0.0005
 
 
+_CELL_AREA = f"6371008.8::DOUBLE*6371008.8::DOUBLE*radians({CELL}::DOUBLE)*(sin(radians((cy + 1)*{CELL}::DOUBLE)) - sin(radians(cy*{CELL}::DOUBLE)))"
+
+
 def _ov_sql(setop: str) -> str:
     def cells(seg: str) -> str:
         return f"""SELECT DISTINCT x AS cx, y AS cy FROM sq, LATERAL (SELECT unnest(generate_series(CAST(floor(w/{CELL}::DOUBLE) AS BIGINT), CAST(floor(e/{CELL}::DOUBLE) AS BIGINT))) AS x), LATERAL (SELECT unnest(generate_series(CAST(floor(s/{CELL}::DOUBLE) AS BIGINT), CAST(floor(n/{CELL}::DOUBLE) AS BIGINT))) AS y)
  WHERE seg {seg} AND (x + 0.5::DOUBLE)*{CELL}::DOUBLE >= w AND (x + 0.5::DOUBLE)*{CELL}::DOUBLE < e AND (y + 0.5::DOUBLE)*{CELL}::DOUBLE >= s AND (y + 0.5::DOUBLE)*{CELL}::DOUBLE < n"""
-    return f"""WITH {_SQ}, a AS ({cells("IN ('BUILDING', 'MACHINERY')")}), b AS ({cells("NOT IN ('BUILDING', 'MACHINERY')")}), o AS (FROM a {setop} FROM b)
-SELECT count(*) AS cells, round(sum(6371008.8::DOUBLE*6371008.8::DOUBLE*radians({CELL}::DOUBLE)*(sin(radians((cy + 1)*{CELL}::DOUBLE)) - sin(radians(cy*{CELL}::DOUBLE)))), 0) AS area_m2 FROM o"""
+    def at(c: str) -> str:
+        return f"CAST(floor({c}/{CELL}::DOUBLE) AS BIGINT)"
+    return f"""WITH {_SQ}, ix AS (SELECT {at('w')} AS c0, {at('e')} AS c1, {at('s')} AS r0, {at('n')} AS r1 FROM sq), a AS ({cells("IN ('BUILDING', 'MACHINERY')")}), b AS ({cells("NOT IN ('BUILDING', 'MACHINERY')")}), o AS (FROM a {setop} FROM b),
+bd AS (SELECT unnest(range(r0, r1 + 1)) AS cy, 2 AS cells FROM ix UNION ALL SELECT unnest([r0, r1]) AS cy, c1 - c0 + 1 AS cells FROM ix)
+SELECT count(*) AS cells, round(sum({_CELL_AREA}), 0) AS area_m2, {CELL}::DOUBLE AS resolution_deg, (SELECT round(sum(cells*{_CELL_AREA}), 0) FROM bd) AS error_bound_m2 FROM o"""
 
 
 def _overlay(t, op):
     seg = "c_mktsegment IN ('BUILDING', 'MACHINERY')"
-    o = A.overlay(_squares(t, seg), _squares(t, f"NOT {seg}"), op, CELL)
-    return o.agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum(G.cell_area_m2(F.col("cy"), CELL)), 0).alias("area_m2"))
+    o = O.overlay_area(_squares(t, seg), _squares(t, f"NOT {seg}"), op, CELL)
+    return o.select("cells", F.round("area_m2", 0).alias("area_m2"), "resolution_deg", F.round("error_bound_m2", 0).alias("error_bound_m2"))
 
 
 @query("geo_union", _ov_sql("UNION"))

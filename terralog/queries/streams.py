@@ -6,6 +6,7 @@ from terralog.fixtures import with_sql
 from terralog.queries.registry import query
 from terralog.session import scratch_path
 from terralog.streaming import fusion as U
+from terralog.streaming import state as S
 from terralog.streaming import windows as W
 
 ARR = with_sql("arrivals")
@@ -171,3 +172,88 @@ def stream_fusion(t):
 def stream_quota(t):
     a = _arr(t).withColumn("tick", F.floor(F.col("arrival") / 100))
     return U.quota(a, "ord", "tick", 80).select("event_id", "dup", "advance")
+
+
+# ---- keyed state: the clock moves by trigger, four slices of the arrivals ----------------------
+
+_TRG = _OA + f""", ed AS (SELECT min(ord) AS lo, max(ord) AS hi FROM dd), tg AS (SELECT dd.*, (ord - lo) // ((hi - lo) // 4 + 1) AS trig FROM dd, ed),
+tm AS (SELECT trig, max(date_trunc('millisecond', max(ts))) OVER (ORDER BY trig ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM tg GROUP BY trig),
+sn AS (SELECT tg.*, seen, date_trunc('hour', ts) AS window_start FROM tg JOIN tm USING (trig))""" + ",\ncl AS" + _CLS.split(",\ncl AS")[1] + ", fin AS (SELECT date_trunc('millisecond', max(ts)) AS seen FROM dd)"
+_CLOSED = "window_start + INTERVAL 1 HOUR <= (SELECT seen FROM fin)"
+
+
+def _landed(t, good, slices, path=None):
+    """The deduplicated arrivals of some of the four slices, as a stream of one slice a trigger."""
+    path = W.land(good.where(F.col("slice").isin(slices)), "slice", len(slices), path)
+    return path, t.spark.readStream.schema(good.schema).option("maxFilesPerTrigger", W.LAND_TASKS).parquet(path)
+
+
+def _sliced(t):
+    from terralog.session import cut
+    good = cut(W.dedup(W.admit(_arr(t))[0], ["ord"]), "good")
+    edge = good.agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).first()
+    return cut(good.withColumn("slice", F.floor((F.col("ord") - edge["lo"]) / ((edge["hi"] - edge["lo"]) // 4 + 1)).cast("long")), "sliced")
+
+
+def _revision_log(t, **bounds):
+    """The log of the four slices, with a restart from the checkpoint after the second."""
+    good, out, ck = _sliced(t), scratch_path(t.spark, "log"), scratch_path(t.spark, "ck")
+    path, stream = _landed(t, good, [0, 1])
+    S.run_log(S.revision_stream(stream, SIZE, LATE, REVS, **bounds), ck, out)
+    _, stream = _landed(t, good, [2, 3], path)
+    return S.run_log(S.revision_stream(stream, SIZE, LATE, REVS, **bounds), ck, out)
+
+
+def _means(df):
+    return df.select("window_start", "revision", "count", F.round("sum", 4).alias("sum"), "min", "max", *[F.round(F.col(c) / F.col("count"), 6).alias(n) for c, n in (("sum", "mean"), ("lon_sum", "mean_lon"), ("lat_sum", "mean_lat"))])
+
+
+@query("late_revisions_state", f"{_TRG} {_RV} WHERE {_CLOSED}")
+def late_revisions_state(t):
+    return _means(S.retained(_revision_log(t)))
+
+
+@query("late_revisions_trigger", f"{_TRG} {_RV}")
+def late_revisions_trigger(t):
+    from terralog.session import cut
+    return _rounded(W.late_revisions(cut(S.classify_by_trigger(_sliced(t), "slice", SIZE, LATE), "classified"), "ord", REVS))
+
+
+@query("stream_retention_state", f"{_TRG}, r AS (SELECT window_start, revision, count, row_number() OVER (PARTITION BY window_start ORDER BY revision DESC) AS rn FROM rv WHERE {_CLOSED} AND window_start + INTERVAL 49 HOUR > (SELECT seen FROM fin)) SELECT window_start, revision, count FROM r WHERE rn <= 2")
+def stream_retention_state(t):
+    return S.retained(_revision_log(t, keep_revisions=2, keep_s=48 * 3600)).select("window_start", "revision", "count")
+
+
+@query("stream_publish", f"{_TRG} SELECT window_start, revision, count FROM rv WHERE {_CLOSED}")
+def stream_publish(t):
+    """The whole stream is read and published twice; the second time finds everything there."""
+    good = _sliced(t)
+    path, stream = _landed(t, good, [0, 1, 2, 3])
+    sink = S.InsertOnly(scratch_path(t.spark, "published"))
+    for _ in range(2):
+        q = S.revision_stream(stream, SIZE, LATE, REVS).writeStream.foreachBatch(sink).option("checkpointLocation", scratch_path(t.spark, "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return sink.result(t.spark).select("window_start", "revision", "count")
+
+
+# s0 and s1 are live in two triggers while s2 is paused; after a restart s1 is finished and s2 live. Horizons h0..h5, the third and the last trigger have no new events.
+_FUSED = _TRG + """, e AS (SELECT event_id, ts, ord, event_id % 3 AS so, CAST(trig AS INT) + CASE WHEN trig >= 2 THEN 1 ELSE 0 END AS k FROM tg),
+m AS (SELECT so, k, date_trunc('millisecond', max(ts)) AS top FROM e GROUP BY ALL),
+h2 AS (SELECT min(top) AS h1, min(ever) AS h2 FROM (SELECT so, max(top) FILTER (k = 0) AS top, max(top) AS ever FROM m WHERE k <= 1 AND so IN (0, 1) GROUP BY so)),
+h5 AS (SELECT min(top) AS h4, min(ever) AS h5 FROM (SELECT so, max(top) FILTER (k = 3) AS top, max(top) AS ever FROM m WHERE k >= 3 AND so IN (0, 2) GROUP BY so)),
+h AS (SELECT k, CASE k WHEN 1 THEN h1 WHEN 2 THEN greatest(h1, h2) WHEN 3 THEN greatest(h1, h2) WHEN 4 THEN greatest(h1, h2, h4) WHEN 5 THEN greatest(h1, h2, h4, h5) END AS h FROM h2, h5, range(1, 6) r(k)),
+r AS (SELECT e.so, e.event_id, e.ts, e.ord, min(h.k) AS release FROM e JOIN h ON h.k >= e.k AND date_trunc('millisecond', e.ts) <= h.h AND (e.so < 2 OR h.k >= 3) GROUP BY ALL)"""
+
+
+@query("stream_fusion_state", _FUSED + " SELECT 's' || so || '::' || event_id AS event_id, row_number() OVER (ORDER BY release, ts, so, ord, 's' || so || '::' || event_id) AS position FROM r")
+def stream_fusion_state(t):
+    from terralog.session import cut
+    good = _sliced(t).withColumn("arrival", F.col("ord"))
+    own = {f"s{i}": cut(good.where(F.col("event_id") % 3 == i), f"s{i}") for i in range(3)}
+    out, ck, paths = scratch_path(t.spark, "released"), scratch_path(t.spark, "ck"), dict.fromkeys(own)
+    for slices, states in (([0, 1], {"s0": U.LIVE, "s1": U.LIVE, "s2": U.PAUSED}), ([2, 3], {"s0": U.LIVE, "s1": U.FINISHED, "s2": U.LIVE})):
+        streams = {}
+        for n, d in own.items():
+            paths[n], streams[n] = _landed(t, d, slices, paths[n])
+        log = S.run_log(S.fuse_streams(streams, states, 400 * 86400), ck, out)
+    return S.positions(log).select("event_id", "position")

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terralog.operators import access, lineage, patterns, records, sessions
+from terralog.operators import lineage, patterns, records, sessions
 from terralog.operators.geometry import ring_valid
+from terralog.operators.shapes import Shape, pair_areas
 from terralog.plans.iterate import on_cycles
 from terralog.streaming.windows import classify, late_revisions
 
@@ -27,8 +28,8 @@ ELL = [(0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4)]
 
 
 def area(a, b):
-    closed = lambda r: np.array([*r, r[0]], dtype=float)
-    return access._clip_area(closed(a), closed(b)) / (6371008.8 ** 2 * np.radians(1) ** 2)
+    shape = lambda r: [Shape([[{"x": float(x), "y": float(y)} for x, y in [*r, r[0]]]])]
+    return pair_areas(shape(a), shape(b), np.zeros(1, int), np.zeros(1, int))[0] / (6371008.8 ** 2 * np.radians(1) ** 2)
 
 
 def test_overlap_of_concave_rings():
