@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from terralog.llm.cutting_stock import patterns
 from terralog.llm.tokens import memo, wide
+from terralog.llm.worker_memory import small_batches, tidy
 from terralog.session import cut, scratch_path
 
 PIECES = "part int, row long, doc_id long, start long, length int, doc_tokens long, width int, nth long, ids binary"
@@ -80,7 +81,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     path = scratch_path(spark, "pieces")
     # token ids are most of what this operator keeps on disk, and shrink well
-    rows.mapInArrow(_cutter(tokenizer, capacity, unit), PIECES).write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        rows.mapInArrow(tidy(_cutter(tokenizer, capacity, unit)), PIECES).write.option("compression", "zstd").parquet(path)
     pieces = spark.read.schema(PIECES).parquet(path)
     counts = cut(pieces.groupBy("part", "width").count(), "counts")
     # the histogram: one row per width, capacity / unit at most
@@ -97,4 +99,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     within = Window.partitionBy("sequence_id").orderBy(F.desc("width"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.select("part", "row", "sequence_id", F.coalesce(F.sum("length").over(within), F.lit(0)).cast("long").alias("offset"))
     whole = pieces.join(placed, ["part", "row"]).select("doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", "sequence_id", "offset", "ids")
-    return whole.mapInArrow(_widen, whole.schema)
+    return whole.mapInArrow(tidy(_widen), whole.schema)

@@ -20,6 +20,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 from terralog.llm.bk_tree import links
 from terralog.llm.exact_dedup import in_sieve, sieve, without
 from terralog.llm.perfect_hash import mix
+from terralog.llm.worker_memory import give_back, small_batches, tidy
 from terralog.plans.iterate import components
 from terralog.session import cut
 
@@ -34,14 +35,14 @@ DEPTH = 16                         # levels of buckets; the last is searched wha
 def shingle_hashes(raw: bytes | None, words: int):
     """Arrays of the XXH64 hashes of the word shingles, ``COUNT_ROWS`` at a time; none without words."""
     from xxhash import xxh64_intdigest
-    parts = (raw or b"").translate(LOWER).split()
-    if not parts:
+    text = b" ".join((raw or b"").translate(LOWER).split())
+    if not text:
         return
-    text = b" ".join(parts)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(parts) - words + 1)
-    last = ends[words - 1:] if len(parts) >= words else ends[-1:]
+    # the words' ends, without an object for each word
+    ends = np.append(np.flatnonzero(np.frombuffer(text, np.uint8) == 32), len(text))
+    starts = np.append(0, ends[:-1] + 1)
+    n = max(1, len(ends) - words + 1)
+    last = ends[words - 1:] if len(ends) >= words else ends[-1:]
     for at in range(0, n, COUNT_ROWS):
         spans = zip(starts[at:min(at + COUNT_ROWS, n)].tolist(), last[at:at + COUNT_ROWS].tolist())
         yield np.fromiter((xxh64_intdigest(text[a:b], SEED) for a, b in spans), np.uint64)
@@ -137,6 +138,7 @@ def _block_links(alike: float):
     def run(table: pa.Table) -> pa.Table:
         base, _, cluster = (table[c].to_numpy() for c in ("base", "block", "cluster"))
         found = set_links([np.asarray(x.values) for x in table["shingles"].combine_chunks()], cluster, alike)
+        give_back()
         return pa.table({c: pa.array([int(base[p[k]]) for p in found], pa.int64()) for k, c in enumerate("ab")})
     return run
 
@@ -144,7 +146,7 @@ def _block_links(alike: float):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """``doc_id, print``; the print is the unsigned fingerprint's bits as a long."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(_prints(words), "doc_id long, print long")
+    return rows.mapInArrow(tidy(_prints(words)), "doc_id long, print long")
 
 
 def _signed(bits: list[int]) -> int:
@@ -215,16 +217,27 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(known, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _still(up: DataFrame) -> DataFrame:
+    """``id, up`` where every chain of ``up`` is followed to its end: a chain of n links takes log4(n) rounds."""
+    while True:
+        for k in range(2):
+            beyond = up.select(F.col("id").alias("mid"), F.col("up").alias("top"))
+            up = up.join(beyond, F.col("up") == F.col("mid")).select("id", F.col("top").alias("up"))
+        up = cut(up, "up")
+        if not up.join(up.where("id <> up").select(F.col("id").alias("up")), "up", "left_semi").limit(1).count():
+            return up
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """``id, label``: smallest reachable id of every end of ``a, b`` edges.
 
-    Each round every node goes under its smallest neighbour and the edges are rewritten to the nodes above, without loops and repeats: a crowded group
-    shrinks to few edges at once, where passing labels along all edges would read them again in every round.
+    Each round every node goes under its smallest neighbour, and on to the end of that chain; the edges are rewritten to the ends, without loops and repeats. Only local minima
+    are left, half of the nodes at most, and a crowded group shrinks to few edges at once, where passing labels along all edges would read them again in every round.
     """
     above = None
     while edges.limit(1).count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("up")), "up")
+        up = _still(cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("up")), "up"))
         step = up.select(F.col("id").alias("up"), F.col("up").alias("top"))
         above = cut(up if above is None else above.withColumnRenamed("up", "mid").join(up.withColumnRenamed("id", "mid"), "mid", "left").select("id", F.coalesce("up", "mid").alias("up")), "above")
         edges = edges.join(step.select(F.col("up").alias("a"), F.col("top").alias("ta")), "a").join(step.select(F.col("up").alias("b"), F.col("top").alias("tb")), "b")
@@ -244,7 +257,8 @@ def confirmed(docs: DataFrame, edges: DataFrame, placed: DataFrame, id_col: str,
     all_rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.cast("binary").alias("text"))
     held = all_rows.where(in_sieve(sieve(named, "_key"), F.xxhash64("id", "digest")))
     texts = held.join(named, (held["digest"] == named["_of"]) & held["id"].eqNullSafe(named["_id"])).select("base", "text").dropDuplicates(["base"])
-    sets = cut(texts.mapInArrow(_sets(words), "base long, shingles array<long>"), "sets")
+    with small_batches(docs.sparkSession):
+        sets = cut(texts.mapInArrow(tidy(_sets(words)), "base long, shingles array<long>"), "sets")
     side = lambda c: sets.select(F.col("base").alias(c), F.col("shingles").alias(f"of_{c}"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     near = edges.join(side("a"), "a").join(side("b"), "b").where(both >= F.lit(alike) * (F.size("of_a") + F.size("of_b") - both))
@@ -276,7 +290,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.cast("binary").alias("text"))
     schema = StructType([*rows.drop("text").schema.fields, StructField("alike", BinaryType()), StructField("prints", ArrayType(LongType()))])
-    rows = cut(rows.mapInArrow(_sketches(words, prints, bands), schema).withColumn("row", F.monotonically_increasing_id()), "prints")
+    with small_batches(docs.sparkSession):
+        rows = cut(rows.mapInArrow(tidy(_sketches(words, prints, bands)), schema).withColumn("row", F.monotonically_increasing_id()), "prints")
     # the first row of a shingle set stands for it
     own = cut(rows.groupBy("alike").agg(F.min("row").alias("base")), "own")
     placed = cut(rows.select("row", "id", "digest", "alike").join(own, "alike").select("row", "id", "digest", "base"), "placed")

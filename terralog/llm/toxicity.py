@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralog.llm.label_model import label_model, logistic, sigmoid
+from terralog.llm.worker_memory import tidy
 from terralog.session import cut
 
 UPPER = bytes(range(65, 91))
@@ -166,4 +167,4 @@ def _clean(model: ToxicityModel, at: int, threshold: float):
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with all their columns."""
-    return docs.mapInArrow(_clean(model, docs.columns.index(text_col), threshold), docs.schema)
+    return docs.mapInArrow(tidy(_clean(model, docs.columns.index(text_col), threshold)), docs.schema)

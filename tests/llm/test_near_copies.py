@@ -63,3 +63,23 @@ def test_set_links():
             if len(np.intersect1d(sets[a], sets[b])) >= 0.5 * len(np.union1d(sets[a], sets[b])):
                 want[want == want[b]] = want[a]
     assert all(((got == got[i]) == (want == want[i])).all() for i in range(60)) and 1 < len(set(want.tolist())) < 60
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """Ascending, descending, shuffled and starred chains of 4,096 links; every round writes a bounded number of tables."""
+    from terralog.llm import simhash
+    rounds, real = [], simhash.cut
+
+    def counted(df, label="cut"):
+        rounds.append(label)
+        return real(df, label)
+    monkeypatch.setattr(simhash, "cut", counted)
+    rng = np.random.default_rng(7)
+    n = 4096
+    mixed = rng.permutation(n).tolist()
+    for order in (list(range(n)), mixed):
+        rounds.clear()
+        edges = [(a, b) for a, b in zip(order, order[1:])] + [(10_000, k) for k in range(10_001, 10_200)]
+        got = {r["id"]: r["label"] for r in simhash.contracted(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {**dict.fromkeys(range(n), 0), **dict.fromkeys(range(10_000, 10_200), 10_000)}
+        assert rounds.count("edges") <= 16 and len(rounds) <= 60
