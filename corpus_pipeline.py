@@ -12,6 +12,7 @@ from terralog.llm.exact_dedup import keep_first
 from terralog.llm.packing import pack
 from terralog.llm.simhash import keep_one
 from terralog.llm.tokens import tokenizer_path
+from terralog.llm.worker_memory import BATCH_ROWS, ROWS
 from terralog.session import scratch_path
 
 
@@ -43,7 +44,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in turn, each result written to the shared folder and read again."""
+    """Every stage in turn, each result written to the shared folder and read again.
+
+    Arrow batches are set small for the session: the last stage is computed by the caller, and workers of all stages share an executor's memory with the JVM.
+    """
+    spark.conf.set(BATCH_ROWS, str(ROWS))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
