@@ -1,15 +1,14 @@
 """Moran's I, local Moran and Gi* with reproducible permutation tests.
 
-Draw r orders the units by the leading 60 bits of md5(seed | r | unit). Position q of draw r holds the value of the unit
-at position q of draw 0, so every draw is a permutation and both engines can recompute it. Draws
-are rows, not driver state: the digest prefix cuts each draw into blocks for the ranking.
+Units have one base order, by md5(seed | 0 | unit). Draw r sends base rank i to a rank that a keyed bijection computes (``plans.permute``), and the unit at i takes the
+value of the unit there; so every draw is a permutation, no draw is sorted, and both engines can recompute it. The draws of a unit
+travel as one array.
 
 Values differ from a sequential shuffle by design; they are reproducible and order-free.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 import numpy as np
@@ -20,8 +19,9 @@ from pyspark.sql import types as T
 
 from terralog.operators.rollups import p_adjust
 from terralog.operators.weights import Near, near, neighbour_totals
-from terralog.plans.ranking import HASH_BITS, hash60, hash_block, hash_positions
-from terralog.plans.running import BLOCK_ROWS, Run, running
+from terralog.plans.permute import heads, permute, round_keys, with_draws
+from terralog.plans.ranking import hash60, hash_positions
+from terralog.plans.running import Run, int_block, running
 from terralog.session import cut
 from terralog.spec import CONSTANT, MIN_UNITS, NO_NEIGHBOURS, TOO_FEW, StatSpec
 
@@ -30,28 +30,27 @@ def _digest(seed: int, draw: Column, unit: Column) -> Column:
     return hash60(F.concat_ws("|", F.lit(str(seed)), draw.cast("string"), unit.cast("string")))
 
 
-def _positions(units: DataFrame, draws: Column, seed: int, unit: str, extra: list[str], runs: list[Run],
-               keep: Column | None = None, below: int | None = None, blocks: int = 1) -> DataFrame:
-    """Rows of each draw in hash order; with ``below`` only those of a smaller digest, which are the head of the order."""
-    rows = units.select(unit, *extra, F.explode(draws).alias("draw"))
-    rows = rows.withColumn("_h", _digest(seed, F.col("draw"), F.col(unit)))
-    block = hash_block(rows, "_h")
-    if below is not None:
-        rows = rows.where(F.col("_h") < below)
-        block = F.floor(F.col("_h") / F.lit(below // blocks + 1)).cast("long")
-    return running(rows, ["draw"], ["_h", unit], block, [Run("pos", "sum", F.lit(1).cast("long")), *runs], keep).drop("_h")
+def _ranked(units: DataFrame, seed: int, unit: str) -> DataFrame:
+    """Add ``rank``, 0-based in the base order."""
+    placed = hash_positions(units.withColumn("_h", _digest(seed, F.lit(0), F.col(unit))), [], "_h", unit, "rank")
+    return placed.drop("_h").withColumn("rank", F.col("rank") - 1)
 
 
 def permutation_draws(units: DataFrame, field: str, permutations: int, seed: int, unit: str = "unit_id",
                       carry: tuple[str, ...] = ()) -> DataFrame:
-    """``draw, unit, pos, permuted``: every draw is a permutation of the field over the units.
+    """``draw, unit, pos, permuted``: every draw is a permutation of the field over the units; ``pos`` is the 1-based base position of the value.
 
     ``carry`` columns of the unit ride along.
     """
-    base = hash_positions(units.select(unit, F.col(field).alias("permuted"), _digest(seed, F.lit(0), F.col(unit)).alias("_h")),
-                          [], "_h", unit, "pos").select("pos", "permuted")
-    drawn = _positions(units, F.sequence(F.lit(1), F.lit(permutations)), seed, unit, list(carry), [])
-    return drawn.join(base, "pos").select("draw", unit, "pos", "permuted", *carry)
+    rows = cut(_ranked(units.select(unit, field, *[c for c in carry if c not in (unit, field)]), seed, unit), "ranked")
+    n, keys = rows.count(), round_keys(seed, permutations)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def places(rank: pd.Series) -> pd.Series:
+        return pd.Series(list(permute(rank.to_numpy(np.int64), keys, n) + 1))
+    drawn = with_draws(rows, field, n, keys).withColumn("_pos", places("rank"))
+    return drawn.select(unit, *carry, F.posexplode(F.arrays_zip(F.col("zs").alias("zs"), F.col("_pos").alias("_pos"))).alias("draw", "_d")).select(
+        (F.col("draw") + 1).alias("draw"), unit, F.col("_d._pos").alias("pos"), F.col("_d.zs").alias("permuted"), *carry)
 
 
 def admitted(units: DataFrame, spec: StatSpec) -> DataFrame:
@@ -67,34 +66,74 @@ def _edge_weight(k: Column, spec: StatSpec) -> Column:
     return F.when(k > 0, F.lit(1.0) if spec.standardization == "binary" else 1.0 / k).otherwise(0.0)
 
 
+_PARTS = "kind string, _row long, _col long, a array<double>, b array<double>"
+
+
+def _stack(arrays: pd.Series) -> np.ndarray:
+    return np.stack(arrays.to_list()).astype(float)
+
+
+def _site_parts(frames):
+    """Per batch of sites: the draws' sums of w z z of sites that are not whole, and of each whole cell the sums of w z and z."""
+    for f in frames:
+        zs, w, whole = _stack(f["zs"]), f["w"].to_numpy(float)[:, None], f["whole"].to_numpy(bool)
+        out = [("alone", None, None, (w * zs * zs)[~whole].sum(axis=0), None)]
+        if whole.any():
+            cells, at = np.unique(f.loc[whole, ["_row", "_col"]].to_numpy(np.int64), axis=0, return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            first = np.searchsorted(at[order], np.arange(len(cells)))
+            sums = [np.add.reduceat(x[whole][order], first, axis=0) for x in (w * zs, zs)]
+            out += [("whole", int(c[0]), int(c[1]), x, y) for c, x, y in zip(cells, *sums)]
+        yield pd.DataFrame(out, columns=["kind", "_row", "_col", "a", "b"])
+
+
+def _unit_parts(frames):
+    """Per batch of units: minus the draws' sums of w z z, for the pairs of a unit with itself."""
+    for f in frames:
+        zs = _stack(f["zs"])
+        yield pd.DataFrame([("self", None, None, -(f["w"].to_numpy(float)[:, None] * zs * zs).sum(axis=0), None)], columns=["kind", "_row", "_col", "a", "b"])
+
+
+def _pair_parts(frames):
+    """Per batch of site pairs: the draws' sums of (w + w') z z'."""
+    for f in frames:
+        yield pd.DataFrame([("pair", None, None, (f["c"].to_numpy(float)[:, None] * _stack(f["zs"]) * _stack(f["r_zs"])).sum(axis=0), None)], columns=["kind", "_row", "_col", "a", "b"])
+
+
 def _by_draw(rows: DataFrame, nb: Near, spec: StatSpec) -> DataFrame:
-    """``draw, num`` = sum_ij w_ij z_i z_j of each permuted field.
+    """``draw, num`` = sum_ij w_ij z_i z_j of each permuted field; ``rows`` have the draws of a unit as ``zs``.
 
-    Per site the draws travel as one array, so a pair is one row, not one row per draw.
+    A batch of units, sites or pairs gives one array of sums, so no row is one draw of one unit but for units that share a site.
     """
-    placed = permutation_draws(rows, "z", spec.permutations, spec.seed, spec.unit, ("site", "_row", "_col", "whole", "w"))
-    sites = cut(placed.groupBy("site", "draw", "_row", "_col", "whole", "w").agg(
-        F.sum("permuted").alias("z"), F.sum(F.col("permuted") * F.col("permuted")).alias("zz")), "draws")
+    shared = rows.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+    place = ["site", "_row", "_col", "whole", "w"]
+    tagged = rows.join(shared, "site")
+    summed = (tagged.where("n > 1").select("site", F.posexplode("zs").alias("i", "z")).groupBy("site", "i").agg(F.sum("z").alias("z"))
+              .groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "z"))), lambda s: s["z"]).alias("zs")))
+    many = rows.select(*place).distinct().join(summed, "site")
+    sites = cut(tagged.where("n = 1").select(*place, "zs").unionByName(many), "draws")
     # Inside a whole cell every site neighbours every other, itself included; elsewhere a site is its own neighbour set.
-    whole = (sites.where("whole").groupBy("draw", "_row", "_col").agg((F.sum(F.col("w") * F.col("z")) * F.sum("z")).alias("t"))
-             .groupBy("draw").agg(F.sum("t").alias("t")))
-    alone = sites.where("NOT whole").groupBy("draw").agg(F.sum(F.col("w") * F.col("z") * F.col("z")).alias("t"))
-    selfs = sites.groupBy("draw").agg((-F.sum(F.col("w") * F.col("zz"))).alias("t"))
-    packed = sites.groupBy("site", "w").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("draw", "z"))), lambda s: s["z"]).alias("zs"))
-    left = packed.select("site", "w", "zs")
-    right = packed.select(F.col("site").alias("r_site"), F.col("w").alias("r_w"), F.col("zs").alias("r_zs"))
-    cross = (nb.pairs.where("site < r_site").join(left, "site").join(right, "r_site")
-             .select((F.col("w") + F.col("r_w")).alias("c"), F.posexplode(F.zip_with("zs", "r_zs", lambda a, b: a * b)).alias("i", "p"))
-             .groupBy("i").agg(F.sum(F.col("c") * F.col("p")).alias("t")).select((F.col("i") + 1).alias("draw"), "t"))
-    parts = reduce(DataFrame.unionByName, [d.select("draw", "t") for d in (whole, alone, selfs, cross)])
-    return parts.groupBy("draw").agg(F.sum("t").alias("num"))
+    left, right = sites.select("site", "w", "zs"), sites.select(F.col("site").alias("r_site"), F.col("w").alias("r_w"), F.col("zs").alias("r_zs"))
+    cross = nb.pairs.where("site < r_site").join(left, "site").join(right, "r_site").select((F.col("w") + F.col("r_w")).alias("c"), "zs", "r_zs")
+    parts = [sites.select("_row", "_col", "whole", "w", "zs").mapInPandas(_site_parts, _PARTS), rows.select("w", "zs").mapInPandas(_unit_parts, _PARTS), cross.mapInPandas(_pair_parts, _PARTS)]
+    flat = reduce(DataFrame.unionByName, parts).select("kind", "_row", "_col", F.posexplode(F.arrays_zip(F.col("a").alias("a"), F.coalesce("b", F.transform("a", lambda _: F.lit(1.0))).alias("b"))).alias("i", "x"))
+    cells = flat.groupBy("kind", "_row", "_col", "i").agg(F.sum("x.a").alias("a"), F.when(F.col("kind") == "whole", F.sum("x.b")).otherwise(1.0).alias("b"))
+    return cells.groupBy((F.col("i") + 1).alias("draw")).agg(F.sum(F.col("a") * F.col("b")).alias("num"))
+
+
+def with_field_draws(units: DataFrame, spec: StatSpec, field: str = "z") -> DataFrame:
+    """Admitted units with ``zs``, the field's value in every draw."""
+    ranked = cut(_ranked(units, spec.seed, spec.unit), "ranked")
+    return cut(with_draws(ranked, field, ranked.count(), round_keys(spec.seed, spec.permutations)).drop("rank"), "drawn")
 
 
 def moran(units: DataFrame, spec: StatSpec) -> DataFrame:
     """One row: I, its expectation, closed-form sd, permutation p, with status and reason."""
     spec = spec.checked()
-    u = admitted(units, spec)
+    return _moran(with_field_draws(admitted(units, spec), spec), spec)
+
+
+def _moran(u: DataFrame, spec: StatSpec) -> DataFrame:
     nb = near(u, spec.band_m, spec.unit)
     tot = neighbour_totals(nb, {"_k": F.lit(1), "_t": F.col("z")})
     k = F.col("_k") - 1
@@ -136,7 +175,7 @@ def _conditional(units: DataFrame, spec: StatSpec, value: str) -> DataFrame:
 
     Draw r supplies the first k values of its order that are not the unit itself: the running sum
     at k, or the sum at k+1 minus the own value when the unit stands among the first k. Only the
-    head of each draw up to the largest k is ordered, and only the neighbour counts that occur are
+    head of each draw up to the largest k is made, and only the neighbour counts that occur are
     kept, so nothing is units x neighbours x draws.
 
     Adds ``mean`` and ``sd`` of the permuted totals, ``far`` (draws at least as far from the mean)
@@ -147,7 +186,7 @@ def _conditional(units: DataFrame, spec: StatSpec, value: str) -> DataFrame:
     rows = cut(nb.units.join(tot, "site").withColumn("k", F.col("_k") - 1)
                .withColumn("others", F.col("_t") - F.col(value)).drop("_k", "_t"), "rows")
     n, most = rows.agg(F.count(F.lit(1)), F.coalesce(F.max("k"), F.lit(0))).first()
-    drawn = cut(_heads(units, spec, value, n, min(most + 1, n)), "heads")
+    drawn = cut(_heads(rows, spec, value, n, min(most + 1, n)), "heads")
     sizes = rows.where("k > 0").select("k").distinct()
     wanted = sizes.select(F.explode(F.array(F.col("k"), F.col("k") + 1)).alias("pos")).distinct()
     prefix = cut(drawn.join(wanted, "pos", "left_semi").groupBy("pos").agg(F.transform(
@@ -162,23 +201,10 @@ def _conditional(units: DataFrame, spec: StatSpec, value: str) -> DataFrame:
 
 
 def _heads(units: DataFrame, spec: StatSpec, value: str, n: int, most: int) -> DataFrame:
-    """``unit, draw, pos, prefix`` of the first ``most`` positions of every draw.
-
-    Digests are uniform, so the head of a draw lies below a bound that is known beforehand: rows above it are neither shuffled nor sorted. The bound
-    leaves ten standard deviations of room; should a draw still fall short, all rows are ordered.
-    """
-    room = most + 10 * math.isqrt(most) + 64
-
-    def ordered(below: int | None) -> DataFrame:
-        rows = _positions(units, F.sequence(F.lit(1), F.lit(spec.permutations)), spec.seed, spec.unit, [value], [Run("prefix", "sum", F.col(value))],
-                          keep=F.coalesce("_c0", F.lit(0)) <= most, below=below, blocks=1 + room // BLOCK_ROWS)
-        return rows.where(F.col("pos") <= most)
-
-    if room >= n:
-        return ordered(None)
-    head = cut(ordered((room << HASH_BITS) // n), "heads")
-    full = head.where(F.col("pos") == most).count() == spec.permutations
-    return head if full else ordered(None)
+    """``unit, draw, pos, prefix`` of the first ``most`` positions of every draw; the bijection tells who stands there."""
+    ranked = cut(_ranked(units.select(spec.unit, value), spec.seed, spec.unit), "ranked")
+    placed = heads(units.sparkSession, n, most, round_keys(spec.seed, spec.permutations)).join(ranked, "rank").drop("rank")
+    return running(placed, ["draw"], ["pos"], int_block("pos"), [Run("prefix", "sum", F.col(value))])
 
 
 _DRAW_STATS = T.StructType([T.StructField("mean", T.DoubleType()), T.StructField("sd", T.DoubleType()),
@@ -252,10 +278,10 @@ def hotspot(units: DataFrame, spec: StatSpec) -> DataFrame:
 
 
 def scale_ladder(units: DataFrame, spec: StatSpec, bands: list[float]) -> DataFrame:
-    """Moran's I at each declared band with one seed; ``sign_agreement`` is false when signs differ."""
+    """Moran's I at each declared band, all with the same draws; ``sign_agreement`` is false when signs differ."""
     from dataclasses import replace
-    units = cut(units.select(spec.unit, "lon", "lat", spec.field), "ladder")
-    rungs = [moran(units, replace(spec, band_m=b)).withColumn("band_m", F.lit(float(b))) for b in bands]
+    drawn = with_field_draws(admitted(units, spec.checked()), spec)
+    rungs = [_moran(drawn, replace(spec, band_m=b).checked()).withColumn("band_m", F.lit(float(b))) for b in bands]
     all_ = cut(reduce(DataFrame.unionByName, rungs), "rungs")
     signs = all_.agg(F.count_distinct(F.signum("i")).alias("c")).scalar()
     return all_.select("band_m", "n", "islands", "i", "p", "status").withColumn("sign_agreement", signs <= 1)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from terralog.fixtures import hav_sql, with_sql
 from terralog.operators import access as A
 from terralog.operators import decision as D
+from terralog.plans.permute import permute_sql
 from terralog.queries.registry import query
 
 SEED, PERMS = 20260924, 199
@@ -23,8 +24,8 @@ def _assoc(x: str) -> str:
  (1 + (SELECT count(*) FROM (SELECT d.draw, corr(b.y, d.{x}) AS c FROM dr d JOIN dr b ON b.draw = 0 AND b.pos = d.pos WHERE d.draw > 0 GROUP BY 1) WHERE abs(c) >= abs((SELECT corr(y, {x}) FROM f)) - 1e-12))/200.0::DOUBLE AS p, 'succeeded' AS status"""
 
 
-@query("attribution_association", f"WITH {_ROWS}, k AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1)/2.0::DOUBLE AS r{c}" for c in ("y", "x1", "x2", "x3")) + f""" FROM f),
-dr AS (SELECT d AS draw, f.*, row_number() OVER (PARTITION BY d ORDER BY md5('{SEED}|' || d || '|' || unit_id), unit_id) AS pos FROM f, range(0, {PERMS + 1}) p(d)) """ + " UNION ALL ".join(_assoc(x) for x in ("x1", "x2", "x3")))
+@query("attribution_association", f"WITH RECURSIVE {_ROWS}, k AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1)/2.0::DOUBLE AS r{c}" for c in ("y", "x1", "x2", "x3")) + f""" FROM f),
+{permute_sql(SEED, PERMS, 'f', 'unit_id, y, x1, x2, x3', 'unit_id')} """ + " UNION ALL ".join(_assoc(x) for x in ("x1", "x2", "x3")))
 def attribution_association(t):
     a = D.association(_rows(t), "unit_id", "y", ["x1", "x2", "x3"], PERMS, SEED)
     return a.withColumn("pearson", F.round("pearson", 9)).withColumn("spearman", F.round("spearman", 9))

@@ -7,9 +7,11 @@ from terralog.functions import text as X
 from terralog.operators import retention as K
 from terralog.operators import search as Q
 from terralog.operators import sessions as S
+from terralog.operators import text_index as I
 from terralog.operators import viz as V
 from terralog.plans.running import int_block
 from terralog.queries.registry import query
+from terralog.session import scratch_path
 
 LOG = with_sql("log")
 SURFACE = "type IN ('system/message','user/message','assistant/message','tool/result')"
@@ -179,6 +181,22 @@ def event_search(t):
     return Q.event_search(t.log, _WORDS, 6, 50, skip=F.col("seq").between(8, 15)).withColumn("score", F.round("score", 6))
 
 
+def _kept(t):
+    """The index of all sessions, by workspace."""
+    return I.write_index(t.log, t.sessions.select("session_id", F.col("cwd").alias("scope")), scratch_path(t.spark, "index"))
+
+
+@query("session_search_kept", f"""{LOG}, ss AS (SELECT DISTINCT conv_id AS session_id FROM conversations WHERE conv_id % 4 = 1), {_POST.replace('FROM log)', 'FROM log JOIN ss USING (session_id))')}, {bm25_sql(_WORDS)},
+b AS (SELECT session_id, max(score) AS score FROM sc GROUP BY 1) SELECT b.session_id, min(sc.seq) AS seq, round(b.score, 6) AS score FROM b JOIN sc ON sc.session_id = b.session_id AND sc.score = b.score GROUP BY b.session_id, b.score ORDER BY b.score DESC, b.session_id LIMIT 20""")
+def session_search_kept(t):
+    return _kept(t).session_search(_WORDS, 1, 20).withColumn("score", F.round("score", 6))
+
+
+@query("event_search_kept", f"""{LOG}, {_POST.replace("WHERE body <> ''", "WHERE body <> '' AND session_id = 6 AND NOT (seq BETWEEN 8 AND 15)")}, {bm25_sql(_WORDS)} SELECT session_id, seq, round(score, 6) AS score FROM sc ORDER BY score DESC, seq LIMIT 50""")
+def event_search_kept(t):
+    return _kept(t).event_search(_WORDS, 6, 50, skip=F.col("seq").between(8, 15)).withColumn("score", F.round("score", 6))
+
+
 def _live(t):
     live = t.log.where("session_id % 5 = 0")
     headers = t.sessions.select("session_id", "cwd")

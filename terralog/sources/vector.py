@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralog.sources.split_json import feature_texts
+
 PARTS = "array<array<array<struct<x:double,y:double>>>>"
 
 # Column names that choose themselves, and weak ones that need confirmation.
@@ -47,12 +49,8 @@ _FEATURE = "geometry struct<type:string,coordinates:string>, properties string"
 
 
 def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Features of FeatureCollection documents, or of newline-delimited features (splittable, for large data)."""
-    if lines:
-        raw = spark.read.schema(_FEATURE).json(path)
-    else:
-        doc = spark.read.schema("features array<struct<geometry:struct<type:string,coordinates:string>,properties:string>>").option("multiLine", True).json(path)
-        raw = doc.select(F.inline("features"))
+    """Features of FeatureCollection documents, or of newline-delimited features; both are read in splits, however large a file is."""
+    raw = spark.read.schema(_FEATURE).json(path) if lines else feature_texts(spark, path).select(F.from_json("text", _FEATURE).alias("f")).select("f.*")
     kind = F.col("geometry.type")
     return raw.select(kind.alias("geom_type"), parts_of(kind, F.col("geometry.coordinates")).cast(PARTS).alias("parts"), "properties")
 
