@@ -77,14 +77,15 @@ class Shard:
         return wide(self.file.read((b - a) * self.width), f"<u{self.width}")
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First row and number of rows of each key; no rows where the fingerprint differs."""
+        """First row and number of rows of each key; none where the fingerprint or the stored id differs."""
         hashed = np.asarray(keys, dtype=np.int64).view(np.uint64)
         at = mph.probe(hashed, self.sizes, self.words, self.before)
         if not len(self.slots):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         slot = self.slots[np.maximum(at, 0)]
-        right = (at >= 0) & (slot["print"] == mph.mix(hashed, PRINT_SEED) >> np.uint64(32))
-        return slot["row"].astype(np.int64), np.where(right, slot["count"], 0).astype(np.int64)
+        row = slot["row"].astype(np.int64)
+        right = (at >= 0) & (slot["print"] == mph.mix(hashed, PRINT_SEED) >> np.uint64(32)) & (self.ids[row] == keys)
+        return row, np.where(right, slot["count"], 0).astype(np.int64)
 
 
 def _writer(root: str, tokenizer: str, shard_mb: int):
@@ -148,23 +149,36 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "start", "n_tokens", "ids"])
 
 
+def _places(shard: Shard) -> np.ndarray:
+    """Rows of a shard in order of place, each found by its key through the index; rows without a key follow from the document table."""
+    keys = np.unique(shard.ids[shard.null == 0])
+    first, count = shard.find(keys)
+    if not count.all():
+        raise ValueError("the index does not know a document of its shard")
+    known = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+    return np.sort(np.concatenate([known, np.flatnonzero(shard.null)]))
+
+
 def _reader(batches):
     for b in batches:
         for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             fs, name = open_fs(path)
             with fs.open_input_file(name) as file:
-                shard, row = Shard(file), 0
-                while row < shard.docs:
-                    # as many rows as fill a batch, one at least
+                shard, k = Shard(file), 0
+                rows = _places(shard)
+                while k < len(rows):
+                    # neighbours in the payload, as many as fill a batch, one at least, are one read
+                    row = int(rows[k])
                     last = max(row + 1, int(np.searchsorted(shard.firsts, shard.firsts[row] + BATCH_BYTES // 4, "right")) - 1)
-                    data, at = shard.payload(row, last), shard.firsts[row:last + 1] - shard.firsts[row]
-                    yield _batch([(None if shard.null[row + k] else int(shard.ids[row + k]), start + int(shard.firsts[row + k]), int(at[k + 1] - at[k]),
-                                   data[4 * at[k]:4 * at[k + 1]]) for k in range(last - row)])
-                    row = last
+                    n = int(np.argmin(np.append(rows[k:k + last - row] == np.arange(row, row + len(rows[k:k + last - row])), False)))
+                    data, at = shard.payload(row, row + n), shard.firsts[row:row + n + 1] - shard.firsts[row]
+                    yield _batch([(None if shard.null[row + i] else int(shard.ids[row + i]), start + int(shard.firsts[row + i]), int(at[i + 1] - at[i]),
+                                   data[4 * at[i]:4 * at[i + 1]]) for i in range(n)])
+                    k += n
 
 
 def read_store(manifest: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` of every document, from the files."""
+    """``doc_id, start, n_tokens, ids`` of every document, from the files: every key is asked for through its shard's index and read at the place that it gives."""
     n = max(1, manifest.count())
     return manifest.select("path", "start").repartition(n, "path").mapInArrow(_reader, ROWS)
 
