@@ -30,8 +30,14 @@ OUTSIDE_WORDS = frozenset("""ad ads advert advertisement adverts advertising ale
     promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags
     teaser toolbar topbar widget widgets""".split())
 TITLE_WORDS = frozenset(("header",))             # an article's own header holds its title
+COMMENT_WORDS = frozenset("comment comments discussion disqus replies reply respond".split())
+CARD_WORDS = frozenset("card cards".split())       # of an article in an article
+PART_WORDS = frozenset("area bar block box buttons container content form group inner items links list panel section widget wrap wrapper".split())
 TEXT_WORDS = frozenset("article entry post story".split())
 WHOLE, MOST, NEARLY_ALL = 0.9, 0.5, 0.8         # shares of text that make a container the content
+SHORT, LINKED = 0.25, 0.5                        # a named part of an article goes if it is shorter against the article, or that much of it is links
+LEFT_OPEN = frozenset("aside footer header menu nav".split())
+UNFINISHED = re.compile(r"<[A-Za-z/!?]")
 CLOSED_BY = {"li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")),
              "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",))}
 SPACE = re.compile(r"\s+")
@@ -39,10 +45,10 @@ WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Element:
-    __slots__ = ("tag", "outside", "article", "link", "path", "marks")
+    __slots__ = ("tag", "outside", "article", "link", "path", "marks", "number", "holds")
 
-    def __init__(self, tag, outside, article, link, path, marks):
-        self.tag, self.outside, self.article, self.link, self.path, self.marks = tag, outside, article, link, path, marks
+    def __init__(self, tag, outside, article, link, path, marks, number=0):
+        self.tag, self.outside, self.article, self.link, self.path, self.marks, self.number, self.holds = tag, outside, article, link, path, marks, number, False
 
 
 class Block:
@@ -71,15 +77,32 @@ def marks_outside(tag: str, attrs: dict[str, str | None], in_article: bool) -> b
         return True
     if tag in ("html", "body", "article", "main") and not in_article:
         return False
-    words = {w.lower() for w in WORD.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")}
-    return bool(words & (OUTSIDE_WORDS - TITLE_WORDS if in_article or words & TEXT_WORDS else OUTSIDE_WORDS))
+    names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
+    if in_article:
+        return bool(whole_names(names) & (OUTSIDE_WORDS - TITLE_WORDS | (CARD_WORDS if tag in ("article", "main") else frozenset())))
+    words = {w.lower() for w in WORD.findall(names)}
+    return bool(words & (OUTSIDE_WORDS - TITLE_WORDS if words & TEXT_WORDS else OUTSIDE_WORDS))
+
+
+def whole_names(names: str) -> frozenset[str]:
+    """Names that stand alone, or beside words that only say what kind of part it is: ``share-buttons`` is ``share``, ``notice-period`` is neither word."""
+    found = set()
+    for name in names.split():
+        words = [w.lower() for w in WORD.findall(name)]
+        plain = [w for w in words if w not in PART_WORDS]
+        if len(plain) == 1 or plain and all(w in OUTSIDE_WORDS for w in plain):
+            found.update(plain)
+    return frozenset(found)
 
 
 class Blocks(HTMLParser):
     """Collects the blocks of a page in order."""
 
-    def __init__(self):
+    def __init__(self, ignored: frozenset[int] = frozenset()):
+        """``ignored`` are numbers of elements whose tag does not put them outside."""
         super().__init__(convert_charrefs=True)
+        self.ignored, self.elements, self.left_open = ignored, 0, set()
+        self.inner: dict[int, tuple[int, bool, bool]] = {}          # mark -> article, whether it is a paragraph or inline, whether it goes whatever its length
         self.stack = [Element("", False, 0, False, (), ())]
         self.blocks: list[Block] = [Block(self.stack[0])]
         self.places = self.articles = self.marked = 0
@@ -95,6 +118,7 @@ class Blocks(HTMLParser):
     def _pop_to(self, tags: frozenset[str], stop: frozenset[str]):
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].tag in tags:
+                self.left_open.update(e.number for e in self.stack[k + 1:] if e.holds and e.tag in LEFT_OPEN)
                 del self.stack[k:]
                 return True
             if self.stack[k].tag in stop:
@@ -115,7 +139,11 @@ class Blocks(HTMLParser):
                 self._pop_to(CLOSED_BY[tag], frozenset("ul ol dl table select menu article body".split()))
         if tag not in VOID:
             top = self.stack[-1]
-            article, outside = top.article, top.outside or names_outside(tag, dict(attrs), bool(top.article))
+            self.elements += 1
+            article, outside = top.article, top.outside or (self.elements not in self.ignored and names_outside(tag, dict(attrs), bool(top.article)))
+            if tag in ("article", "main"):
+                for e in self.stack:
+                    e.holds = True
             if tag in ("article", "main") and not outside and not article:
                 self.articles += 1
                 article = self.articles
@@ -123,10 +151,13 @@ class Blocks(HTMLParser):
             if not outside and marks_outside(tag, dict(attrs), bool(top.article)):
                 self.marked += 1
                 marks = (*marks, self.marked)
+                if top.article:
+                    names = whole_names(f"{dict(attrs).get('class') or ''} {dict(attrs).get('id') or ''}")
+                    self.inner[self.marked] = top.article, tag not in BLOCKS or tag == "p" or tag in HEADINGS, tag == "form" or bool(names & COMMENT_WORDS)
             if tag in ("article", "main", "section", "div", "td", "blockquote", "body", "ul", "ol", "table"):
                 self.places += 1
                 path = (*path, self.places)
-            self.stack.append(Element(tag, outside, article, top.link or tag == "a", path, marks))
+            self.stack.append(Element(tag, outside, article, top.link or tag == "a", path, marks, self.elements))
         if block:
             self._new_block()
         self.blocks[-1].tags += 1
@@ -166,18 +197,27 @@ def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(values, reach, mode="edge" if len(values) else "constant"), kernel / kernel.sum(), mode="valid")
 
 
-def settle_marks(blocks: list[tuple[Block, str]]):
-    """Names mark a container as outside, but one that holds the article or nearly all text of a page does not count."""
+def settle_marks(blocks: list[tuple[Block, str]], inner: dict[int, tuple[int, bool, bool]]):
+    """Names mark a container as outside, but one that holds the article or nearly all text of a page does not count.
+
+    Inside an article a named part goes if it holds readers' comments or a form, if most of it is links, or if it is short against the article and no plain paragraph.
+    """
     open_ = [(b, len(t)) for b, t in blocks if not b.outside]
     total = sum(n for _, n in open_)
-    held, main = {}, set()
+    held, main, linked, article = {}, set(), {}, {}
     for b, n in open_:
+        article[b.article] = article.get(b.article, 0) + n
         for m in b.marks:
             held[m] = held.get(m, 0) + n
+            linked[m] = linked.get(m, 0) + min(b.linked, n)
             if b.article or b.tag == "h1":
                 main.add(m)
     told = any(b.article and not b.marks for b, _ in open_)
-    lifted = {m for m, n in held.items() if not told and n > (MOST if m in main else NEARLY_ALL) * total}
+    lifted = {m for m, n in held.items() if m not in inner and not told and n > (MOST if m in main else NEARLY_ALL) * total}
+    for m, (of, plain, gone) in inner.items():
+        n = held.get(m, 0)
+        if not gone and linked.get(m, 0) < LINKED * n and (plain or n >= SHORT * article.get(of, 0)):
+            lifted.add(m)
     for b, _ in open_:
         b.outside = any(m not in lifted for m in b.marks)
 
@@ -192,15 +232,26 @@ def container(blocks: list[tuple[Block, str]], content: np.ndarray) -> int:
     return max((p for p, n in held.items() if n >= WHOLE * total), key=depth.get, default=0)
 
 
+def parsed(html: str, ignored: frozenset[int] = frozenset()) -> Blocks:
+    """The events of a page; a comment or tag that never ends goes to the end of the page, as in a browser."""
+    parser = Blocks(ignored)
+    parser.feed(html)
+    if UNFINISHED.match(parser.rawdata):
+        parser.rawdata = ""
+    parser.close()
+    return parser
+
+
 def extract(html: str | None, threshold: float = 0.5) -> str:
     """Main text of one page; null, empty and pages without any give the empty text."""
     if not html:
         return ""
-    parser = Blocks()
-    parser.feed(html)
-    parser.close()
+    parser = parsed(html)
+    # a part left open in front of the article does not swallow it
+    if open_ := parser.left_open | {e.number for e in parser.stack if e.holds and e.tag in LEFT_OPEN}:
+        parser = parsed(html, frozenset(open_))
     blocks = [(b, t) for b in parser.blocks if (t := b.text)]
-    settle_marks(blocks)
+    settle_marks(blocks, parser.inner)
     inside = [(b, t) for b, t in blocks if not b.outside]
     if not inside:
         return ""
