@@ -1,9 +1,9 @@
 """Toxicity by weak supervision: voters, a generative label model over them, a linear classifier on its posterior labels.
 
-The lexicon is mined with Spark from labelled training rows: words, and word beginnings, that toxic rows hold far more often than others.
+The lexicon is mined with Spark from all labelled rows outside the held-out fold: words, and word beginnings, that toxic rows hold far more often than others.
 Each entry is a voter, and so are patterns of writing (shouting, exclamation marks, symbols, no entry at all). The label model estimates the
 accuracy of every voter and their correlations, the given label being one voter among them; a logistic regression learns its posteriors. Scoring is one
-pass over the texts with one automaton. Only the fit uses a bounded sample: ``fit_rows`` labelled rows, the least by a hash of the id.
+pass over the texts with one automaton. Only the label model and the regression use a bounded sample: ``fit_rows`` labelled texts, the least by a hash of the id.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terralog.llm.exact_dedup import in_sieve, sieve
 from terralog.llm.label_model import label_model, logistic, sigmoid
 from terralog.llm.worker_memory import tidy
 from terralog.session import cut
@@ -82,23 +83,29 @@ def features(raw: bytes | None, terms: tuple[str, ...]) -> tuple[set[int], tuple
     return found, patterns(raw, bool(found))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``text, toxic`` of at most ``fit_rows`` labelled ids outside the held-out fold."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select(F.col("doc_id").alias("label_id"), "toxic"))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    # a text counts once, however many copies it has
-    return cut(rows.join(some, F.col("id") == F.col("label_id")).groupBy(F.sha2("text", 256)).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "labelled")
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``text, toxic, rank`` of every labelled text outside the held-out fold; ``rank`` is the least hash of the ids of its rows.
 
+    A text counts once, however many copies it has, and is toxic if any of them is: digests and labels meet first, and only one row of each text sends it. A bit set of bounded
+    size tells most rows beforehand that theirs is not asked for.
+    """
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    first = rows.select("id", "digest").join(known, "id").groupBy("digest").agg(F.min(F.struct(F.xxhash64("id").alias("rank"), "id")).alias("f"), F.max("toxic").alias("toxic"))
+    first = cut(first.select("digest", "toxic", F.col("f.rank").alias("rank"), F.col("f.id").alias("id"), F.xxhash64("f.id", "digest").alias("key")), "texts")
+    held = rows.where(in_sieve(sieve(first, "key"), F.xxhash64("id", "digest")))
+    # rows of one id and text are the same
+    return held.join(first, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("text", "toxic", "rank")
 
-def mine(rows: DataFrame, most: int, least: int = 3, z: float = 3.0, purity: float = 0.5) -> list[str]:
-    """Terms that occur in toxic rows for the larger part, by the z-score of their log-odds between the classes, at most ``most``."""
+
+def mine(rows: DataFrame, bad: int, good: int, most: int, least: int = 3, z: float = 3.0, purity: float = 0.5) -> list[str]:
+    """Terms that occur in toxic rows for the larger part, by the z-score of their log-odds between the classes, at most ``most``; counted over all ``bad`` and ``good`` rows."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.char_length(w) > 1))
     stems = [F.transform(F.filter("words", lambda w, k=k: F.char_length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS]
     terms = rows.select("toxic", words.alias("words")).select("toxic", F.explode(F.array_distinct(F.concat("words", *stems))).alias("term"))
     counts = terms.groupBy("term").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    n = rows.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
-    odds = F.log((F.col("bad") + 0.5) / (n["bad"] - F.col("bad") + 0.5)) - F.log((F.col("good") + 0.5) / (n["good"] - F.col("good") + 0.5))
+    odds = F.log((F.col("bad") + 0.5) / (bad - F.col("bad") + 0.5)) - F.log((F.col("good") + 0.5) / (good - F.col("good") + 0.5))
     spread = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     top = counts.where(F.col("bad") >= least).withColumn("z", odds / spread).where(F.col("z") >= z).where(F.col("bad") >= purity * (F.col("bad") + F.col("good"))).orderBy(F.desc("z"), "term").limit(most)
     return [r["term"] for r in top.select("term").collect()]
@@ -120,11 +127,17 @@ def _bits(terms: tuple[str, ...]):
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, most_terms: int = 384, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """A model from ``docs`` and ``labels`` (``doc_id, toxic``). Without rows of both classes it scores every text by their share."""
-    rows = training_rows(docs, labels, fit_rows, id_col, text_col)
-    n, bad = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    every = cut(labelled_rows(docs, labels, id_col, text_col), "labelled")
+    n, bad = every.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < bad < n:
         return ToxicityModel((), (), bad / n if n else 0.0)
-    terms = tuple(mine(rows, most_terms))
+    terms = tuple(mine(every, bad, n - bad, most_terms))
+    last = every.select("rank").orderBy("rank").limit(fit_rows).agg(F.max("rank").alias("last")).scalar()
+    rows = cut(every.where(F.col("rank") <= last).select("text", "toxic"), "sample")
+    n, bad = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < bad < n:
+        # a sample without toxic rows teaches nothing: the rarer class has too few
+        return ToxicityModel((), (), bad / n)
     # bits of a bounded sample: fit_rows x (most_terms + patterns)
     votes = rows.select(F.col("text").cast("binary").alias("text"), "toxic").mapInArrow(_bits(terms), "votes binary, toxic int").collect()
     width = len(terms) + len(PATTERNS)
@@ -166,5 +179,8 @@ def _clean(model: ToxicityModel, at: int, threshold: float):
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    """The rows of ``docs`` that score below the threshold, with all their columns as they are: nulls, repeated rows and other columns too.
+
+    A null or empty text is scored as an empty one. An empty table gives no rows.
+    """
     return docs.mapInArrow(tidy(_clean(model, docs.columns.index(text_col), threshold)), docs.schema)
