@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -85,6 +85,30 @@ def run_fold(events: DataFrame, fold: Fold) -> DataFrame:
     return ordered.mapInPandas(batches, f"{key} {kind}, {fold.schema}")
 
 
+def register_fold(spark: SparkSession, name: str, fold: Fold, key_type: str = "bigint") -> None:
+    """Make a fold a table-valued function: ``SELECT * FROM name(TABLE(events) PARTITION BY key ORDER BY order)``, one view row per key.
+
+    Spark partitions and sorts; the function sees one key's rows after another and holds its state only.
+    """
+    columns = [c.split()[0] for c in fold.schema.split(", ")]
+    key, init, step, view = fold.key, fold.init, fold.apply, fold.view
+
+    class Folded:
+        def __init__(self):
+            self.key, self.state = None, None
+
+        def eval(self, row: Row):
+            if self.state is None:
+                self.key, self.state = row[key], init()
+            self.state = step(self.state, row)
+
+        def terminate(self):
+            if self.state is not None:
+                told = view(self.state)
+                yield (self.key, *(told[c] for c in columns))
+    spark.udtf.register(name, F.udtf(Folded, returnType=f"{key} {key_type}, {fold.schema}"))
+
+
 def fold_stream(stream: DataFrame, fold: Fold) -> DataFrame:
     """Streaming twin: the state of each key survives between batches; emits the newest view.
 

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from heapq import heappop, heappush
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 from terralog.operators.autocorrelation import permutation_draws
 from terralog.plans.grid import grid_pairs
 from terralog.plans.ranking import hash60, value_ranks
-from terralog.session import cut
+from terralog.session import cut, scratch_path
 
 
 # ---- distribution helpers (driver side, on a handful of numbers) -----------------------------
@@ -132,11 +135,58 @@ def explain(rows: DataFrame, y: str, xs: Sequence[str], vif_limit: float = 10.0)
     return spark.createDataFrame([(x, float(b), float(v), bool(v > vif_limit), "succeeded") for x, b, v in zip(xs, beta, np.diag(inv))], schema)
 
 
+NEWTON_ROUNDS = 25
+RIDGE = 1e-9                       # keeps the steps finite where the arms can be told apart
+
+
+def propensity(rows: DataFrame, treated: str, covariates: Sequence[str], name: str = "propensity") -> DataFrame:
+    """Add the chance of treatment by a logistic regression on all covariates; null where the arm or a covariate is null, or where only one arm occurs.
+
+    Newton's method on standardised covariates: each round is one aggregate of (k + 1)(k + 2) / 2 sums, whatever the number of rows.
+    """
+    t, xs = F.col(treated), [F.col(x).cast("double") for x in covariates]
+    known = t.isNotNull()
+    for x in xs:
+        known = known & x.isNotNull() & ~F.isnan(x)
+    d = cut(rows.where(known).select(t.cast("int").alias("t"), *[x.alias(f"x{i}") for i, x in enumerate(xs)]), "covariates")
+    g = d.agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t"), *[a for i in range(len(xs)) for a in (F.avg(f"x{i}").alias(f"m{i}"), F.stddev_pop(f"x{i}").alias(f"s{i}"))]).first()
+    if not g["n"] or not 0 < g["t"] < g["n"]:
+        return rows.withColumn(name, F.lit(None).cast("double"))
+    scale = lambda x, i: (x - g[f"m{i}"]) / (g[f"s{i}"] or 1.0)
+    beta, k = np.zeros(len(xs) + 1), len(xs) + 1
+
+    def chance(zs: list[Column]) -> Column:
+        return 1 / (1 + F.exp(-sum((float(b) * z for b, z in zip(beta[1:], zs)), F.lit(float(beta[0])))))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    for _ in range(NEWTON_ROUNDS):
+        z = [F.lit(1.0), *[scale(F.col(f"x{i}"), i) for i in range(len(xs))]]
+        p = chance(z[1:])
+        sums = d.agg(*[F.sum((F.col("t") - p) * z[i]).alias(f"g{i}") for i in range(k)], *[F.sum(p * (1 - p) * z[i] * z[j]).alias(f"h{i}_{j}") for i, j in pairs]).first()
+        h = np.zeros((k, k))
+        for i, j in pairs:
+            h[i, j] = h[j, i] = sums[f"h{i}_{j}"]
+        step = np.linalg.solve(h + RIDGE * g["n"] * np.eye(k), np.array([sums[f"g{i}"] for i in range(k)]) - RIDGE * g["n"] * beta)
+        beta = beta + step
+        if np.abs(step).max() < 1e-10:
+            break
+    return rows.withColumn(name, F.when(known, chance([scale(x, i) for i, x in enumerate(xs)])))
+
+
+def _common_support(rows: DataFrame, treated: str, covariates: Sequence[str]) -> Column:
+    """Share of rows whose propensity lies where both arms have some; 0 without a model."""
+    d = cut(propensity(rows.select(treated, *covariates), treated, covariates), "propensity")
+    t = F.col(treated)
+    ends = d.agg(F.struct(F.greatest(F.min(F.when(t, F.col("propensity"))), F.min(F.when(~t, F.col("propensity")))).alias("lo"),
+                          F.least(F.max(F.when(t, F.col("propensity"))), F.max(F.when(~t, F.col("propensity")))).alias("hi")).alias("s")).scalar()
+    return d.withColumn("_s", ends).agg(F.coalesce(F.try_divide(F.count_if(F.col("propensity").between(F.col("_s.lo"), F.col("_s.hi"))), F.count("propensity")), F.lit(0.0)).alias("o")).scalar()
+
+
 def effect(rows: DataFrame, y: str, treated: str, post: str, covariates: Sequence[str], strata: int = 5, smd_limit: float = 0.1,
-           interference: Column | None = None) -> DataFrame:
+           interference: Column | None = None, overlap_by: str = "strata") -> DataFrame:
     """Difference in differences with balance, overlap and interference, and the claim they allow.
 
-    ``overlap`` is the share of rows in equal-width strata of the first covariate that hold both arms.
+    ``overlap`` is the share of rows in equal-width strata of the first covariate that hold both arms, or with ``overlap_by="propensity"`` the share whose chance of treatment, by a logistic
+    model of all covariates, is one that both arms have.
     ``interference`` marks control rows with a treated unit inside the declared band.
     """
     t, p = F.col(treated), F.col(post)
@@ -148,11 +198,14 @@ def effect(rows: DataFrame, y: str, treated: str, post: str, covariates: Sequenc
         F.try_divide(F.avg(F.when(t, F.col(x))) - F.avg(F.when(~t, F.col(x))), F.sqrt((F.var_samp(F.when(t, F.col(x))) + F.var_samp(F.when(~t, F.col(x)))) / 2)).alias(f"smd_{i}"),)]
     aggs += [F.try_divide(F.count_if(~t & F.col("_near")), F.count_if(~t)).alias("interference")]
     g = rows.agg(*aggs)
+    if overlap_by not in ("strata", "propensity"):
+        raise ValueError(f"unknown overlap {overlap_by}")
     x0 = covariates[0]
     rng = rows.agg(F.struct(F.min(x0).alias("lo"), F.max(x0).alias("hi")).alias("r")).scalar()
     s = rows.withColumn("_r", rng).groupBy(F.least(F.lit(strata - 1), F.coalesce(F.floor(F.try_divide(F.col(x0) - F.col("_r.lo"), (F.col("_r.hi") - F.col("_r.lo")) / strata)), F.lit(0))).alias("s")).agg(
         F.count_if(t).alias("a"), F.count_if(~t).alias("b"), F.count(F.lit(1)).alias("c"))
-    overlap = s.agg((F.sum(F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("c"))) / F.sum("c")).alias("o")).scalar()
+    by_strata = s.agg((F.sum(F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("c"))) / F.sum("c")).alias("o")).scalar()
+    overlap = _common_support(rows, treated, covariates) if overlap_by == "propensity" else by_strata
     est = (F.col("m_tp") - F.col("m_tq")) - (F.col("m_cp") - F.col("m_cq"))
     se = F.sqrt(sum(F.try_divide(F.col(f"v_{k}"), F.col(f"n_{k}")) for k in cells))
     worst = F.greatest(*[F.abs(f"smd_{i}") for i in range(len(covariates))], F.lit(0.0))
@@ -282,28 +335,127 @@ def scenario_compare(cands: DataFrame, cand: str, weights: dict[str, float], bud
     return out.select(cand, "multiplier", "score", "rank", "reason")
 
 
-def allocate(sites: DataFrame, reach: DataFrame, demand: DataFrame, k: int, budget: float) -> tuple[DataFrame, DataFrame]:
+LINK_FOLDERS, LOOK = 64, 16        # folders of links by site; sites looked at again together
+PAGE = 1024                        # candidates fetched from the table of gains at a time
+
+
+def _links(sites: DataFrame, reach: DataFrame, demand: DataFrame) -> DataFrame:
+    """Sites with the demand in their reach, in folders by site: a few sites are read without the others."""
+    joined = reach.select("unit_id", "fac_id").distinct().join(demand.select("unit_id", "population"), "unit_id").join(sites.select("fac_id", "cost"), "fac_id")
+    root = scratch_path(sites.sparkSession, "links")
+    part = F.pmod(F.xxhash64("fac_id"), F.lit(LINK_FOLDERS)).cast("int")
+    rows = joined.select("fac_id", "unit_id", "population", "cost").withColumn("part", part)
+    rows.repartition("part", F.pmod(F.xxhash64("unit_id"), F.lit(4))).write.partitionBy("part").parquet(root)
+    return sites.sparkSession.read.schema(rows.schema).parquet(root)
+
+
+def allocate(sites: DataFrame, reach: DataFrame, demand: DataFrame, k: int, budget: float, look: int = LOOK) -> tuple[DataFrame, DataFrame]:
     """Greedy choice of at most ``k`` affordable sites by newly covered demand (ties: smaller id).
 
-    Returns the chosen sites in order and the site of each covered demand group. Only declared
-    candidates are compared; the result is not claimed to be a global optimum.
+    Gains never grow as sites are chosen, so an old gain is a bound: only the sites of the highest bounds are counted again, ``look`` at a time and read from their own folders, until the best of
+    them is current. Returns the chosen sites in order and the site of each covered demand group. Only declared candidates are compared; the result is not claimed to be a
+    global optimum (``allocate_exact`` is, for few sites).
     """
-    links = cut(reach.join(demand.select("unit_id", "population"), "unit_id").join(sites.select("fac_id", "cost"), "fac_id").select("fac_id", "unit_id", "population", "cost"), "links")
-    left, spent, chosen, assigned = links, 0.0, [], []
-    for rank in range(1, k + 1):
-        best = (left.where(F.col("cost") <= budget - spent).groupBy("fac_id", "cost").agg(F.sum("population").alias("gain"))
-                .orderBy(F.desc("gain"), "fac_id").limit(1).collect())
-        if not best:
-            break
-        row = best[0]
-        spent += row["cost"]
-        chosen.append((rank, row["fac_id"], float(row["cost"]), int(row["gain"])))
-        took = left.where(F.col("fac_id") == row["fac_id"]).select("unit_id")
-        assigned.append(took.withColumn("fac_id", F.lit(row["fac_id"])))
-        left = cut(left.join(took, "unit_id", "left_anti"), "left")
     spark = sites.sparkSession
-    picks = spark.createDataFrame(chosen, "rank int, fac_id long, cost double, gain long")
-    out = None
-    for a in assigned:
-        out = a if out is None else out.unionByName(a)
-    return picks, out if out is not None else links.select("unit_id", "fac_id").limit(0)
+    links = _links(sites, reach, demand)
+    gains = cut(links.groupBy("fac_id", "cost").agg(F.sum("population").alias("gain")), "gains")
+    heap: list[tuple] = []         # (-bound, id, cost, round of the count)
+    spent, chosen, covered, last = 0.0, [], None, None
+
+    def fetch() -> bool:
+        """The next candidates by their first gain."""
+        nonlocal last
+        rest = gains.where("gain > 0") if last is None else gains.where("gain > 0").where((F.col("gain") < last[0]) | ((F.col("gain") == last[0]) & (F.col("fac_id") > last[1])))
+        page = rest.orderBy(F.desc("gain"), "fac_id").limit(PAGE).collect()
+        for r in page:
+            heappush(heap, (-r["gain"], r["fac_id"], r["cost"], 0))
+        last = (page[-1]["gain"], page[-1]["fac_id"]) if len(page) == PAGE else (-1, 0)
+        return bool(page)
+
+    def current(ids: list) -> dict:
+        folders = [r[0] for r in spark.createDataFrame([(i,) for i in ids], sites.select("fac_id").schema).select(F.pmod(F.xxhash64("fac_id"), F.lit(LINK_FOLDERS))).distinct().collect()]
+        open_ = links.where(F.col("part").isin(folders) & F.col("fac_id").isin(ids)).join(covered.select("unit_id"), "unit_id", "left_anti")
+        return {r["fac_id"]: r["gain"] for r in open_.groupBy("fac_id").agg(F.sum("population").alias("gain")).collect()}
+
+    fetch()
+    while len(chosen) < k and (heap or last[0] >= 0):
+        if not heap:
+            fetch()
+        stale, best = [], None
+        while heap and len(stale) < look:
+            bound, site, cost, at = heap[0]
+            # a candidate not fetched yet may stand before this one
+            if last[0] >= 0 and (-bound < last[0] or (-bound == last[0] and site > last[1])):
+                fetch()
+                continue
+            heappop(heap)
+            if cost > budget - spent:
+                continue
+            if at == len(chosen):
+                if stale:
+                    heappush(heap, (bound, site, cost, at))
+                else:
+                    best = (bound, site, cost)
+                break
+            stale.append((site, cost))
+        if stale:
+            fresh = current([s for s, _ in stale])
+            for site, cost in stale:
+                if fresh.get(site, 0) > 0:
+                    heappush(heap, (-fresh[site], site, cost, len(chosen)))
+        elif best:
+            bound, site, cost = best
+            spent += cost
+            took = links.where((F.col("part") == F.pmod(F.xxhash64(F.lit(site).cast(sites.schema["fac_id"].dataType)), F.lit(LINK_FOLDERS)).cast("int")) & (F.col("fac_id") == site)).select("unit_id", "fac_id")
+            took = took if covered is None else took.join(covered.select("unit_id"), "unit_id", "left_anti")
+            covered = cut(took if covered is None else covered.unionByName(took), "covered")
+            chosen.append((len(chosen) + 1, site, float(cost), int(-bound)))
+    picks = spark.createDataFrame(chosen, f"rank int, fac_id {sites.schema['fac_id'].dataType.simpleString()}, cost double, gain long")
+    return picks, covered if covered is not None else links.select("unit_id", "fac_id").limit(0)
+
+
+EXACT_SETS = 200_000               # sets of sites compared at most by ``allocate_exact``
+SET_CELLS = 1 << 24                # demand groups x sets at once
+
+
+def allocate_exact(sites: DataFrame, reach: DataFrame, demand: DataFrame, k: int, budget: float, most: int = EXACT_SETS) -> DataFrame:
+    """The best affordable set of at most ``k`` sites: most covered demand, then least cost, then fewest sites, then smallest ids. Columns ``fac_id, cost, covered, total_cost``.
+
+    Refused with ``too-many-sets`` where more than ``most`` sets would be compared. Demand is first added up by the sets of sites that reach it; each batch of those is held against all sets
+    in arrays, so rows are batches x sets.
+    """
+    spark = sites.sparkSession
+    # one row per candidate, bounded by the check below
+    known = [tuple(r) for r in sites.select("fac_id", "cost").where(F.col("cost") <= budget).distinct().orderBy("fac_id").limit(most + 1).collect()]
+    if sum(comb(len(known), j) for j in range(1, k + 1)) > most:
+        raise ValueError("too-many-sets")
+    sets = [c for j in range(1, k + 1) for c in combinations(range(len(known)), j) if sum(known[i][1] for i in c) <= budget]
+    schema = f"fac_id {sites.schema['fac_id'].dataType.simpleString()}, cost double, covered long, total_cost double"
+    if not sets:
+        return spark.createDataFrame([], schema)
+    place = {f: i for i, (f, _) in enumerate(known)}
+    member = np.zeros((len(known), len(sets)), dtype=np.float32)
+    for c, inside in enumerate(sets):
+        member[list(inside), c] = 1
+    groups = (reach.select("unit_id", "fac_id").distinct().where(F.col("fac_id").isin(list(place))).groupBy("unit_id").agg(F.sort_array(F.collect_list("fac_id")).alias("by"))
+              .join(demand.select("unit_id", "population"), "unit_id").groupBy("by").agg(F.sum("population").alias("population")))
+
+    def covered(frames):
+        for f in frames:
+            total, step = np.zeros(len(sets), dtype=np.int64), max(1, SET_CELLS // len(sets))
+            for at in range(0, len(f), step):
+                part = f.iloc[at:at + step]
+                held = np.zeros((len(part), len(known)), dtype=np.float32)
+                for row, by in zip(held, part["by"]):
+                    row[[place[x] for x in by]] = 1
+                total += part["population"].to_numpy(np.int64) @ (held @ member > 0)
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"c": at, "covered": total[at]})
+    sums = groups.mapInPandas(covered, "c int, covered long").groupBy("c").agg(F.sum("covered").alias("covered"))
+    found = {r["c"]: r["covered"] for r in sums.orderBy(F.desc("covered"), "c").collect()}     # one row per set at most
+    top = max(found.values(), default=0)
+    if not top:
+        return spark.createDataFrame([], schema)
+    price = lambda c: sum(known[i][1] for i in sets[c])
+    best = min((c for c, v in found.items() if v == top), key=lambda c: (price(c), len(sets[c]), sets[c]))
+    return spark.createDataFrame([(known[i][0], float(known[i][1]), int(top), float(price(best))) for i in sets[best]], schema)

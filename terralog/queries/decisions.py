@@ -67,6 +67,23 @@ def attribution_effect(t):
     return e.select(*[F.round(c, 4).alias(c) for c in ("effect", "std_error", "lower", "upper")], *[F.round(c, 8).alias(c) for c in ("worst_smd", "overlap", "interference")], "claim", "downgrade")
 
 
+def _newton(rounds: int) -> str:
+    """CTEs n0..n<rounds>(a, b): Newton steps of a logistic regression of t on z over ez."""
+    steps = ["n0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"]
+    for k in range(rounds):
+        steps.append(f"""n{k + 1} AS (SELECT a + (g0*h11 - g1*h01)/(h00*h11 - h01*h01) AS a, b + (g1*h00 - g0*h01)/(h00*h11 - h01*h01) AS b FROM (SELECT any_value(a) AS a, any_value(b) AS b,
+ sum(CAST(t AS INT) - p) AS g0, sum((CAST(t AS INT) - p)*z) AS g1, sum(p*(1 - p)) AS h00, sum(p*(1 - p)*z) AS h01, sum(p*(1 - p)*z*z) AS h11 FROM (SELECT *, 1/(1 + exp(-a - b*z)) AS p FROM ez, n{k})))""")
+    return ", ".join(steps)
+
+
+@query("attribution_propensity", f"""WITH e AS (SELECT c_custkey AS unit_id, c_nationkey % 5 = 3 AS t, c_acctbal + 300*(c_nationkey % 5) AS x FROM customer), ez AS (SELECT *, (x - avg(x) OVER ())/stddev_pop(x) OVER () AS z FROM e),
+{_newton(8)}, p AS (SELECT unit_id, t, 1/(1 + exp(-a - b*z)) AS p FROM ez, n8), s AS (SELECT greatest(min(p) FILTER (t), min(p) FILTER (NOT t)) AS lo, least(max(p) FILTER (t), max(p) FILTER (NOT t)) AS hi FROM p)
+SELECT unit_id, round(p, 5) AS propensity, round((SELECT count(*) FILTER (p BETWEEN lo AND hi)/count(*)::DOUBLE FROM p, s), 6) AS overlap FROM p""")
+def attribution_propensity(t):
+    rows = t.customer.select(F.col("c_custkey").alias("unit_id"), (F.col("c_nationkey") % 5 == 3).alias("t"), (F.col("c_acctbal") + 300 * (F.col("c_nationkey") % 5)).alias("x"))
+    return D.propensity(rows, "t", ["x"]).select("unit_id", F.round("propensity", 5).alias("propensity"), F.round(D._common_support(rows, "t", ["x"]), 6).alias("overlap"))
+
+
 _SERIES = """s AS (SELECT c_nationkey AS k, CAST((year(o_orderdate) - 1990)*12 + month(o_orderdate) AS DOUBLE) AS x, sum(o_totalprice) AS y FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL)"""
 
 
@@ -155,3 +172,13 @@ def location_allocate(t):
 @query("location_assignments", _ALLOC + " SELECT unit_id, arg_min(fac_id, rank) AS fac_id FROM rc JOIN ch USING (fac_id) GROUP BY 1")
 def location_assignments(t):
     return _allocate(t)[1]
+
+
+@query("location_exact", with_sql("population", "facilities") + f""", rc AS MATERIALIZED (SELECT fac_id, unit_id, population, cost FROM facilities f JOIN population p ON {hav_sql('p', 'f')} <= 8000),
+one AS (SELECT fac_id, cost, sum(population) AS cov FROM rc GROUP BY ALL), ov AS (SELECT a.fac_id AS f, b.fac_id AS g, sum(a.population) AS both_cov FROM rc a JOIN rc b ON a.unit_id = b.unit_id AND a.fac_id < b.fac_id GROUP BY ALL),
+cd AS (SELECT [fac_id] AS ids, cost, cov FROM one WHERE cost <= 24 UNION ALL SELECT [a.fac_id, b.fac_id], a.cost + b.cost, a.cov + b.cov - coalesce(both_cov, 0) FROM one a JOIN one b ON a.fac_id < b.fac_id AND a.cost + b.cost <= 24 LEFT JOIN ov ON f = a.fac_id AND g = b.fac_id),
+be AS (SELECT * FROM cd ORDER BY cov DESC, cost, len(ids), ids LIMIT 1), m AS (SELECT unnest(ids) AS fac_id, cov, cost AS total FROM be)
+SELECT m.fac_id, CAST(f.cost AS DOUBLE) AS cost, CAST(cov AS BIGINT) AS covered, CAST(total AS DOUBLE) AS total_cost FROM m JOIN facilities f USING (fac_id)""")
+def location_exact(t):
+    reach = A.straight_line(t.population, t.facilities, 8000.0).select("unit_id", "fac_id")
+    return D.allocate_exact(t.facilities, reach, t.population, 2, 24, most=2_000_000)

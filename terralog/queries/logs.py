@@ -347,6 +347,14 @@ def register_fold(t):
     return run_fold(t.log.select("session_id", "seq", "type", "turn"), _turn_fold())
 
 
+@query("register_fold_sql", LOG + """ SELECT session_id, count(DISTINCT turn) FILTER (type = 'turn/start') AS turns, coalesce(max(turn) FILTER (type = 'turn/start'), -1) AS last, count(*) AS events FROM log GROUP BY 1""")
+def register_fold_sql(t):
+    from terralog.functions.folds import register_fold as make
+    make(t.spark, "turn_fold", _turn_fold())
+    t.log.select("session_id", "seq", "type", "turn").createOrReplaceTempView("terralog_log")
+    return t.spark.sql("SELECT * FROM turn_fold(TABLE(terralog_log) PARTITION BY session_id ORDER BY seq)")
+
+
 @query("register_operator", """SELECT doc_id, round(ln(1 + n_chars), 9) AS scaled FROM documents""")
 def register_operator(t):
     import numpy as np
