@@ -3,7 +3,8 @@
 A multinomial logistic regression over sparse word one- and two-grams is trained here from the templates below and from sentences that use
 the same words otherwise; its weights become a map literal. A document is scored in its own row: the paragraphs (lines joined up to a blank one) that hold a
 licence word are cut into windows around these words, their grams looked up and summed, and a temperature fitted on left-out variants turns scores into probabilities with a class for
-the unknown. Every family is reported that has a template in a window. There is no shuffle and no join.
+the unknown. A family is a candidate where its probability, over a template's words and those around them, reaches a least one fitted on left-out variants and is above that of
+the unknown; the template in the window confirms it. So a template in a denial, or in prose of another kind, counts as unknown. There is no shuffle and no join.
 """
 
 from __future__ import annotations
@@ -23,40 +24,53 @@ SHINGLE, ALIKE = 5, 0.8
 TEMPLATES = {
     "agpl-3.0": ["licensed under the gnu affero general public license version 3", "this program is free software under the terms of the gnu affero general public license",
                  "spdx license identifier agpl 3.0", "released under the agpl v3 license",
-                 "terms of the gnu affero general public license as published by the free software foundation"],
+                 "terms of the gnu affero general public license as published by the free software foundation",
+                 "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", "agplv3", "agpl 3.0", "affero general public license"],
     "all-rights-reserved": ["all rights reserved", "copyright all rights reserved", "no part of this publication may be reproduced without permission",
                             "unauthorized copying of this file is strictly prohibited proprietary and confidential"],
-    "apache-2.0": ["licensed under the apache license version 2.0", "released under the apache 2.0 license", "spdx license identifier apache 2.0",
-                   "distributed under the terms of the apache software license version 2.0", "you may not use this file except in compliance with the license"],
+    "apache-2.0": ["mit apache 2.0", "licensed under the apache license version 2.0", "released under the apache 2.0 license", "spdx license identifier apache 2.0",
+                   "apache 2.0", "apache license 2.0", "apache license version 2.0", "distributed under the terms of the apache software license version 2.0", "you may not use this file except in compliance with the license"],
     "bsd": ["licensed under the bsd 3 clause license", "released under the bsd license", "spdx license identifier bsd 3 clause",
-            "redistribution and use in source and binary forms with or without modification are permitted", "licensed under the bsd 2 clause license"],
-    "cc-by": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license", "released under the creative commons attribution license"],
-    "cc-by-nc": ["licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license", "licensed under cc by nc sa 4.0",
+            "redistribution and use in source and binary forms with or without modification are permitted", "licensed under the bsd 2 clause license",
+            "bsd 2 clause", "bsd 3 clause", "2 clause bsd", "3 clause bsd", "bsd license", "license bsd"],
+    "cc-by": ["cc by", "cc by 4.0", "cc by 3.0", "licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license", "released under the creative commons attribution license"],
+    "cc-by-nc": ["cc by nc", "cc by nc sa", "cc by nc nd", "licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license", "licensed under cc by nc sa 4.0",
                  "licensed under cc by nc nd 4.0"],
-    "cc-by-sa": ["licensed under cc by sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license", "text is available under the creative commons attribution sharealike license"],
-    "cc0": ["released under cc0 1.0", "this work is dedicated to the public domain under cc0", "released into the public domain", "this is free and unencumbered software released into the public domain"],
-    "gpl-2.0": ["licensed under the gnu general public license version 2", "released under the gpl v2 license", "spdx license identifier gpl 2.0",
+    "cc-by-sa": ["cc by sa", "licensed under cc by sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license", "text is available under the creative commons attribution sharealike license"],
+    "cc0": ["cc0 1.0", "released under cc0 1.0", "this work is dedicated to the public domain under cc0", "released into the public domain", "this is free and unencumbered software released into the public domain"],
+    "gpl-2.0": ["gplv2", "gpl 2.0", "gpl v2", "gpl version 2", "licensed under the gnu general public license version 2", "released under the gpl v2 license", "spdx license identifier gpl 2.0",
                 "terms of the gnu general public license as published by the free software foundation either version 2 of the license"],
-    "gpl-3.0": ["licensed under the gnu general public license version 3", "this work is licensed under the gnu general public license version 3", "released under the gpl v3 license",
+    "gpl-3.0": ["gplv3", "gpl 3.0", "gpl v3", "gpl version 3", "licensed under the gnu general public license version 3", "this work is licensed under the gnu general public license version 3", "released under the gpl v3 license",
                 "spdx license identifier gpl 3.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
                 "terms of the gnu general public license as published by the free software foundation either version 3 of the license"],
-    "lgpl": ["licensed under the gnu lesser general public license", "released under the lgpl license", "spdx license identifier lgpl 2.1",
-             "terms of the gnu lesser general public license as published by the free software foundation"],
-    "mit": ["released under the mit license", "licensed under the mit license", "spdx license identifier mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"],
-    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license 2.0", "spdx license identifier mpl 2.0"],
+    "isc": ["isc license", "license isc", "released under the isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "lgpl": ["lgplv2.1", "lgplv3", "lgpl 2.1", "lgpl 3.0", "licensed under the gnu lesser general public license", "released under the lgpl license", "spdx license identifier lgpl 2.1",
+             "terms of the gnu lesser general public license as published by the free software foundation",
+             "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license",
+             "modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license"],
+    "mit": ["mit license", "license mit", "licensed mit", "mit apache 2.0", "released under the mit license", "licensed under the mit license", "spdx license identifier mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"],
+    "mpl-2.0": ["mpl 2.0", "mozilla public license 2.0", "this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license 2.0", "spdx license identifier mpl 2.0"],
+    "epl-2.0": ["epl 2.0", "eclipse public license", "licensed under the eclipse public license 2.0", "spdx license identifier epl 2.0"],
+    "zlib": ["zlib license", "license zlib", "released under the zlib license", "spdx license identifier zlib"],
 }
 OTHERWISE = [
     "she renewed her driving license at the office", "the license plate of the car was missing", "a fishing license is required here", "human rights are for all people", "the apache helicopter landed",
     "students at mit built a robot", "seats are reserved for members", "the public domain was discussed in class", "he asked for permission to leave", "creative people meet on the commons",
     "copyright law is taught in spring", "a poetic license was taken", "the gnu is a large antelope", "version 2.0 of the general plan was public", "the warranty covers two years", "use the right form without modification",
     "all rights and duties of the king", "licensed taxi drivers wait outside", "redistribution of wealth is debated", "the free software meeting is at noon", "public rights of way", "an international attribution of the work",
+    "the song was released into the public domain in 1950", "the film was released into the public domain in the sixties", "a novel that was released into the public domain long ago", "the photograph fell into the public domain in 1931",
+    "he argued that all rights reserved by treaty to the tribes remain", "all rights reserved to the states by the constitution", "that all rights reserved to the people were kept", "she said all rights reserved by treaty were lost",
+    "please send it cc by mail", "the mit license office is closed", "a course at mit license plates", "an eclipse seen by the public",
 ]
+DENIALS = ("not", "is not", "are not", "was not", "never", "no longer", "cannot be", "isn t", "without being", "instead of being")
 #: Paragraphs without any of these are of no family.
-ANCHORS = r"\b(?:licen[cs]\w*|copyright\w*|rights|reserved|l?gpl|agpl|gnu|apache|bsd|mozilla|mpl|cc0|cc|creative|commons|domain|warrant\w*|redistribut\w*|permission|spdx|reproduced|proprietary|copying)\b"
+ANCHORS = r"\b(?:licen[cs]\w*|copyright\w*|rights|reserved|[la]?gpl\w*|isc|epl|eclipse|zlib|gnu|apache|bsd|mozilla|mpl|cc0|cc|creative|commons|domain|warrant\w*|redistribut\w*|permission|spdx|reproduced|proprietary|copying)\b"
 #: This statement is shared by the licences of the GNU family; it names none where the paragraph confirms another of them.
 SHARED, GNU = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("agpl-3.0", "gpl-2.0", "lgpl")
 #: Anchors within ``CORE`` words share a window, which reaches ``REACH`` words to both sides: more than the longest template.
 CORE, REACH = 16, 32
+#: Words around a template that the classifier sees with it, and the share of left-out statements that the least probability lets pass.
+CONTEXT, PASSED = 4, 0.99
 #: Lines without a letter or digit, comment marks among them, end a paragraph.
 BLANK = r"\n[^\p{L}\p{N}]*\n"
 RESTRICTIVE = ("all-rights-reserved", "cc-by-nc")
@@ -78,7 +92,9 @@ def shingles_of(words: list[str]) -> list[str]:
 def _variants(text: str) -> list[list[str]]:
     """A template as it is, in contexts, and without one of its words."""
     w = words_of(text)
-    out = [w, ["copyright", "2020", "the", "authors", *w], [*w, "see", "the", "file", "for", "details"], ["this", "project", "is", *w]]
+    out = [w, w, w, w, ["distributed", "under", "the", *w], ["licensed", "under", *w], ["copyright", "2020", "the", "authors", *w], [*w, "see", "the", "file", "for", "details"], ["this", "project", "is", *w], ["software", "is", *w, "and", "others"], ["the", "code", "was", *w, "since", "2019"]]
+    # the end of other prose in front, its beginning behind
+    out += [[*a.split(), *w, *b.split()] for a, b in (("of the it", ""), ("on in with it", ""), ("and for be the", ""), ("", "the and of in"), ("it is at a", "for it on the"), ("that this the by", "and it is"), ("to", ""), ("than of", ""), ("on the", "in a"))]
     return out + ([w[:i] + w[i + 1:] for i in range(len(w))] if len(w) > 4 else [])
 
 
@@ -88,11 +104,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def train(ridge: float = 0.02, rounds: int = 250, rate: float = 2.0) -> tuple[tuple[str, ...], dict[str, tuple[float, ...]], tuple[float, ...], float]:
-    """``families, weights by gram, constants, temperature``; the unknown family is the first."""
+def train(ridge: float = 0.02, rounds: int = 400, rate: float = 2.0) -> tuple[tuple[str, ...], dict[str, tuple[float, ...]], tuple[float, ...], float, float]:
+    """``families, weights by gram, constants, temperature, least probability``; the unknown family is the first."""
     families = (UNKNOWN, *sorted(TEMPLATES))
     rows = [(v, families.index(f)) for f in sorted(TEMPLATES) for t in TEMPLATES[f] for v in _variants(t)]
     rows += [(words_of(t), 0) for t in OTHERWISE for _ in range(4)] + [([], 0)] * 40
+    rows += [([*words_of(d), *words_of(t)], 0) for f in sorted(TEMPLATES) for t in TEMPLATES[f] if len(words_of(t)) > 2 for d in DENIALS]
     vocab = {g: i for i, g in enumerate(sorted({g for w, _ in rows for g in grams_of(w)}))}
     x, y = np.zeros((len(rows), len(vocab))), np.eye(len(families))[[k for _, k in rows]]
     for i, (w, _) in enumerate(rows):
@@ -110,8 +127,11 @@ def train(ridge: float = 0.02, rounds: int = 250, rate: float = 2.0) -> tuple[tu
     w, b = fit(~test)
     left, heats = x[test] @ w + b, np.linspace(0.3, 3, 28)
     loss = [-np.log((_softmax(left / t) * y[test]).sum(axis=1) + 1e-12).mean() for t in heats]
+    heat = float(heats[int(np.argmin(loss))])
+    right = (_softmax(left / heat) * y[test]).sum(axis=1)[y[test][:, 0] == 0]
+    least = float(np.quantile(right, 1 - PASSED))
     w, b = fit(np.ones(len(rows), bool))
-    return families, {g: tuple(map(float, w[i])) for g, i in vocab.items()}, tuple(map(float, b)), float(heats[int(np.argmin(loss))])
+    return families, {g: tuple(map(float, w[i])) for g, i in vocab.items()}, tuple(map(float, b)), heat, least
 
 
 def _let(value: Column, body) -> Column:
@@ -139,7 +159,7 @@ def _runs(w: Column, n: int | Column) -> Column:
 
 def _scores(w: Column, body) -> Column:
     """``body`` of the array of calibrated probabilities of the words."""
-    families, weights, constants, heat = train()
+    families, weights, constants, heat, _ = train()
     # one literal each instead of an expression per weight, which would slow the planner
     table = _constant(weights, "map<string,array<double>>")
     sums = F.aggregate(F.array_distinct(F.concat(w, _runs(w, 2))), _doubles(constants),
@@ -167,26 +187,35 @@ def _found(w: Column) -> Column:
 
     def better(m: Column, o: Column) -> Column:
         # the same words are nearer to another family's template, such as that of another version
-        return (m["shared"] & o["family"].isin(*GNU)) | ((o["family"] != m["family"]) & (o["share"] > m["share"]) & (o["first"] <= m["last"]) & (m["first"] <= o["last"]))
+        # or a longer one of another family holds them
+        nearer = (o["share"] > m["share"]) | ((o["share"] == m["share"]) & (o["last"] - o["first"] > m["last"] - m["first"]) & (o["first"] <= m["first"]) & (m["last"] <= o["last"]))
+        return (m["shared"] & o["family"].isin(*GNU)) | ((o["family"] != m["family"]) & nearer & (o["first"] <= m["last"]) & (m["first"] <= o["last"]))
 
     return _let(_let(_runs(w, SHINGLE), inside), lambda found: F.filter(found, lambda m: ~F.exists(found, lambda o: better(m, o))))
 
 
 def judge(w: Column) -> Column:
-    """Array of ``family, probability, confirmed, line, at`` of a window of words: each confirmed family once, or the most probable family unconfirmed."""
-    names = F.array(*[F.lit(f) for f in train()[0]])
-
-    def statement(family: Column | None, words: Column, at: Column) -> Column:
-        def row(q: Column) -> Column:
-            best = F.array_position(q, F.array_max(q)) if family is None else F.array_position(names, family)
-            return F.struct(F.element_at(names, best.cast("int")).alias("family"), F.element_at(q, best.cast("int")).alias("probability"), F.lit(family is not None).alias("confirmed"),
-                            F.array_join(words, " ").alias("line"), at.cast("int").alias("at"))
-        return _scores(words, row)
+    """Array of ``family, probability, confirmed, line, at`` of a window of words: each family that is a candidate and confirmed once, or the most probable family unconfirmed."""
+    families, _, _, _, least = train()
+    names = F.array(*[F.lit(f) for f in families])
+
+    def likeliest(words: Column, at: Column) -> Column:
+        return _scores(words, lambda q: _let(F.array_position(q, F.array_max(q)).cast("int"), lambda best: F.struct(
+            F.element_at(names, best).alias("family"), F.element_at(q, best).alias("probability"), F.lit(False).alias("confirmed"), F.array_join(words, " ").alias("line"), at.cast("int").alias("at"))))
+
+    def candidate(m: Column) -> Column:
+        # the classifier sees the template's words and some on both sides
+        low = F.greatest(m["first"] - CONTEXT, F.lit(1))
+        seen = F.slice(w, low, m["last"] + CONTEXT - low + 1)
+        place = F.array_position(names, m["family"]).cast("int")
+        return _scores(seen, lambda q: F.struct(
+            m["family"].alias("family"), F.element_at(q, place).alias("probability"), ((F.element_at(q, place) >= least) & (F.element_at(q, place) > F.element_at(q, 1))).alias("confirmed"),
+            F.array_join(F.slice(w, m["first"], m["last"] - m["first"] + 1), " ").alias("line"), m["first"].cast("int").alias("at")))
 
     def told(found: Column) -> Column:
-        alone = F.filter(found, lambda m, i: ~F.exists(F.slice(found, 1, i), lambda o: o["family"] == m["family"]))
-        return F.when(F.size(found) == 0, F.array(statement(None, w, F.lit(1)))).otherwise(
-            F.transform(alone, lambda m: _let(F.slice(w, m["first"], m["last"] - m["first"] + 1), lambda x: statement(m["family"], x, m["first"]))))
+        judged = _let(F.transform(found, candidate), lambda every: F.filter(every, lambda s: s["confirmed"]))
+        return _let(judged, lambda sure: F.when(F.size(sure) == 0, F.array(likeliest(w, F.lit(1)))).otherwise(
+            F.filter(sure, lambda s, i: ~F.exists(F.slice(sure, 1, i), lambda o: o["family"] == s["family"]))))
 
     return _let(_found(w), told)
 
