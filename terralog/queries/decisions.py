@@ -126,8 +126,8 @@ cd AS (SELECT f.fac_id, coalesce(pop, 0)/(SELECT sum(population) FROM population
 
 
 def _cands(t):
-    near = A.straight_line(t.population, t.facilities, 8000.0).join(t.population.select("unit_id", "population", "community"), "unit_id")
-    cv = near.groupBy("fac_id").agg(F.sum("population").alias("pop"), F.count_distinct("community").alias("comm"))
+    near = A.demand_within(t.facilities, t.population, 8000.0, by=("community",))
+    cv = near.groupBy("fac_id").agg(F.sum("population").alias("pop"), F.count("community").alias("comm"))
     whole = t.population.agg(F.sum("population").alias("s")).scalar()
     return t.facilities.join(cv, "fac_id", "left").select(
         "fac_id", (F.coalesce("pop", F.lit(0)) / whole).alias("coverage"), (F.coalesce("comm", F.lit(0)) / F.lit(25.0)).alias("equity"),
@@ -146,8 +146,7 @@ def rank_candidates(t):
 
 
 def _allocate(t):
-    reach = A.straight_line(t.population, t.facilities, 8000.0).select("unit_id", "fac_id")
-    return D.allocate(t.facilities, reach, t.population, 5, 60.0)
+    return D.allocate_within(t.facilities, t.population, 8000.0, 5, 60.0)
 
 
 def _allocation_sql(k: int, budget: float) -> str:

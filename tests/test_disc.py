@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terralog.operators import weights
+from terralog.operators import access, decision, weights
 from terralog.plans.disc import disc_products, disc_totals, metres
 from terralog.session import shared_dir
 
@@ -79,3 +79,22 @@ def test_weights_write_no_row_per_pair(spark):
     near = metres(u[:, None, 0], u[:, None, 1], u[None, :, 0], u[None, :, 1]) <= 1500.0
     assert got == {i: int(n) - 1 for i, n in enumerate(near.sum(axis=1))}
     assert rows <= 4 * 1500
+
+
+def test_exact_sums_and_demand_equal_the_pairs(spark):
+    lon, lat, v = _points("crowded")
+    units = _frame(spark, lon, lat, v).withColumnRenamed("id", "unit_id")
+    for standardization in ("row", "binary"):
+        want = weights.exact_weight_sums(weights.edges(units, 2000.0, standardization)).first()
+        got = weights.exact_band_sums(units, 2000.0, standardization).first()
+        assert [got.s0, got.s1, got.s2] == pytest.approx([want.s0, want.s1, want.s2])
+    assert tuple(weights.exact_band_sums(units, 1e-3).where("false").collect()) == () and weights.exact_band_sums(units.limit(1), 10.0).first().s0 is None
+    facs = units.where("unit_id % 9 = 0").select(F.col("unit_id").alias("fac_id"), "lon", "lat", (5 + F.col("unit_id") % 7).alias("cost"))
+    pop = units.select("unit_id", "lon", "lat", (1 + F.col("unit_id") % 5).alias("population"), F.when(F.col("kind") > 0, F.col("kind")).alias("community"))
+    pairs = access.straight_line(pop, facs, 4000.0)
+    want = {tuple(r) for r in pairs.join(pop, "unit_id").groupBy("fac_id", "community").agg(F.sum("population")).collect()}
+    assert {tuple(r) for r in access.demand_within(facs, pop, 4000.0, by=("community",)).collect()} == want
+    for look in (1, 16):
+        old, new = decision.allocate(facs, pairs, pop, 4, 25.0), decision.allocate_within(facs, pop, 4000.0, 4, 25.0, look)
+        for a, b in zip(old, new):
+            assert sorted(map(tuple, a.select(*b.columns).collect())) == sorted(map(tuple, b.collect()))
