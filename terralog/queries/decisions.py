@@ -179,5 +179,4 @@ cd AS (SELECT [fac_id] AS ids, cost, cov FROM one WHERE cost <= 24 UNION ALL SEL
 be AS (SELECT * FROM cd ORDER BY cov DESC, cost, len(ids), ids LIMIT 1), m AS (SELECT unnest(ids) AS fac_id, cov, cost AS total FROM be)
 SELECT m.fac_id, CAST(f.cost AS DOUBLE) AS cost, CAST(cov AS BIGINT) AS covered, CAST(total AS DOUBLE) AS total_cost FROM m JOIN facilities f USING (fac_id)""")
 def location_exact(t):
-    reach = A.straight_line(t.population, t.facilities, 8000.0).select("unit_id", "fac_id")
-    return D.allocate_exact(t.facilities, reach, t.population, 2, 24, most=2_000_000)
+    return D.allocate_exact_within(t.facilities, t.population, 8000.0, 2, 24, most=2_000_000)
