@@ -176,9 +176,29 @@ def _kml_polygon(p: Column) -> Column:
     return F.concat(outer, inner)
 
 
+def _whole_kml(spark: SparkSession, path: str) -> DataFrame:
+    """Placemarks of files that are read as a whole."""
+    return spark.read.format("xml").option("rowTag", "Placemark").schema(_PLACEMARK).load(path)
+
+
+def _split_kml(spark: SparkSession, path: str) -> DataFrame:
+    """Placemarks of files that are read in splits, cut at the closing tags.
+
+    That needs closing tags which all end a placemark: where a tag has inner space, or a comment or CDATA section is still open at one or holds another start, files are read as a whole.
+    """
+    pieces = spark.read.option("lineSep", "</Placemark>").text(path)
+    count = lambda text: F.regexp_count("value", F.lit(text))
+    start = r"<Placemark[\s/>]"
+    odd = (count(start) > 1) | (count("<!--") != count("-->")) | (count(r"<!\[CDATA\[") != count(r"\]\]>")) | F.col("value").rlike(r"</Placemark\s|<Placemark[^>]*/>")
+    if pieces.where(odd).limit(1).count():
+        return _whole_kml(spark, path)
+    marks = pieces.where(F.col("value").rlike(start)).select(F.concat(F.regexp_substr("value", F.lit(rf"(?s){start}.*")), F.lit("</Placemark>")).alias("mark"))
+    return marks.select(F.from_xml("mark", _PLACEMARK, {"rowTag": "Placemark"}).alias("k")).select("k.*")
+
+
 def import_kml(spark: SparkSession, path: str) -> DataFrame:
     """Placemarks as WGS84 features. A MultiGeometry of one kind becomes Multi*; a mixed one is refused by name."""
-    k = spark.read.format("xml").option("rowTag", "Placemark").schema(_PLACEMARK).load(path)
+    k = _split_kml(spark, path)
     mg = F.col("MultiGeometry")
     has = {n: F.coalesce(F.size(mg[n]), F.lit(0)) > 0 for n in ("Point", "LineString", "Polygon")}
     kinds = sum((F.when(c, 1).otherwise(0) for c in has.values()), F.lit(0))
