@@ -22,13 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralog.llm.lockstep import Decimals, groups_text, lanes, lockstep
+from terralog.llm.worker_memory import small_batches, tidy
 from terralog.session import cut, scratch_path
 
 MARK = "▁"                                   # fixed value: the sign that stands for a space in B
 UNIT = re.compile(r"\s*\S+(?:(?![ \n]\S)\s+\S*)*|\s+")
 BORDER = re.compile(r"(?<=\S)[ \n](?=\S)")
 STRETCH = 1 << 20                            # characters of one text, or of several, that are aligned together
-MEMO_TOKENS = 1 << 22                        # bound of the memo
+MEMO_TOKENS = 1 << 20                        # bounds of the memo, in tokens and in units
+MEMO_UNITS = 1 << 18
+LEARN_UNITS = 1 << 13                        # units that go through the libraries together
+ROW_GROUP = 16 << 20                         # bytes a task's writer holds
 COUNT_LINKS = 1 << 21                        # links a task adds up before it passes counts on
 COUNT_ROW = 1 << 15                          # pairs in one row of counts
 HEAD_ROWS = 1 << 19
@@ -94,11 +98,11 @@ class TokenPair:
     def align(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None]:
         """A ids, B ids, and the numbers of A and B tokens of each group, of stretches that begin with a space or line feed; None where the joined bytes differ."""
         units = [UNIT.findall(t) for t in texts]
-        if max(map(len, self.flat)) > MEMO_TOKENS:
+        if max(map(len, self.flat)) > MEMO_TOKENS or len(self.slot) > MEMO_UNITS:
             self._clear()
         fresh = list({u for us in units for u in us} - self.slot.keys())
-        if fresh:
-            self._learn(fresh)
+        for k in range(0, len(fresh), LEARN_UNITS):
+            self._learn(fresh[k:k + LEARN_UNITS])
         slots = [np.fromiter(map(self.slot.__getitem__, us), np.int64, len(us)) for us in units]
         good = [bool(self.good[s].all()) for s in slots]
         kept = [s for s, g in zip(slots, good) if g]
@@ -212,7 +216,8 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     path = scratch_path(spark, "alignment")
-    rows.mapInArrow(_aligner(a_path, b_path), ALIGNED).write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        rows.mapInArrow(tidy(_aligner(a_path, b_path)), ALIGNED).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     table = spark.read.schema(ALIGNED).parquet(path)
     each = table.where("row IS NULL").select(F.explode(F.arrays_zip("pairs", "times")).alias("x")).select(F.col("x.pairs").alias("pair"), F.col("x.times").alias("n"))
     return table.where("row IS NOT NULL").drop("pairs", "times"), cut(each.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
@@ -262,7 +267,8 @@ def score_links(aligned: DataFrame, counts: DataFrame, a_path: str, b_path: str,
         least = p
     head = counts.where(F.floor(F.log2("n")) >= least).toArrow().sort_by("pair")
     held = spark.sparkContext.broadcast(tuple(head[c].to_numpy() for c in ("pair", "n", "best")))
-    scored = cut(aligned.mapInArrow(_scorer(a_path, b_path, held), SCORED), "scored")
+    with small_batches(spark):
+        scored = cut(aligned.mapInArrow(tidy(_scorer(a_path, b_path, held)), SCORED), "scored")
     rare = scored.where("rare IS NOT NULL").select("row", F.explode("rare").alias("pair")).groupBy("row", "pair").agg(F.count("*").alias("times"))
     more = rare.join(counts.where(F.floor(F.log2("n")) < least), "pair").groupBy("row").agg(
         F.sum("times").alias("_times"), F.sum(F.col("times") * F.col("n")).alias("_sum"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("_best"))
