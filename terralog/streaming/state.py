@@ -214,17 +214,20 @@ class InsertOnly:
 
 EVENT = "source string, source_order int, event_id string, ts timestamp, arrival long, at_ms long"
 RELEASED = f"release long, {EVENT.rsplit(', ', 1)[0]}"
+BUCKET_S = 3600                    # a key costs as much as hundreds of events
 
 
 @dataclass
 class HoldBack(StatefulProcessor):
     """Events of one time bucket and lane that the horizon has not reached, or whose source is not released now.
 
-    A timer stands at the earliest event time that is still to be released. Order is told by columns, so lanes of a bucket need not meet in one task.
+    A timer stands at the earliest event time that is still to be released. Events of a bucket that the horizon has not come to are only added: what is held already is
+    neither read nor written again. Order is told by columns, so lanes of a bucket need not meet in one task.
     """
 
     delay_ms: int
     active: tuple[str, ...]
+    bucket_ms: int
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -258,14 +261,21 @@ class HoldBack(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in EVENT.split(", ")]
-        new = [(s, int(o), i, t.to_pydatetime(), int(a), int(m)) for frame in rows for s, o, i, t, a, m in frame[names].itertuples(index=False)]
-        yield from self._advance(new, timerValues)
+        mark = timerValues.getCurrentWatermarkInMs()
+        ahead = mark <= 0 or mark + self.delay_ms < int(key[0]) * self.bucket_ms
+        for frame in rows:
+            new = [(s, int(o), i, t.to_pydatetime(), int(a), int(m)) for s, o, i, t, a, m in frame[names].itertuples(index=False)]
+            if not ahead:
+                yield from self._advance(new, timerValues)
+            elif new:
+                self.events.appendList(new)
+                self.handle.registerTimer(min(e[-1] for e in new) - self.delay_ms)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         yield from self._advance([], timerValues, expiredTimerInfo.getExpiryTimeInMs())
 
 
-def fuse_streams(sources: dict[str, DataFrame], states: dict[str, str], delay_s: int, bucket_s: int = 60, lanes: int = 4) -> DataFrame:
+def fuse_streams(sources: dict[str, DataFrame], states: dict[str, str], delay_s: int, bucket_s: int = BUCKET_S, lanes: int = 4) -> DataFrame:
     """Released events of 2..8 streams (``event_id, ts, arrival``): ``release`` (the trigger), then source, order, id, time and arrival.
 
     The horizon of a trigger is the least of the live sources' largest event times in earlier triggers; an event goes out in the first trigger after its own whose horizon has reached
@@ -292,7 +302,7 @@ def fuse_streams(sources: dict[str, DataFrame], states: dict[str, str], delay_s:
     every = every.withColumn("ts", F.timestamp_micros(F.unix_micros("ts")))
     bucket, lane = F.floor(F.unix_seconds("ts") / bucket_s).cast("long"), F.pmod(F.xxhash64("event_id"), F.lit(lanes)).cast("int")
     rows = every.withColumn("at_ms", F.unix_millis("ts")).select(bucket.alias("bucket"), lane.alias("lane"), *[c.split()[0] for c in EVENT.split(", ")])
-    return rows.groupBy("bucket", "lane").transformWithStateInPandas(HoldBack(delay_s * MS, active), RELEASED, "append", "EventTime")
+    return rows.groupBy("bucket", "lane").transformWithStateInPandas(HoldBack(delay_s * MS, active, bucket_s * MS), RELEASED, "append", "EventTime")
 
 
 def positions(released: DataFrame) -> DataFrame:
