@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralog.functions.geo import EARTH_RADIUS_M
+from terralog.session import cut
 
 MAX_RADIUS_CELLS = 512
 REFRACTION = 0.13
@@ -122,7 +123,8 @@ def line_of_sight(surface: DataFrame, lines: DataFrame, spacing_m: float, interv
 
 
 VIEW = "t int, status string, first_obstruction_m double, source string, min_clearance double"
-VIEW_ROWS = 1 << 20                # targets of the observers that share a tile in one task
+VIEW_ROWS = 1 << 17                # targets of the observers that share a tile in one group
+MAX_TASKS = 1 << 12
 
 
 def _heights(cells: pd.DataFrame, low_x: int, low_y: int, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +200,9 @@ def viewshed(surface: DataFrame, observers: DataFrame, radius: int, spacing_m: f
     place = observers.select("obs_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     known = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
     tiled = place.where(known).select("*", F.floor(F.col("x") / side).alias("tx"), F.floor(F.col("y") / side).alias("ty"))
-    copies = tiled.groupBy("tx", "ty").agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias("copies"))
+    copies = cut(tiled.groupBy("tx", "ty").agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias("copies")), "copies")
+    # rows are small and views are not, so a task for each group rather than for so many bytes
+    tasks = min(max(copies.agg(F.sum("copies")).first()[0] or 1, 1), MAX_TASKS)
     seats = tiled.join(copies, ["tx", "ty"]).withColumn("copy", F.pmod(F.xxhash64("obs_id", "x", "y"), F.col("copies")).cast("int")).drop("copies")
     nodes = surface.select("gx", "gy", F.col("elev").cast("double").alias("elev"))
     if obstacles is None:
@@ -223,7 +227,7 @@ def viewshed(surface: DataFrame, observers: DataFrame, radius: int, spacing_m: f
         columns = ["obs_id", *(c.split()[0] for c in VIEW.split(", "))]
         return pd.concat([v.reindex(columns=columns) for v in views]).astype({"t": "Int32", "source": object}) if views else pd.DataFrame(columns=columns)
     keys = ("tx", "ty", "copy")
-    seen = seats.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(look, f"obs_id {kind}, {VIEW}")
+    seen = seats.repartition(tasks, *keys).groupBy(*keys).cogroup(spread.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(look, f"obs_id {kind}, {VIEW}")
     lost = place.where(~known).select("obs_id", F.lit(None).cast("int").alias("t"), F.lit("refused").alias("status"))
     return seen.unionByName(lost, allowMissingColumns=True)
 
