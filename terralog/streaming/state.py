@@ -11,9 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
-from heapq import nsmallest
+from math import isnan, nan
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -41,26 +42,59 @@ PUBLISHED, RETIRED, EXPIRED, SURPLUS = "published", "retired", "expired", "surpl
 MS = 1000
 
 
+WINDOWS, LANES = 32, 8             # a key costs as much as hundreds of events, so it holds many windows; neighbours are in different ones
+
+
 def _micros(ms: int) -> datetime:
     return datetime.fromtimestamp(ms / 1000, timezone.utc).replace(tzinfo=None)
 
 
-def _added(total: tuple | None, rows: pd.DataFrame) -> tuple:
-    """``total`` and the rows of one frame."""
-    new = (len(rows), rows["value"].sum(), rows["lon"].sum(), rows["lat"].sum(), rows["value"].min(), rows["value"].max())
-    if total is None:
-        return (int(new[0]), *map(float, new[1:]))
-    return (total[0] + int(new[0]), *(float(a + b) for a, b in zip(total[1:4], new[1:4])), float(min(total[4], new[4])), float(max(total[5], new[5])))
+@dataclass
+class Window:
+    """Totals of one window, its on-time and late rows, and whether its end was seen. A missing value counts as a row and adds to no total."""
+
+    start: int
+    count: int = 0
+    sum: float = 0.0
+    lon_sum: float = 0.0
+    lat_sum: float = 0.0
+    min: float = nan
+    max: float = nan
+    on_n: int = 0
+    late_n: int = 0
+    published: bool = False
+
+    SCHEMA = f"start long, {TOTALS}, on_n long, late_n long, published boolean"
+
+    def row(self) -> tuple:
+        return tuple(vars(self).values())
+
+    def totals(self) -> tuple:
+        return self.row()[1:7]
+
+    def add(self, count: int, value: float, lon: float, lat: float, low: float, high: float) -> None:
+        self.count += int(count)
+        self.sum, self.lon_sum, self.lat_sum = self.sum + float(value), self.lon_sum + float(lon), self.lat_sum + float(lat)
+        self.min, self.max = float(np.fmin(self.min, low)), float(np.fmax(self.max, high))
+
+
+@dataclass
+class Late:
+    """Late rows of one window in a trigger: how many came, and the first of them in order."""
+
+    came: int
+    first: list[tuple]
 
 
 @dataclass
 class WindowRevisions(StatefulProcessor):
-    """State of one window: totals, on-time and late counts, and its newest revisions.
+    """State of the windows of one key: totals, on-time and late counts, as one value that is read and written once a trigger.
 
     Rows count as on-time while the window's end is not seen, then as late until ``late_ms`` after it, then as expired. The on-time total is
     revision 1, published when the end is seen; each late row in order adds one, up to ``max_revisions``. Later ones are counted as surplus, expired ones as
-    expired. At most ``keep_revisions`` revisions of a window are kept, and a window ``keep_ms`` after its end; what goes is told as retired. A trigger's rows pass frame by
-    frame: only the next revisions' rows are held, whatever the number of late rows.
+    expired. At most ``keep_revisions`` revisions of a window are kept, and a window ``keep_ms`` after its end; what goes is told as retired. Kept revisions need no state of
+    their own: they are the newest ones, and each has one row more than the one before. A trigger's rows pass frame by frame: only the next revisions' rows are held, whatever the
+    number of late rows. One timer stands at the time when the first of the windows has something to do.
     """
 
     size_ms: int
@@ -72,8 +106,7 @@ class WindowRevisions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.totals = handle.getValueState("totals", f"{TOTALS}, on_n long, late_n long, published boolean")
-        self.kept = handle.getMapState("kept", "revision long", "count long")
+        self.held = handle.getValueState("windows", f"timer long, windows array<struct<{Window.SCHEMA}>>")
 
     def close(self) -> None:
         pass
@@ -82,22 +115,80 @@ class WindowRevisions(StatefulProcessor):
         mark = timers.getCurrentWatermarkInMs()
         return mark + self.delay_ms if mark > 0 else None
 
-    def _held(self) -> tuple[tuple | None, int, int, bool]:
-        if not self.totals.exists():
-            return None, 0, 0, False
-        t = tuple(self.totals.get())
-        return (t[:6] if t[0] else None), t[6], t[7], t[8]
-
-    def _hold(self, total: tuple | None, on_n: int, late_n: int, published: bool) -> None:
-        self.totals.update((*(total or (0, 0.0, 0.0, 0.0, 0.0, 0.0)), on_n, late_n, published))
-
-    def _revision(self, out: list, start: int, revision: int, total: tuple) -> None:
-        out.append((PUBLISHED, _micros(start), revision, *total))
-        self.kept.updateValue((revision,), (total[0],))
-        old = revision - self.keep_revisions
-        if old >= 1 and self.kept.containsKey((old,)):
-            out.append((RETIRED, _micros(start), old, self.kept.getValue((old,))[0], *[None] * 5))
-            self.kept.removeKey((old,))
+    def _load(self) -> tuple[int | None, dict[int, Window]]:
+        held = self.held.get()
+        return (held[0], {w[0]: Window(*w) for w in held[1]}) if held else (None, {})
+
+    def _last(self, w: Window) -> int:
+        """Number of the newest revision of a window whose end was seen."""
+        first = 1 if w.on_n else 0
+        return max(first, min(first + w.late_n, self.max_revisions))
+
+    def _revision(self, out: list, w: Window, revision: int) -> None:
+        out.append((PUBLISHED, _micros(w.start), revision, *w.totals()))
+        if revision > self.keep_revisions:
+            out.append((RETIRED, _micros(w.start), revision - self.keep_revisions, w.count - self.keep_revisions, *[None] * 5))
+
+    def _fold(self, frame: pd.DataFrame, seen: int | None, windows: dict[int, Window], late: dict[int, Late], expired: dict[int, int]) -> None:
+        """Rows of one frame go to their windows by kind; all rows a window has in a trigger are of one kind."""
+        starts = frame["start_ms"].to_numpy()
+        order = np.argsort(starts, kind="stable")
+        starts, cells = starts[order], frame[["value", "lon", "lat"]].to_numpy(dtype=float)[order]
+        ords = frame["ord"].to_numpy()[order]
+        cuts = np.flatnonzero(np.r_[True, starts[1:] != starts[:-1]])
+        # summed along rows of memory, where numpy adds in pairs and loses less than one after the other
+        filled = np.ascontiguousarray(np.where(np.isnan(cells), 0.0, cells).T)
+        low, high = np.fmin.reduceat(cells[:, 0], cuts), np.fmax.reduceat(cells[:, 0], cuts)
+        for k, (a, b) in enumerate(zip(cuts.tolist(), [*cuts[1:].tolist(), len(starts)])):
+            start = int(starts[a])
+            end = start + self.size_ms
+            if seen is None or seen < end:
+                w = windows.setdefault(start, Window(start))
+                w.add(b - a, *filled[:, a:b].sum(axis=1), low[k], high[k])
+                w.on_n += b - a
+            elif seen >= end + self.late_ms:
+                expired[start] = expired.get(start, 0) + b - a
+            else:
+                w = windows.setdefault(start, Window(start))
+                rows = late.setdefault(start, Late(0, []))
+                room = max(self.max_revisions - (1 if w.on_n else 0) - w.late_n, 0)
+                next_ = a + np.lexsort((cells[a:b, 2], cells[a:b, 1], cells[a:b, 0], ords[a:b]))[:room]
+                rows.came += b - a
+                rows.first = sorted([*rows.first, *((ords[i], *cells[i].tolist()) for i in next_)])[:room]
+
+    def _settle(self, seen: int | None, windows: dict[int, Window], late: dict[int, Late], out: list) -> None:
+        """What is due by now: the first revisions, those of late rows, and windows that go."""
+        if seen is None:
+            return
+        for w in [w for w in windows.values() if seen >= w.start + self.size_ms]:
+            if not w.published:
+                w.published = True
+                if w.on_n:
+                    self._revision(out, w, 1)
+            if rows := late.get(w.start):
+                for _, *cells in rows.first:
+                    value, lon, lat = (0.0 if isnan(c) else c for c in cells)
+                    w.add(1, value, lon, lat, cells[0], cells[0])
+                    w.late_n += 1
+                    self._revision(out, w, self._last(w))
+                if surplus := rows.came - len(rows.first):
+                    out.append((SURPLUS, _micros(w.start), None, surplus, *[None] * 5))
+                    w.late_n += surplus
+            if seen >= w.start + self.size_ms + max(self.late_ms, self.keep_ms):
+                if self.keep_ms:
+                    last = self._last(w)
+                    out += [(RETIRED, _micros(w.start), r, w.count - (last - r), *[None] * 5) for r in range(max(last - self.keep_revisions, 0) + 1, last + 1)]
+                del windows[w.start]
+
+    def _store(self, timer: int | None, windows: dict[int, Window]) -> None:
+        if not windows:
+            self.held.clear()
+            return
+        after = max(self.late_ms, self.keep_ms)
+        due = min(w.start + self.size_ms + (after if w.published else 0) for w in windows.values()) - self.delay_ms
+        if due != timer:
+            self.handle.registerTimer(due)
+        self.held.update((due, [w.row() for w in windows.values()]))
 
     @staticmethod
     def _frame(out: list) -> Iterator[pd.DataFrame]:
@@ -105,48 +196,25 @@ class WindowRevisions(StatefulProcessor):
             yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        start, seen, out = int(key[0]), self._seen(timerValues), []
-        end = start + self.size_ms
-        if seen is not None and seen >= end + self.late_ms:
-            out.append((EXPIRED, _micros(start), None, sum(map(len, rows)), *[None] * 5))
-            yield from self._frame(out)
-            return
-        total, on_n, late_n, published = self._held()
-        if not self.totals.exists():
-            for at in {end, end + self.late_ms, end + max(self.late_ms, self.keep_ms)}:
-                self.handle.registerTimer(at - self.delay_ms)
-        if seen is None or seen < end:
-            for frame in rows:
-                total, on_n = _added(total, frame), on_n + len(frame)
-            self._hold(total, on_n, late_n, published)
-            return
-        if not published and on_n:
-            self._revision(out, start, 1, total)
-        next_ = (1 if on_n else 0) + late_n + 1
-        room, first, came = max(self.max_revisions - next_ + 1, 0), [], 0
+        seen, out, late, expired = self._seen(timerValues), [], {}, {}
+        timer, windows = self._load()
+        had = bool(windows)
         for frame in rows:
-            came += len(frame)
-            first = nsmallest(room, [*first, *zip(frame["ord"], frame["value"], frame["lon"], frame["lat"])])
-        for k, (_, value, lon, lat) in enumerate(first):
-            total = _added(total, pd.DataFrame({"value": [value], "lon": [lon], "lat": [lat]}))
-            self._revision(out, start, next_ + k, total)
-        if came > len(first):
-            out.append((SURPLUS, _micros(start), None, came - len(first), *[None] * 5))
-        self._hold(total, on_n, late_n + came, True)
+            if len(frame):
+                self._fold(frame, seen, windows, late, expired)
+        out += [(EXPIRED, _micros(start), None, n, *[None] * 5) for start, n in expired.items()]
+        self._settle(seen, windows, late, out)
+        if had or windows:
+            self._store(timer, windows)
         yield from self._frame(out)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        start, seen, out = int(key[0]), self._seen(timerValues), []
-        total, on_n, late_n, published = self._held()
-        end = start + self.size_ms
-        if not published and on_n and seen >= end:
-            self._revision(out, start, 1, total)
-            self._hold(total, on_n, late_n, True)
-        if seen >= end + max(self.late_ms, self.keep_ms):
-            if self.keep_ms:
-                out += [(RETIRED, _micros(start), k[0], v[0], *[None] * 5) for k, v in self.kept.iterator()]
-            self.kept.clear()
-            self.totals.clear()
+        timer, windows = self._load()
+        if not windows or timer > expiredTimerInfo.getExpiryTimeInMs():
+            return
+        out: list = []
+        self._settle(self._seen(timerValues), windows, {}, out)
+        self._store(timer, windows)
         yield from self._frame(out)
 
 
@@ -160,9 +228,11 @@ def revision_stream(stream: DataFrame, size_s: int, lateness_s: int, max_revisio
     use_state_store(stream.sparkSession)
     delay = lateness_s + size_s
     start = (F.floor(F.unix_millis("ts") / (size_s * MS)) * (size_s * MS)).cast("long")
-    rows = stream.withWatermark("ts", f"{delay} seconds").select(start.alias("start_ms"), "ts", "ord", "value", "lon", "lat")
+    nth = F.floor(F.col("start_ms") / (size_s * MS)).cast("long")
+    key = F.floor(nth / (WINDOWS * LANES)).cast("long") * LANES + F.pmod(nth, F.lit(LANES))
+    rows = stream.withWatermark("ts", f"{delay} seconds").withColumn("start_ms", start).select(key.alias("key"), "start_ms", "ts", "ord", "value", "lon", "lat")
     step = WindowRevisions(size_s * MS, lateness_s * MS, delay * MS, max_revisions, keep_revisions or max_revisions, keep_s * MS)
-    return rows.groupBy("start_ms").transformWithStateInPandas(step, OUT, "append", "EventTime")
+    return rows.groupBy("key").transformWithStateInPandas(step, OUT, "append", "EventTime")
 
 
 def classify_by_trigger(events: DataFrame, trigger: str, size_s: int, lateness_s: int) -> DataFrame:
