@@ -45,6 +45,13 @@ def test_clusters_by_definition(spark, monkeypatch, seed, lat, chunk):
     assert got == plain(rows, 1, 4)
 
 
+def test_observations_without_a_place_are_noise(spark):
+    rows = [(1, 116.0, 40.0, 5), (2, 116.0, 40.0, 5), (None, 116.0, 40.0, 5), (4, None, 40.0, 5), (5, 116.0, None, 5), (6, 116.0, 40.0, None), (7, float("nan"), 40.0, 5), (8, 116.0, float("nan"), 5)]
+    got = patterns.cluster(spark.createDataFrame(rows, "obs_id long, lon double, lat double, bin long"), EPS, 1, 3).collect()
+    noise = ("noise", None)
+    assert sorted(((r.obs_id or 0, (r.role, r.label)) for r in got)) == [(0, noise), (1, ("core", 1)), (2, ("core", 1)), *((i, noise) for i in range(4, 9))]
+
+
 def test_links_do_not_grow_with_the_pairs(spark):
     rows = [r for r in places(4, 600, 40.0)]
     core = spark.createDataFrame([(*r[:3], 0, r[0]) for r in rows], "site long, lon double, lat double, bin long, head long")
