@@ -41,6 +41,18 @@ def test_moran_by_definition(spark, monkeypatch, most):
     assert got.p == (np.sum(np.abs(each - e) >= abs(index(z) - e) - 1e-12) + 1) / (SPEC.permutations + 1)
 
 
+def test_no_draw_of_a_lone_unit_is_written(spark, monkeypatch):
+    written = []
+    keep = M.cut
+    monkeypatch.setattr(M, "cut", lambda df, label="cut": written.append((label, df)) or keep(df, label))
+    rows = [(i, 116 + i * 0.001, 39.9, float(i % 7)) for i in range(90)]
+    M.scale_ladder(spark.createDataFrame(rows, "unit_id long, lon double, lat double, value double"), SPEC, [300.0, 900.0]).collect()
+    assert {label for label, _ in written} >= {"ranked", "rows", "draws"}
+    for _, df in written:
+        lists = [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType)]
+        assert not lists or df.where(" OR ".join(f"{c} IS NOT NULL" for c in lists)).count() == 0
+
+
 def test_shift_without_division():
     half = np.array([0, 1, 46_340, 46_341, PRIME - 1, PRIME, PRIME + 1, 2 ** 31 + 5], dtype=np.int64)
     keys = np.array([0, 1, 7, 2 ** 28 - 1, 0, 0, 0, 2 ** 28 - 1], dtype=np.int64)
